@@ -27,11 +27,13 @@ HERE, BEFORE = 1, 2
 @functools.cache
 def classes() -> np.ndarray:
     """The class of each code point."""
-    points = [c for c in range(END) if not 0xD800 <= c < 0xE000]
-    text = "".join(map(chr, points))
     out = np.full(END + 1, OTHER, np.uint8)
-    for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", BLANK)):
-        out[[ord(c) for c in regex.findall(pattern, text)]] = kind
+    for at in range(0, END, 1 << 12):
+        if 0xD800 <= at < 0xE000:
+            continue
+        text = "".join(map(chr, range(at, at + (1 << 12))))
+        for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", BLANK)):
+            out[[ord(c) for c in regex.findall(pattern, text)]] = kind
     for c, kind in (("s", LAST), ("t", LAST), ("m", LAST), ("d", LAST), ("r", R), ("v", V), ("e", E), ("l", K), (" ", SPACE), ("'", QUOTE)):
         out[ord(c)] = kind
     out[END] = STOP

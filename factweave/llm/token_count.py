@@ -18,6 +18,7 @@ transitions are compiled when first met and shared by all words of a worker.
 from __future__ import annotations
 
 import functools
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,8 @@ from factweave.llm.bpe import VOCABULARY, ByteBpe, chunks
 from factweave.llm.split import Words, units_of
 
 #: Above so many states the tables are compiled anew for the next batch; this bounds a worker's memory, not the texts.
-MAX_STATES = 120_000
+MAX_STATES = 250_000
+MIX, M64 = 0x9E3779B97F4A7C15, 1 << 64
 
 
 class CountingTransducer:
@@ -62,12 +64,41 @@ class CountingTransducer:
         self.clear()
 
     def clear(self) -> None:
-        self.column = np.full(256, -1, np.int64)
-        self.columns = 0
-        self.ids: dict[tuple, int] = {((0, -1, 0),): 0}
-        self.keys = [((0, -1, 0),)]
-        self.next = np.full((4096, 64), -1, np.int32)
-        self.emit = np.zeros((4096, 64), np.int16)
+        begin = array("i", (0, -1, 0)).tobytes()
+        self.ids: dict[bytes, int] = {begin: 0}
+        self.keys = [begin]
+        self._table(1 << 16)
+
+    def _table(self, slots: int) -> None:
+        """An open-addressing table of transitions: state and byte to next state and count change."""
+        self.slots, self.used = slots, 0
+        self.at = np.full(slots, -1, np.int64)
+        self.next, self.emit = np.zeros(slots, np.int32), np.zeros(slots, np.int16)
+
+    def _add(self, key: int, to: int, change: int) -> None:
+        if self.used * 2 >= self.slots:
+            old = self.at, self.next, self.emit
+            self._table(self.slots * 2)
+            has = old[0] >= 0
+            for x in zip(*(c[has].tolist() for c in old), strict=True):
+                self._add(*x)
+        slot = key * MIX % M64 >> 20 & self.slots - 1
+        while self.at[slot] >= 0:
+            slot = slot + 1 & self.slots - 1
+        self.at[slot], self.next[slot], self.emit[slot] = key, to, change
+        self.used += 1
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """The slot of each transition, -1 if it isn't compiled yet."""
+        slot = (key.astype(np.uint64) * np.uint64(MIX) >> np.uint64(20)).astype(np.int64) & self.slots - 1
+        got = self.at[slot]
+        todo = np.flatnonzero((got != key) & (got >= 0))
+        while len(todo):
+            slot[todo] = slot[todo] + 1 & self.slots - 1
+            got[todo] = self.at[slot[todo]]
+            todo = todo[(got[todo] != key[todo]) & (got[todo] >= 0)]
+        slot[got < 0] = -1
+        return slot
 
     def fits(self, left: int, right: int) -> bool:
         """Whether encoding the joined bytes of two tokens gives the two tokens.
@@ -92,38 +123,31 @@ class CountingTransducer:
                     before, a = a, self.parts[a][1]
                 else:  # of equal tokens the left one is made first
                     before, b = b + 1, self.parts[b][0]
-            if len(self.fits_memo) > 2_000_000:
+            if len(self.fits_memo) > 400_000:
                 self.fits_memo.clear()
             self.fits_memo[memo] = got
         return got
 
     def _compile(self, state: int, byte: int) -> None:
         kept, found = [], None
-        for node, last, count in self.keys[state]:
-            to = self.child.get(node << 8 | byte)
+        own = array("i", self.keys[state])
+        child, tokens = self.child, self.token
+        for k in range(0, len(own), 3):
+            to = child.get(own[k] << 8 | byte)
             if to is None:
                 continue
-            kept.append((to, last, count))
-            t = self.token[to]
-            if t >= 0 and found is None and (last < 0 or self.fits(last, t)):
-                found = t, count + 1
+            kept += [to, own[k + 1], own[k + 2]]
+            t = tokens[to]
+            if t >= 0 and found is None and (own[k + 1] < 0 or self.fits(own[k + 1], t)):
+                found = t, own[k + 2] + 1
         token, change = found
-        key = tuple((n, last, c - change) for n, last, c in kept) + ((0, token, 0),)
+        kept[2::3] = [c - change for c in kept[2::3]]
+        key = array("i", [*kept, 0, token, 0]).tobytes()
         to = self.ids.get(key)
         if to is None:
             to = self.ids[key] = len(self.keys)
             self.keys.append(key)
-            if to >= len(self.next):
-                self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
-                self.emit = np.concatenate([self.emit, np.zeros_like(self.emit)])
-        col = self.column[byte]
-        if col < 0:
-            col = self.column[byte] = self.columns
-            self.columns += 1
-            if col >= self.next.shape[1]:
-                self.next = np.concatenate([self.next, np.full_like(self.next, -1)], axis=1)
-                self.emit = np.concatenate([self.emit, np.zeros_like(self.emit)], axis=1)
-        self.next[state, col], self.emit[state, col] = to, change
+        self._add(state << 8 | byte, to, change)
 
     def counts(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Number of tokens of each word ``data[start:end]``."""
@@ -135,17 +159,15 @@ class CountingTransducer:
         live = np.searchsorted(-size, -np.arange(1, (int(size[0]) if len(size) else 0) + 1), "right")
         state, total = np.zeros(len(size), np.int32), np.zeros(len(size), np.int64)
         for k, n in enumerate(live.tolist()):
-            s, byte = state[:n], data[begin[:n] + k]
-            while True:
-                col = self.column[byte]
-                to = np.where(col < 0, -1, self.next[s, np.maximum(col, 0)])
-                new = np.flatnonzero(to < 0)
-                if not len(new):
-                    break
-                for x in np.unique(s[new].astype(np.int64) << 8 | byte[new]).tolist():
+            key = state[:n].astype(np.int64) << 8 | data[begin[:n] + k]
+            slot = self._find(key)
+            new = np.flatnonzero(slot < 0)
+            if len(new):
+                for x in np.unique(key[new]).tolist():
                     self._compile(x >> 8, x & 255)
-            total[:n] += self.emit[s, col]
-            state[:n] = to
+                slot = self._find(key)
+            total[:n] += self.emit[slot]
+            state[:n] = self.next[slot]
         out = np.empty(len(size), np.int64)
         out[order] = total
         return out
@@ -176,7 +198,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine = load(public_tokenizers.path(vocabulary))
         for pdf in batches:
-            got = [machine.count_batch(part) for part in chunks([t or "" for t in pdf["text"]])]
+            got = [machine.count_batch(part) for part in chunks([t or "" for t in pdf["text"]], 2_000_000)]
             yield pd.DataFrame({"id": pdf["id"], "n_bytes": pdf["n_bytes"], "n_tokens": np.concatenate(got) if got else np.empty(0, np.int64)})
 
     kind = docs.schema[id_col].dataType.simpleString()
