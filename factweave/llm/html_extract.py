@@ -191,21 +191,21 @@ def extract(page: str | None) -> str:
             kept.append(n)
     out: list[str] = []
 
-    def take(n: _Node) -> None:
-        at = n.begin
-        for k in n.kids:
-            if k.drop or k.tag in ("ul", "ol", "div", "section", "table") and _density(k) > 0.66 and len(k.kids) > 1:
-                out.extend(chunks[at : k.begin])
-            else:
-                out.extend(chunks[at : k.begin])
-                take(k)
-            out.append(" ")
-            at = k.end
-        out.extend(chunks[at : n.end])
-
     for n in kept:
-        take(n)
-        out.append(" ")
+        todo: list[tuple[_Node, int, int]] = [(n, 0, n.begin)]  # a node, its next child, and how far its text is taken
+        while todo:
+            node, k, at = todo.pop()
+            if k == len(node.kids):
+                out.extend(chunks[at : node.end])
+                out.append(" ")
+                continue
+            kid = node.kids[k]
+            out.extend(chunks[at : kid.begin])
+            todo.append((node, k + 1, kid.end))
+            if not (kid.drop or kid.tag in ("ul", "ol", "div", "section", "table") and _density(kid) > 0.66 and len(kid.kids) > 1):
+                todo.append((kid, 0, kid.begin))
+            else:
+                out.append(" ")
     return " ".join("".join(out).split())
 
 
