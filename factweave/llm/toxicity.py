@@ -34,6 +34,8 @@ SEED_WEIGHT = 4.0
 #: At most so many labelled training rows of each label are read for the fit; the lexicon is bounded by what they hold.
 FIT_TOXIC, FIT_CLEAN = 3_000, 9_000
 PREFIXES = range(4, 9)
+#: A pattern enters if chance explains its rows with probability under exp(-16), which allows for some 100,000 patterns tried.
+EVIDENCE = 16.0
 #: Score weights until enough labelled rows are there: constant, log of the sum, log of the share.
 COEF = (-5.0, 2.0, 1.0)
 
@@ -135,25 +137,62 @@ def held_out(id_col: str) -> Column:
 
 
 def _fit_score(total: np.ndarray, words: np.ndarray, toxic: np.ndarray) -> tuple[float, float, float]:
-    """Ridge logistic regression by Newton steps, both labels of equal weight."""
+    """Ridge logistic regression by damped Newton steps, both labels of equal weight."""
     x = np.c_[np.ones(len(total)), np.log1p(total), np.log1p(100 * total / (words + 50))]
-    w = np.where(toxic == 1, 0.5 / max(1, (toxic == 1).sum()), 0.5 / max(1, (toxic == 0).sum())) * len(x)
-    beta, ridge = np.array(COEF), np.diag([1e-2, 1.0, 1.0]) * 1e-2 * len(x) / 100
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (w * p * (1 - p) + 1e-9)[:, None]) + ridge, x.T @ (w * (toxic - p)) - ridge @ beta)
-        beta = beta + step
-        if np.abs(step).max() < 1e-8:
+    w = np.where(toxic == 1, 0.5 / max(1, (toxic == 1).sum()), 0.5 / max(1, (toxic == 0).sum()))
+    beta, ridge = np.zeros(3), np.diag([1e-6, 1e-3, 1e-3])
+    loss = lambda b: (w * np.logaddexp(0, (1 - 2 * toxic) * (x @ b))).sum() + b @ ridge @ b / 2
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-(x @ beta)))
+        step = np.linalg.solve(x.T @ (x * (w * p * (1 - p))[:, None]) + ridge, x.T @ (w * (toxic - p)) - ridge @ beta)
+        size = 1.0
+        while size > 1e-6 and loss(beta + size * step) > loss(beta):
+            size /= 2
+        beta = beta + size * step
+        if np.abs(size * step).max() < 1e-9:
             break
     return tuple(beta.tolist())
 
 
+def _evidence(t: int, n: int, base: float) -> float:
+    """The Chernoff exponent of seeing ``t`` toxic among ``n`` rows at the base rate."""
+    p = min(t / n, 1 - 1e-12)
+    return n * (p * np.log(p / base) + (1 - p) * np.log((1 - p) / (1 - base)))
+
+
+def _choose(found: list[tuple[str, int, float]], docs: list[list[str]], n_toxic: int) -> dict[str, float]:
+    """Of candidate patterns with support and odds, those that the toxic documents need.
+
+    In falling support, a pattern stays if enough documents have fewer than two words
+    covered by patterns before it and get one from it. Words that toxic documents
+    share for other reasons (copies, common passages) lie in documents that
+    are covered without them.
+    """
+    whole = {f for f, _, _ in found}
+    at: dict[str, list[tuple[int, str]]] = {}
+    for d, words in enumerate(docs):
+        for w in words:
+            for f in (f" {w} ", *(f" {w[:k]}" for k in PREFIXES if len(w) >= k)):
+                if f in whole:
+                    at.setdefault(f, []).append((d, w))
+    covered: list[set[str]] = [set() for _ in docs]
+    least, chosen = max(3, round(0.002 * n_toxic)), {}
+    for f, _, odds in sorted(found, key=lambda x: (-x[1], len(x[0]), x[0])):
+        own = at.get(f, [])
+        gain = {d for d, w in own if len(covered[d]) < 2 and w not in covered[d]}
+        if len(gain) >= least:
+            chosen[f] = float(np.log(odds))
+            for d, w in own:
+                covered[d].add(w)
+    return chosen
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_toxic: int = FIT_TOXIC, fit_clean: int = FIT_CLEAN) -> Lexicon:
     """The lexicon and score weights, learned from at most ``fit_toxic`` and ``fit_clean`` labelled rows outside the held-out third.
 
-    The rows are those of smallest id hash. Near copies among them count once (three
-    min-hashes of their word sets). Words, and beginnings that three words or more
-    share, enter with their log odds. Rows without label, id or text are left out; an
+    The rows are those of smallest id hash. Near copies among them count once (two
+    equal min-hashes, of three, of their longer words). Words, and beginnings that three words or more
+    share, enter with their log odds as far as toxic rows need them (see ``_choose``). Rows without label, id or text are left out; an
     id whose labels contradict counts as toxic. With fewer than 10 rows of either
     label the seed words and fixed score weights are used.
     """
@@ -172,14 +211,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             out = []
             for i, text, toxic in zip(pdf["id"], pdf["text"], pdf["toxic"], strict=True):
                 own = sorted(set(fold(text).split()))
-                h = np.array([crc32(w.encode()) for w in own] or [0], np.uint64)
+                rare = [w for w in own if len(w) >= 7] or own  # short words are common to unrelated texts
+                h = np.array([crc32(w.encode()) for w in rare] or [int(i)], np.uint64)
                 low = [int(((h * np.uint64(m)) & np.uint64(0xFFFFFFFF)).min()) for m in (2654435761, 2246822519, 3266489917)]
                 out.append((int(i), int(toxic), *low, own))
             yield pd.DataFrame(out, columns=["id", "toxic", "m1", "m2", "m3", "words"])
 
     sample = rows.mapInPandas(words, "id long, toxic int, m1 long, m2 long, m3 long, words array<string>")
-    for m in ("m1", "m2", "m3"):
-        sample = sample.groupBy(m).agg(F.min(F.struct("id", "toxic", "m1", "m2", "m3", "words")).alias("x")).select("x.*")
+    for m in (("m1", "m2"), ("m1", "m3"), ("m2", "m3")):
+        sample = sample.groupBy(*m).agg(F.min(F.struct("id", "toxic", "m1", "m2", "m3", "words")).alias("x")).select("x.*")
     sample = sample.persist()
     count = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = count.get(1, 0), count.get(0, 0)
@@ -198,18 +238,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .where((F.col("t") >= least) & (F.col("odds") >= 10) & (F.col("f").endswith(" ") | (F.col("kinds") >= 3)) | F.col("f").isin(list(seed_lexicon().weights)))
         .select("f", "t", "n", "odds").collect()
     )
-    weights = {p: SEED_WEIGHT for p in seed_lexicon().weights}
-    kept: dict[str, float] = {}
-    for r in sorted(found, key=lambda r: (len(r["f"]), r["f"])):
-        f, o = r["f"], r["odds"]
-        if f in weights and o < 10:
-            if r["n"] - r["t"] > 3:
-                del weights[f]
-            continue
-        if any(f[:k] in kept and kept[f[:k]] >= 0.3 * o for k in range(5, len(f))):
-            continue
-        kept[f] = o
-    weights |= {f: float(np.log(o)) for f, o in kept.items()}
+    seeds = seed_lexicon().weights
+    weights = {p: w for p, w in seeds.items() if not any(r["f"] == p and r["odds"] < 10 and r["n"] - r["t"] > 3 for r in found)}
+    base = n_toxic / (n_toxic + n_clean)
+    candidates = [(r["f"], int(r["t"]), float(r["odds"])) for r in found if r["odds"] >= 10 and _evidence(r["t"], r["n"], base) >= EVIDENCE]
+    of_words = {f: t for f, t, _ in candidates if f.endswith(" ")}
+    main = {}
+    for f, t in of_words.items():
+        for k in PREFIXES:
+            main[f[: k + 1]] = max(t, main.get(f[: k + 1], 0))
+    candidates = [c for c in candidates if c[0] in of_words or main.get(c[0], 0) < 0.8 * c[1]]  # a beginning that is one word in the main is that word
+    known_patterns = {f for f, _, _ in candidates}
+
+    def matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hit = lambda w: f" {w} " in known_patterns or any(f" {w[:k]}" in known_patterns for k in PREFIXES if len(w) >= k)
+        for pdf in batches:
+            yield pd.DataFrame({"w": [[w for w in words if hit(w)] for words in pdf["words"]]})
+
+    toxic_docs = [list(r["w"]) for r in sample.where("toxic = 1").select("words").mapInPandas(matched, "w array<string>").collect()]
+    weights |= _choose(candidates, toxic_docs, n_toxic)
     lexicon = Lexicon(weights)
 
     def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
