@@ -36,6 +36,8 @@ FIT_TOXIC, FIT_CLEAN = 3_000, 9_000
 PREFIXES = range(4, 9)
 #: A pattern enters if chance explains its rows with probability under exp(-16), which allows for some 100,000 patterns tried.
 EVIDENCE = 16.0
+#: And if it is so many times likelier in toxic rows.
+ODDS = 60.0
 #: Score weights until enough labelled rows are there: constant, log of the sum, log of the share.
 COEF = (-5.0, 2.0, 1.0)
 
@@ -235,13 +237,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         per_word.select("t", "n", F.explode(F.array(whole, *begins)).alias("f")).where("f is not null")
         .groupBy("f").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.sum(F.when(F.col("t") > 0, 1).otherwise(0)).alias("kinds"))
         .withColumn("odds", odds)
-        .where((F.col("t") >= least) & (F.col("odds") >= 10) & (F.col("f").endswith(" ") | (F.col("kinds") >= 3)) | F.col("f").isin(list(seed_lexicon().weights)))
+        .where((F.col("t") >= least) & (F.col("odds") >= ODDS) & (F.col("f").endswith(" ") | (F.col("kinds") >= 3)) | F.col("f").isin(list(seed_lexicon().weights)))
         .select("f", "t", "n", "odds").collect()
     )
     seeds = seed_lexicon().weights
     weights = {p: w for p, w in seeds.items() if not any(r["f"] == p and r["odds"] < 10 and r["n"] - r["t"] > 3 for r in found)}
     base = n_toxic / (n_toxic + n_clean)
-    candidates = [(r["f"], int(r["t"]), float(r["odds"])) for r in found if r["odds"] >= 10 and _evidence(r["t"], r["n"], base) >= EVIDENCE]
+    candidates = [(r["f"], int(r["t"]), float(r["odds"])) for r in found if r["odds"] >= ODDS and _evidence(r["t"], r["n"], base) >= EVIDENCE]
     of_words = {f: t for f, t, _ in candidates if f.endswith(" ")}
     main = {}
     for f, t in of_words.items():
