@@ -203,7 +203,8 @@ def history_text(history: Column | str) -> Column:
 def criteria(c: Column | str) -> Column:
     """0 or 1 for each atomicity criterion by the first line that begins with it; null if one is missing."""
     lines = F.transform(F.split(F.lower(strip(c)), r"\r\n|[\n\r]"), strip)
-    found = [F.get(F.filter(lines, lambda x, n=n: F.startswith(x, F.lit(n))), F.lit(0)) for n in CRITERIA]
+    first = lambda name: F.get(F.filter(lines, lambda x: F.startswith(x, F.lit(name))), F.lit(0))
+    found = [first(n) for n in CRITERIA]
     scores = F.array(*[F.contains(x, F.lit("yes")).cast("int") for x in found])
     return F.when(~F.exists(scores, lambda s: s.isNull()), scores)
 
