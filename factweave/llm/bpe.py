@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factweave.llm.common import spread
 from factweave.llm.split import Words, units_of
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -211,4 +212,4 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string" * keep_ids + ", decoded string" * keep_text
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInPandas(run, schema)

@@ -32,6 +32,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if it has fewer partitions than there are (a table of one small file); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For links ``a[i]``-``b[i]``: each linked node and the smallest node of its group (roots themselves left out)."""
     nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factweave.llm.common import spread
+
 K1, B = 1.2, 0.75
 SEGMENT, SHINGLE = 64, 5
 #: Bytes of item text in one index; a larger benchmark is cut into several, and the corpus passes each.
@@ -212,7 +214,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """
     found = [leaks(F.col(text_col), index) for index in indexes(items)]
     each = F.concat(*found) if len(found) > 1 else found[0]
-    return docs.select(F.col(id_col).alias("id"), F.explode(each).alias("x")).select("id", "x.*")
+    own = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias(text_col)))
+    return own.select("id", F.explode(each).alias("x")).select("id", "x.*")
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:

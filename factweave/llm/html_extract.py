@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factweave.llm.common import spread
+
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|</[^>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 RAW = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in ("script", "style", "title", "textarea", "xmp", "noembed", "noframes")}
@@ -224,7 +226,7 @@ def extract_pages(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...
 
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep) + ", text string"
     return (
-        pages.select(*keep, F.col(html_col).alias("__html"))
+        spread(pages.select(*keep, F.col(html_col).alias("__html")))
         .mapInPandas(run, schema)
         .withColumn("n_chars", F.length("text").cast("long"))
     )

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import connected_components, cut, forest
+from factweave.llm.common import connected_components, cut, forest, spread
 
 SEED = 42
 SHARD_ROWS = 20_000
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.fromiter((fingerprint(t, words) for t in pdf["text"]), np.uint64, len(pdf))
             yield pd.DataFrame({"id": pdf["id"], "fp": fp.view(np.int64)})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, fp long")
+    return spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInPandas(run, "id long, fp long")
 
 
 class VantageTree:

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factweave.llm.common import spread
+
 #: Letters of other scripts by the Latin letter that they look like.
 HOMOGLYPHS = {
     "a": "аαɑ", "b": "ьβЬ", "c": "сϲ", "d": "ԁ", "e": "еєεё", "g": "ɡ", "h": "һн", "i": "іιıї", "j": "ј", "k": "кκ", "m": "м", "n": "ոп", "o": "оοσօ",
@@ -283,4 +285,5 @@ def score(text: Column, lexicon: Lexicon) -> Column:
 
 def scored(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """``(id, held_out, score, predicted)`` for every row of ``docs``; repeated rows each, extra columns unread, an empty table gives an empty result."""
-    return docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), score(F.col(text_col), lexicon).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    own = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    return own.select("id", held_out("id").alias("held_out"), score(F.col("text"), lexicon).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
