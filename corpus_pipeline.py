@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.llm import bpe, decontam, secret_scan, simhash, toxicity
-from factweave.llm.common import ensure_checkpoint_dir, table
+from factweave.llm.common import ensure_checkpoint_dir, spread, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is 0.7 or more go."""
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return docs.where(toxicity.score(F.col("text"), lexicon) < 0.7)
+    return spread(docs).where(toxicity.score(F.col("text"), lexicon) < 0.7)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
