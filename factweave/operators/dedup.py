@@ -13,8 +13,8 @@ from factweave.functions.text import strip, word_set
 from factweave.operators.records import first_by
 from factweave.plans.checkpoint import cut
 
-#: Fixed value: the Jaccard threshold. Bands of rows for candidates: a pair at the threshold is missed with probability 0.0002.
-THRESHOLD, BANDS, ROWS = 0.7, 32, 4
+#: Fixed value: the Jaccard threshold. Bands of rows for candidates: a pair at the threshold is missed with probability 0.0004, one of unrelated texts (0.2) is compared with probability 0.004.
+THRESHOLD, BANDS, ROWS = 0.7, 64, 6
 
 
 def distinct_claims(df: DataFrame, claim: str = "claim") -> DataFrame:
@@ -28,24 +28,23 @@ def first_wins(df: DataFrame, key: str, *order: str) -> DataFrame:
 
 def signatures(df: DataFrame, key: str, text: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``(key, band)`` rows: a hash of each band of min-hashes of the lower-case word set. Texts without words have none."""
-    prime = np.uint64((1 << 31) - 1)
     random = np.random.default_rng(1)
-    a = random.integers(1, int(prime), bands * rows, dtype=np.uint64)
-    b = random.integers(0, int(prime), bands * rows, dtype=np.uint64)
+    a = random.integers(1, 1 << 63, bands * rows, dtype=np.uint64) | np.uint64(1)
+    b = random.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for h in pdf["h"]:
-                x = np.asarray(h, np.int64).astype(np.uint64) % prime
-                low = np.full(bands * rows, prime, np.uint64)
-                for at in range(0, len(x), 4096):
-                    low = np.minimum(low, ((a[:, None] * x[at : at + 4096][None, :] + b[:, None]) % prime).min(axis=1))
-                out.append([int(v) for v in low.view(np.int64)])
+                x = np.asarray(h, np.int64).view(np.uint64)
+                low = np.full(bands * rows, np.uint64(1 << 63))
+                for at in range(0, len(x), 1024):  # multiply and shift, modulo 2**64
+                    low = np.minimum(low, ((a[:, None] * x[at : at + 1024][None, :] + b[:, None]) >> np.uint64(32)).min(axis=1))
+                out.append(low.view(np.int64))
             yield pd.DataFrame({"key": pdf["key"], "low": out})
 
     kind = df.schema[key].dataType.simpleString()
-    hashed = df.select(F.col(key).alias("key"), F.transform(word_set(text), lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 31) - 1))).alias("h")).where(F.size("h") > 0)
+    hashed = df.select(F.col(key).alias("key"), F.transform(word_set(text), lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") > 0)
     low = hashed.mapInPandas(run, f"key {kind}, low array<long>")
     band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.slice("low", k * rows + 1, rows)))
     return low.select("key", F.explode(band).alias("band"))

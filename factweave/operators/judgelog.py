@@ -92,8 +92,10 @@ def gate(logs: DataFrame, subset: str, judge: str, prompt: Column, full: bool =
 
 def read_logs(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Log rows from JSON strings; unreadable ones keep their other columns and are marked ``corrupt``."""
-    got = df.withColumn("__j", F.from_json(raw, SCHEMA, {"mode": "PERMISSIVE"})).withColumn("corrupt", F.expr(f"try_parse_json({raw}) IS NULL"))
-    return got.select(*[c for c in df.columns if c != raw], "corrupt", "__j.*")
+    parsed = F.from_json(raw, SCHEMA, {"mode": "PERMISSIVE"})
+    got = df.withColumn("corrupt", F.expr(f"try_parse_json({raw}) IS NULL"))
+    # A generator is a barrier: each string is parsed once, however many columns later expressions use.
+    return got.select(*[c for c in df.columns if c != raw], "corrupt", F.inline(F.array(parsed)))
 
 
 def dataset(gated: DataFrame, subset: str, order: tuple[str, ...] = ("source_run", "path"), full: bool = False) -> DataFrame:
