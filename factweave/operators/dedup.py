@@ -26,8 +26,13 @@ def first_wins(df: DataFrame, key: str, *order: str) -> DataFrame:
     return first_by(df, [key], *(order or ("ord",)))
 
 
-def signatures(df: DataFrame, key: str, text: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``(key, band)`` rows: a hash of each band of min-hashes of the lower-case word set. Texts without words have none."""
+def word_sets(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, w)``: the sorted lower-case word set of each row."""
+    return df.select(F.col(key).alias("key"), F.array_sort(word_set(text)).alias("w"))
+
+
+def signatures(sets: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``(key, band)`` rows: a hash of each band of min-hashes of ``sets(key, w)``. Empty sets have none."""
     random = np.random.default_rng(1)
     a = random.integers(1, 1 << 63, bands * rows, dtype=np.uint64) | np.uint64(1)
     b = random.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
@@ -43,8 +48,8 @@ def signatures(df: DataFrame, key: str, text: str, bands: int = BANDS, rows: int
                 out.append(low.view(np.int64))
             yield pd.DataFrame({"key": pdf["key"], "low": out})
 
-    kind = df.schema[key].dataType.simpleString()
-    hashed = df.select(F.col(key).alias("key"), F.transform(word_set(text), lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") > 0)
+    kind = sets.schema["key"].dataType.simpleString()
+    hashed = sets.select("key", F.transform("w", lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") > 0)
     low = hashed.mapInPandas(run, f"key {kind}, low array<long>")
     band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.slice("low", k * rows + 1, rows)))
     return low.select("key", F.explode(band).alias("band"))
@@ -53,16 +58,17 @@ def signatures(df: DataFrame, key: str, text: str, bands: int = BANDS, rows: int
 def jaccard_pairs(left: DataFrame, right: DataFrame, key: str, text: str, threshold: float = THRESHOLD, same: bool = False) -> DataFrame:
     """``(a, b, jaccard)`` of word sets at the threshold or over it; ``same``: pairs of one table, ``a < b``.
 
-    Equal word sets are taken once on each side, so copies don't multiply pairs:
-    the keys are the smallest of each set, and ``classes`` has the others.
+    Callers take equal word sets once, so copies don't multiply pairs. Sets and bands
+    are written once, since both sides of the joins read them.
     """
-    sides = []
-    for df in (left, right):
-        sets = df.select(F.col(key).alias("key"), F.array_sort(word_set(text)).alias("w"))
-        sides.append(sets)
-    cand = signatures(left, key, text).withColumnRenamed("key", "a").join(signatures(right, key, text).withColumnRenamed("key", "b"), "band")
+    own = cut(word_sets(left, key, text))
+    other = own if same else cut(word_sets(right, key, text))
+    bands = cut(signatures(own))
+    other_bands = bands if same else cut(signatures(other))
+    cand = bands.withColumnRenamed("key", "a").join(other_bands.withColumnRenamed("key", "b"), "band")
     cand = (cand.where("a < b") if same else cand).select("a", "b").distinct()
-    got = cand.join(sides[0].withColumnsRenamed({"key": "a", "w": "wa"}), "a").join(sides[1].withColumnsRenamed({"key": "b", "w": "wb"}), "b")
+    got = cand.join(own.withColumnsRenamed({"key": "a", "w": "wa"}), "a").join(other.withColumnsRenamed({"key": "b", "w": "wb"}), "b")
+    got = got.where((F.size("wa") >= threshold * F.size("wb")) & (F.size("wb") >= threshold * F.size("wa")))
     both = F.size(F.array_intersect("wa", "wb"))
     return got.select("a", "b", (both / (F.size("wa") + F.size("wb") - both)).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
