@@ -164,3 +164,31 @@ def usage_cost(df: DataFrame, price_in: float, price_out: float) -> DataFrame:
     """Summed token counters and their price per million."""
     s = df.agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("total_tokens").alias("total_tokens"))
     return s.withColumn("cost", F.col("input_tokens") * price_in / 1e6 + F.col("output_tokens") * price_out / 1e6)
+
+
+def nli_results(df: DataFrame, prob: str = "minicheck_prob", threshold: float = 0.5) -> DataFrame:
+    """Scorer rows with the predicted label, its confidence, and the probability of the true label."""
+    p = F.col(prob)
+    return df.withColumns({
+        "pred_label": F.when(p >= threshold, "supported").otherwise("refuted"),
+        "pred_confidence": F.when(p >= threshold, p).otherwise(1 - p),
+        "correctness_confidence": F.when(F.lower("gt_label") == "supported", p).otherwise(1 - p),
+    })
+
+
+def evaluation_metrics(df: DataFrame, means: dict[str, str]) -> DataFrame:
+    """Classification metrics and the means of the columns that ``means`` names, nulls left out."""
+    extra = df.agg(*[F.avg(F.col(c).cast("double")).alias(name) for name, c in means.items()])
+    return binary_metrics(df).crossJoin(F.broadcast(extra))
+
+
+def method_report(df: DataFrame, method: str, source: str, label: str) -> DataFrame:
+    """Rows, source entropy and label balance of each selection."""
+    def share(by: str) -> DataFrame:
+        counts = df.groupBy(method, by).agg(F.count(F.lit(1)).alias("n"))
+        total = counts.groupBy(method).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k"))
+        return counts.join(total, method).withColumn("p", F.col("n") / F.col("total"))
+
+    a = share(source).groupBy(method).agg(F.max("total").alias("rows"), (-F.sum(F.col("p") * F.log2("p"))).alias("entropy"))
+    b = share(label).groupBy(method).agg((1 - F.sum(F.abs(F.col("p") - 1.0 / F.col("k"))) / 2).alias("balance"))
+    return a.join(b, method)

@@ -7,6 +7,8 @@ back. Keys are ``(prompt_id, gen_idx)``.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -137,3 +139,41 @@ def vendi_reward(df: DataFrame, vec: str) -> DataFrame:
         return float(np.exp(-(value * np.log(value)).sum()) / n)
 
     return _per_generation_numpy(df, vec, how)
+
+
+@dataclass(frozen=True)
+class RewardConfig:
+    """Which rewards a training step asks for; the form of a generation is always scored."""
+
+    necessity: bool = True
+    joint_quality: bool = True
+    diversity: str | None = "vendi"
+    supervision_rate: float = 1.0
+    question_count: bool = False
+    coverage: bool = True
+
+    @classmethod
+    def from_env(cls, env: dict[str, str]) -> RewardConfig:
+        on = lambda name, default="1": env.get(name, default) == "1"
+        rate = float(env.get("SUPERVISION_RATE", "1.0"))
+        if not 0 <= rate <= 1:
+            raise ValueError("the supervision rate lies between 0 and 1")
+        kind = env.get("DIVERSITY_REWARD", "vendi")
+        return cls(on("NECESSITY_SALIENCY_REWARD"), on("JOINT_QUALITY_REWARD"), kind if on("DIVERSITY_REWARD_ENABLED") else None, rate, on("GOOD_NUM_Q_REWARD", "0"), on("COVERAGE_REWARD"))
+
+    def names(self) -> list[str]:
+        asked = (("format", True), ("necessity_saliency", self.necessity), ("joint_quality", self.joint_quality), ("diversity", self.diversity is not None), ("verification", self.supervision_rate > 0), ("good_num_q", self.question_count), ("coverage", self.coverage))
+        return [n for n, on in asked if on]
+
+
+def reward_table(df: DataFrame, config: RewardConfig, parts: dict[str, DataFrame]) -> DataFrame:
+    """One column for each asked reward: those of ``parts`` by generation, 0 where a part has no row."""
+    out = df.select(*KEY)
+    for name in config.names():
+        out = out.join(parts[name].select(*KEY, F.col("score").alias(name)), KEY, "left")
+    return out.na.fill(0.0)
+
+
+def eval_steps(rows: int, batch: int, epochs: int, evals: int = 30) -> int:
+    """Steps between evaluations so that a run has about ``evals`` of them."""
+    return max(1, max(1, rows // max(1, batch) * max(1, epochs)) // max(1, evals))

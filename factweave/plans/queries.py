@@ -471,6 +471,35 @@ def split_stats(spark, sf):
     return aggregates.split_stats(own, "evidence", "quality", "claim_hash").withColumns({"len_mean": F.round("len_mean", 6), "len_std": F.round("len_std", 6)})
 
 
+@query(with_base("""
+, x AS (SELECT lower(label) AS t, CAST((n_chars % 1000) / 1000.0 AS DOUBLE) AS p FROM claims)
+SELECT t AS gt, CASE WHEN p >= 0.5 THEN 'supported' ELSE 'refuted' END AS pred_label, count(*) AS n, round(avg(CASE WHEN p >= 0.5 THEN p ELSE 1 - p END), 9) AS confidence, round(avg(CASE WHEN t = 'supported' THEN p ELSE 1 - p END), 9) AS correctness FROM x GROUP BY 1, 2
+"""))
+def nli_results(spark, sf):
+    got = aggregates.nli_results(predictions(spark, sf).drop("pred_label"), "prob")
+    return got.groupBy(F.lower("gt_label").alias("gt"), "pred_label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("pred_confidence"), 9).alias("confidence"), F.round(F.avg("correctness_confidence"), 9).alias("correctness"))
+
+
+@query(with_base("SELECT count(*) AS total_samples, round(avg(CAST(n_chars % 5 AS DOUBLE)), 9) AS mean_num_turns, round(avg((n_chars % 2)::DOUBLE), 9) AS frac_exited_early, round(avg(CASE WHEN ord % 3 = 0 THEN NULL ELSE (n_chars % 1000) / 1000.0 END), 9) AS mean_frac_yes_decisive FROM claims"))
+def evaluation_means(spark, sf):
+    own = predictions(spark, sf).join(claims(spark, sf).select("ord", (F.col("n_chars") % 5).alias("num_turns")), "ord")
+    own = own.withColumns({"early": F.col("pred2") == 1, "decisive": F.when(F.col("truth3") != 0, F.col("prob"))})
+    got = aggregates.evaluation_metrics(own, {"mean_num_turns": "num_turns", "frac_exited_early": "early", "mean_frac_yes_decisive": "decisive"})
+    return got.select("total_samples", *[F.round(c, 9).alias(c) for c in ("mean_num_turns", "frac_exited_early", "mean_frac_yes_decisive")])
+
+
+@query("""
+WITH s AS (SELECT m.method, d.source, d.lang FROM ({selected}) m JOIN documents d USING (doc_id)),
+a AS (SELECT method, count(*) / sum(count(*)) OVER (PARTITION BY method) AS p, sum(count(*)) OVER (PARTITION BY method) AS rows FROM s GROUP BY method, source),
+b AS (SELECT method, count(*) / sum(count(*)) OVER (PARTITION BY method) AS p, count(*) OVER (PARTITION BY method) AS k FROM s GROUP BY method, lang)
+SELECT x.method, CAST(x.rows AS BIGINT) AS rows, round(x.e, 9) AS entropy, round(y.b, 9) AS balance
+FROM (SELECT method, max(rows) AS rows, -sum(p * log2(p)) AS e FROM a GROUP BY 1) x JOIN (SELECT method, 1 - sum(abs(p - 1.0 / k)) / 2 AS b FROM b GROUP BY 1) y USING (method)
+""".replace("{selected}", "SELECT doc_id, 'a' AS method FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'b' FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'c' FROM documents WHERE doc_id % 5 = 0"))
+def method_report(spark, sf):
+    own = chosen(spark, sf).join(read(spark, sf, "documents").select("doc_id", "source", "lang"), "doc_id")
+    return aggregates.method_report(own, "method", "source", "lang").select("method", "rows", F.round("entropy", 9).alias("entropy"), F.round("balance", 9).alias("balance"))
+
+
 SELECTED = "SELECT doc_id, 'a' AS method FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'b' FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'c' FROM documents WHERE doc_id % 5 = 0"
 
 

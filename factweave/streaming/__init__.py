@@ -1 +1 @@
-
+"""Empty: the engine's workload has no streams."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from factweave.operators import aggregates, dedup, filters, judgelog, providers, records, rewards, sampling, selection, similarity
 from factweave.plans import curation, qacheck
-from factweave.sources import corpora, files
+from factweave.sources import corpora, files, raw
 
 
 def table(spark, rows, schema):
@@ -275,6 +275,28 @@ def test_corpora(spark, tmp_path):
     assert whole.count() == 2 and n.first()["n"] == 2
 
 
+def test_raw_corpora(spark):
+    claims = table(spark, [("c", "7"), ("d", ""), ("e", "9")], "claim string, evidence_doc_id string")
+    docs = table(spark, [(7, "T", ["a", "b"])], "doc_id long, title string, abstract array<string>")
+    assert [(r["claim"], r["evidence"]) for r in raw.abstracts(claims, docs).collect()] == [("c", "T\n\na b")]
+    pages = table(spark, [("1", "first", 0), ("1", "second", 1)], "id string, text string, ord int")
+    assert [r["text"] for r in raw.passages(table(spark, [("x", "1"), ("y", "2")], "claim string, id string"), pages).collect()] == ["first"]
+    assert raw.tables(table(spark, [("<table><tr><th>a</th></tr></table>",)], "table string")).first()["table_md"] == "| a |\n| --- |"
+    assert raw.labels(table(spark, [("a",), ("a",)], "label string")).count() == 1
+
+
+def test_reward_registry(spark):
+    assert rewards.RewardConfig().names() == ["format", "necessity_saliency", "joint_quality", "diversity", "verification", "coverage"]
+    own = rewards.RewardConfig.from_env({"SUPERVISION_RATE": "0", "DIVERSITY_REWARD_ENABLED": "0", "NECESSITY_SALIENCY_REWARD": "0", "JOINT_QUALITY_REWARD": "0", "GOOD_NUM_Q_REWARD": "1", "COVERAGE_REWARD": "0"})
+    assert own.names() == ["format", "good_num_q"]
+    with pytest.raises(ValueError):
+        rewards.RewardConfig.from_env({"SUPERVISION_RATE": "2"})
+    df = table(spark, [(1, 0), (1, 1)], "prompt_id long, gen_idx int")
+    one = table(spark, [(1, 0, 0.5)], "prompt_id long, gen_idx int, score double")
+    assert sorted(map(tuple, rewards.reward_table(df, own, {"format": one, "good_num_q": one}).collect())) == [(1, 0, 0.5, 0.5), (1, 1, 0.0, 0.0)]
+    assert rewards.eval_steps(1000, 10, 3) == 10 and rewards.eval_steps(1, 10, 1) == 1
+
+
 def test_files(spark, tmp_path):
     df = spark.range(3)
     assert files.write_metrics(df, str(tmp_path / "m")) and not files.write_metrics(df, str(tmp_path / "m")) and files.write_metrics(df, str(tmp_path / "m"), force=True)
