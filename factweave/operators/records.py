@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.functions.text import col, lookup, strip
+from factweave.plans.checkpoint import cut
 
 COLUMNS = ("id", "src", "claim", "evidence", "label", "orig_label", "metadata")
 #: Fixed value: the two canonical labels.
@@ -61,7 +62,8 @@ def first_by(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
 
 def with_order(df: DataFrame, *order: str) -> DataFrame:
     """``ord``: the global place of each row, from a range partitioning and prefix sums; no task sees all rows."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    # Both uses below must see the same partitions, so they are written once.
+    parts = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
     sums = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("low"))
     starts = sums.select(F.col("__part").alias("__of"), "low", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("start"))
     return parts.join(starts, F.col("__part") == F.col("__of")).withColumn("ord", F.col("start") + F.col("__at") - F.col("low")).select("ord", *df.columns)
