@@ -32,6 +32,7 @@ JUNK = re.compile(
     r"|comments?|commentlist|comment-\w+|disqus\w*|discussion|replies|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|skip|hidden|print-only|legal|copyright|tags|byline-share)(?:$|[\s_-])",
     re.I,
 )
+HEAD = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar toolbar form".split())
 MAIN = re.compile(r"(?:^|[\s_-])(?:article\w*|post|entry|content|story|main|text|body)(?:$|[\s_-])", re.I)
 
@@ -60,9 +61,12 @@ def _unwanted(tag: str, attributes: str, stack: list[_Node]) -> bool:
         return True
     if got.get("role", "").lower() in ROLES:
         return True
+    names = [v for v in (got.get("class", ""), got.get("id", "")) if v]
+    if tag not in HEADING and any(HEAD.search(v) for v in names) and not any(n.tag in ("article", "main") for n in stack) and tag not in ("body", "html", "main", "article"):
+        return True
     if tag in ("body", "html", "main", "article") and not re.search(r"comment|advert|\bad\b", got.get("class", "") + " " + got.get("id", ""), re.I):
         return False
-    return any(JUNK.search(v) and not (MAIN.search(v) and not re.search(r"comment|\bads?\b|advert|sidebar|footer|nav|menu|share|related|notice|promo", v, re.I)) for v in (got.get("class", ""), got.get("id", "")) if v)
+    return any(JUNK.search(v) and not (MAIN.search(v) and not re.search(r"comment|\bads?\b|advert|sidebar|footer|nav|menu|share|related|notice|promo", v, re.I)) for v in names)
 
 
 def parse(page: str) -> tuple[_Node, list[str], list[_Node]]:

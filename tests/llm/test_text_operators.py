@@ -303,6 +303,8 @@ PAGES = {
     "script": ("<article><p>a</p><script>var x='<p>no</p>';</script><style>p{}</style><form><p>Name</p></form><p>b</p></article>", "a b"),
     "open": ("<article><p>cut <b>off <p>here &am", "cut off here &am"),
     "hidden": ("<article><p>seen</p><p hidden>not</p><div style='display:none'><p>nor this</p></div><div role=complementary>nor</div></article>", "seen"),
+    "header": ("<body><div class='site header'><p>Name of the site, and its motto.</p></div><div class=post><div class='post-title'><h1>T</h1></div><p>The text, of it.</p></div></body>", "T The text, of it."),
+    "adverts": ("<article><div class='ad'><p>Buy, now, this.</p></div><p>Kept, text.</p><aside><p>Beside, it.</p></aside><div class=cookie-notice>We use, cookies.</div></article>", "Kept, text."),
     "menu": ("<body><nav><ul><li><a href=x>only</a></li></ul></nav></body>", ""),
     "empty": ("", ""),
 }
