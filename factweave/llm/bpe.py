@@ -173,7 +173,7 @@ def load(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def chunks(texts: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
+def chunks(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
     """Runs of texts of about so many characters, so that a batch of long texts is not held as words at once."""
     part, size = [], 0
     for t in texts:
