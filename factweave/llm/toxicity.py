@@ -38,8 +38,8 @@ FIT_TOXIC, FIT_CLEAN = 3_000, 9_000
 PREFIXES = range(4, 9)
 #: A pattern enters if chance explains its rows with probability under exp(-16), which allows for some 100,000 patterns tried.
 EVIDENCE = 16.0
-#: And if it is so many times likelier in toxic rows.
-ODDS = 60.0
+#: And if it is so many times likelier in toxic rows. Weak patterns enter with their small weights; the fitted score weighs a single hit of theirs.
+ODDS = 10.0
 #: Score weights until enough labelled rows are there: constant, log of the sum, log of the share.
 COEF = (-5.0, 2.0, 1.0)
 

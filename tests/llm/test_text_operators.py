@@ -7,6 +7,7 @@ import struct
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -62,6 +63,29 @@ def test_fit_learns_words_and_beginnings(labelled):
     assert {r["held_out"] for r in got if r["id"] == 5} == {zlib.crc32(b"5") % 3 == 1}
 
 
+def test_fit_keeps_families_that_clean_rows_hold_now_and_then(spark):
+    rng = random.Random(5)
+    syllables = ("la", "mi", "to", "ren", "sa", "vu", "ke", "po")
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(2, 4)))
+    rows, only_weak = [], set()
+    for k in range(1800):
+        words, toxic = [word() for _ in range(rng.randint(40, 120))], k % 5 == 0
+        if toxic and k % 2:
+            words += [rng.choice(("gruxxo", "zort")) for _ in range(3)]
+        elif toxic or k % 31 == 1:  # a family of words, now and then one of it in a clean text
+            words += ["bozmen" + word() for _ in range(4 if toxic else 1)]
+            only_weak |= {k} if toxic else set()
+        rng.shuffle(words)
+        rows.append((k, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(4)
+    own = toxicity.fit(docs, spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int"))
+    assert any(p.startswith(" bozm") and 10 <= np.exp(w) < 60 for p, w in own.weights.items())
+    got = [r for r in toxicity.scored(docs, own).collect() if r["held_out"]]
+    assert len(only_weak & {r["id"] for r in got}) > 40
+    assert all(r["predicted"] for r in got if r["id"] in only_weak)
+    assert sum(r["predicted"] for r in got if rows[r["id"]][2] == 0) <= 0.01 * len(got)
+
+
 def test_labels_of_the_held_out_third_are_not_read(spark, labelled):
     docs, labels = labelled
     flipped = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
