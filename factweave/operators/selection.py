@@ -1,12 +1,13 @@
 """Diversity selection within groups of vectors, and diversity scores.
 
-A group is a label and source pair whose size a budget of a few thousand rows
-presumes small; groups above ``MAX_GROUP`` are first cut to the farthest-spread
-candidates of hashed parts, so that no task holds an unbounded group.
+Each method sees its whole group. A group that fits a task is chosen from in one;
+a larger one takes passes over its rows, an aggregation a step, with the same
+result up to the rounding of sums.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
 
 import numpy as np
@@ -14,7 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factweave.plans.checkpoint import cut
+
+#: Groups of more rows are not held in one task; facility location's task holds the square of its rows.
 MAX_GROUP = 20_000
+MAX_SQUARE = 6_000
+#: Candidates whose gain a step of facility location over a large group works out first.
+CANDIDATES = 256
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -29,13 +36,13 @@ def farthest_points(m: np.ndarray, budget: int) -> list[int]:
     x = unit(m)
     centre = x.mean(axis=0)
     size = np.linalg.norm(centre)
-    taken = [int(np.argmax(x @ (centre / (size if size else 1.0))))]
-    far = 1 - x @ x[taken[0]]
+    taken = [int(np.argmax(np.round(x @ (centre / (size if size else 1.0)), 12)))]
+    far = np.round(1 - x @ x[taken[0]], 12)
     far[taken[0]] = -np.inf
     while len(taken) < min(budget, len(m)):
         k = int(np.argmax(far))
         taken.append(k)
-        far = np.minimum(far, 1 - x @ x[k])
+        far = np.minimum(far, np.round(1 - x @ x[k], 12))
         far[k] = -np.inf
     return taken
 
@@ -46,7 +53,8 @@ def facility_location(m: np.ndarray, budget: int) -> list[int]:
     best, taken, free = np.full(len(m), -1.0), [], np.ones(len(m), bool)
     sim = x @ x.T
     while len(taken) < min(budget, len(m)):
-        gain = np.maximum(sim - best[None, :], 0).sum(axis=1)
+        gain = np.concatenate([np.maximum(sim[a : a + 512] - best[None, :], 0).sum(axis=1) for a in range(0, len(m), 512)])
+        gain = np.round(gain, 9)
         gain[~free] = -np.inf
         k = int(np.argmax(gain))
         taken.append(k)
@@ -55,55 +63,132 @@ def facility_location(m: np.ndarray, budget: int) -> list[int]:
     return taken
 
 
-def kmeans(m: np.ndarray, k: int, seed: int = 42, starts: int = 10, steps: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids and assignment of the best of several seeded starts of Lloyd's algorithm with k-means++ seeding."""
-    rng, best = np.random.default_rng(seed), None
-    square = (m**2).sum(axis=1)
-    for _ in range(starts):
-        chosen = [int(rng.integers(len(m)))]
-        d = ((m - m[chosen[0]]) ** 2).sum(axis=1)
-        while len(chosen) < k:
-            total = d.sum()
-            chosen.append(int(rng.choice(len(m), p=d / total)) if total > 0 else int(rng.integers(len(m))))
-            d = np.minimum(d, ((m - m[chosen[-1]]) ** 2).sum(axis=1))
-        centre = m[chosen].astype(float)
-        for _ in range(steps):
-            dist = square[:, None] - 2 * m @ centre.T + (centre**2).sum(axis=1)[None, :]
-            of = dist.argmin(axis=1)
-            size = np.bincount(of, minlength=k)
-            new = np.zeros_like(centre)
-            np.add.at(new, of, m)
-            new = np.where(size[:, None] > 0, new / np.maximum(size, 1)[:, None], centre)
-            if np.allclose(new, centre):
+def race(mark: np.ndarray, start: int, step: int, seed: int) -> np.ndarray:
+    """An exponential variate of each row, fixed by its mark: the least of them over the weight is a weighted draw, however the rows are dealt."""
+    z = mark.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (1 + start + 1_000 * step + 1_000_003 * seed)) & 0xFFFFFFFFFFFFFFFF)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(by)
+    return -np.log(((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54)
+
+
+#: Applies a function of keys, marks and vectors to all parts of a group, and gives the results.
+Run = Callable[[Callable], list]
+
+
+def in_memory(m: np.ndarray, mark: np.ndarray | None) -> Run:
+    keys = np.arange(len(m))
+    return lambda f: [f(keys, keys if mark is None else mark, m)]
+
+
+def squares(m: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    return np.maximum((m**2).sum(axis=1)[:, None] - 2 * m @ centre.T + (centre**2).sum(axis=1)[None, :], 0)
+
+
+def kmeans(run: Run, k: int, seed: int = 42, starts: int = 10, steps: int = 100) -> np.ndarray:
+    """Centroids of the best of several seeded starts of Lloyd's algorithm with k-means++ seeding; a pass serves all starts."""
+    chosen: list[list[np.ndarray]] = [[] for _ in range(starts)]
+    for step in range(k):
+
+        def draw(keys, mark, m, step=step):
+            out = []
+            for s, own in enumerate(chosen):
+                e = race(mark, s, step, seed)
+                weight = squares(m, np.stack(own)).min(axis=1) if own else np.ones(len(m))
+                weight[weight < 1e-12 * (m**2).sum(axis=1)] = 0  # the chosen themselves, but for rounding
+                with np.errstate(divide="ignore"):
+                    at, plain = int(np.argmin(e / weight)), int(np.argmin(e))
+                out.append((False, e[at] / weight[at], keys[at], m[at]) if weight[at] > 0 else (True, e[plain], keys[plain], m[plain]))
+            return out
+
+        got = run(draw)
+        for s in range(starts):
+            chosen[s].append(min((g[s] for g in got), key=lambda x: x[:3])[3])
+    centres, done = [np.stack(c).astype(float) for c in chosen], [np.inf] * starts
+    active = list(range(starts))
+    for step in range(steps):
+
+        def sums(keys, mark, m):
+            out = []
+            for s in active:
+                d = squares(m, centres[s])
+                of = d.argmin(axis=1)
+                one = np.zeros((len(m), k))
+                one[np.arange(len(m)), of] = 1
+                out.append((one.T @ m, one.sum(axis=0), float(d[np.arange(len(m)), of].sum())))
+            return out
+
+        got, moving = run(sums), []
+        for i, s in enumerate(active):
+            total, size = sum(g[i][0] for g in got), sum(g[i][1] for g in got)
+            done[s] = sum(g[i][2] for g in got)
+            new = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], centres[s])
+            if not np.allclose(new, centres[s]) and step < steps - 1:
+                centres[s] = new
+                moving.append(s)
+        active = moving
+        if not active:
+            break
+    best = 0
+    for s in range(1, starts):
+        if done[s] < done[best] * (1 - 1e-12) - 1e-12:
+            best = s
+    return centres[best]
+
+
+def nearest_unused(run: Run, centre: np.ndarray) -> list:
+    """For each centroid in turn the key of the unused vector of greatest cosine."""
+    c, taken, depth = unit(centre), [], 8
+    while len(taken) < len(c):
+        at, used = len(taken), set(taken)
+
+        def tops(keys, mark, m):
+            free = np.array([k not in used for k in keys], bool)
+            keys, sim = [k for k in keys if k not in used], np.round(unit(m[free]) @ c[at:].T, 12)
+            return [[(-sim[i, j], keys[i]) for i in np.argsort(-sim[:, j], kind="stable")[:depth]] for j in range(sim.shape[1])]
+
+        got = run(tops)
+        for j in range(len(c) - at):
+            left = [k for _, k in sorted(x for g in got for x in g[j])[:depth] if k not in taken]
+            if not left:
                 break
-            centre = new
-        inertia = float(dist[np.arange(len(m)), of].sum())
-        if best is None or inertia < best[0] - 1e-12:
-            best = inertia, centre, of
-    return best[1], best[2]
+            taken.append(left[0])
+    return taken
+
 
+def nearest_members(run: Run, centre: np.ndarray) -> list:
+    """The key of one member of each cluster, nearest to its centroid."""
 
-def kmeans_nearest(m: np.ndarray, budget: int, seed: int = 42) -> list[int]:
+    def members(keys, mark, m):
+        d, out = squares(m, centre), {}
+        of = d.argmin(axis=1)
+        for c in np.unique(of):
+            own = np.flatnonzero(of == c)
+            at = own[np.argmin(np.round(d[own, c], 9))]
+            out[int(c)] = (round(float(d[at, c]), 9), keys[at])
+        return out
+
+    got = run(members)
+    return [min(g[c] for g in got if c in g)[1] for c in sorted(set().union(*got))]
+
+
+def kmeans_nearest(m: np.ndarray, budget: int, mark: np.ndarray | None = None, seed: int = 42) -> list[int]:
     """For each of ``budget`` centroids the unused vector of greatest cosine; all vectors if there are no more."""
     if budget >= len(m):
         return list(range(len(m)))
     if budget <= 0:
         return []
-    centre, _ = kmeans(m, budget, seed)
-    sim, taken = unit(centre) @ unit(m).T, []
-    for row in sim:
-        row[taken] = -np.inf
-        taken.append(int(np.argmax(row)))
-    return taken
+    run = in_memory(m, mark)
+    return [int(k) for k in nearest_unused(run, kmeans(run, budget, seed))]
 
 
-def kmeans_prefilter(m: np.ndarray, keep: int, seed: int = 42) -> list[int]:
+def kmeans_prefilter(m: np.ndarray, keep: int, mark: np.ndarray | None = None, seed: int = 42) -> list[int]:
     """One member of each cluster, nearest to its centroid."""
     if keep >= len(m):
         return list(range(len(m)))
-    centre, of = kmeans(m, keep, seed)
-    d = ((m - centre[of]) ** 2).sum(axis=1)
-    return sorted(int(np.flatnonzero(of == c)[np.argmin(d[of == c])]) for c in np.unique(of))
+    if keep <= 0:
+        return []
+    run = in_memory(m, mark)
+    return sorted(int(k) for k in nearest_members(run, kmeans(run, keep, seed)))
 
 
 def kdpp(m: np.ndarray, budget: int, seed: int = 42) -> list[int]:
@@ -144,40 +229,157 @@ def kdpp(m: np.ndarray, budget: int, seed: int = 42) -> list[int]:
     return sorted(taken)
 
 
-def kmeans_kdpp(m: np.ndarray, budget: int, seed: int = 42) -> list[int]:
+def kmeans_kdpp(m: np.ndarray, budget: int, mark: np.ndarray | None = None, seed: int = 42) -> list[int]:
     """A determinantal sample of three times as many prefiltered vectors."""
-    own = kmeans_prefilter(m, 3 * budget, seed)
+    own = kmeans_prefilter(m, 3 * budget, mark, seed)
     return [own[k] for k in kdpp(m[own], budget, seed)]
 
 
-METHODS: dict[str, Callable[[np.ndarray, int], list[int]]] = {"farthest": farthest_points, "facility": facility_location, "kmeans": kmeans_nearest, "kdpp": kmeans_kdpp}
+METHODS: dict[str, Callable[[np.ndarray, int, np.ndarray], list[int]]] = {"farthest": lambda m, n, _: farthest_points(m, n), "facility": lambda m, n, _: facility_location(m, n), "kmeans": kmeans_nearest, "kdpp": kmeans_kdpp}
+
+
+def in_passes(rows: DataFrame) -> Run:
+    """Passes over the Arrow batches of ``rows(__key, __mark, __vec)``."""
+
+    def run(f: Callable) -> list:
+        def each(batches):
+            for pdf in batches:
+                if len(pdf):
+                    pdf = pdf.sort_values("__key")
+                    yield pd.DataFrame({"x": [pickle.dumps(f(pdf["__key"].tolist(), pdf["__mark"].to_numpy(), np.stack(pdf["__vec"].to_numpy()).astype(np.float64)))]})
+
+        return [pickle.loads(r["x"]) for r in rows.mapInPandas(each, "x binary").collect()]
+
+    return run
+
+
+def farthest_in_passes(run: Run, budget: int) -> list:
+    """``farthest_points`` of a group of any size."""
+    centre = sum(run(lambda keys, mark, m: unit(m).sum(axis=0)))
+    size = np.linalg.norm(centre)
+    centre = centre / (size if size else 1.0)
+
+    def nearest(keys, mark, m):
+        sim = np.round(unit(m) @ centre, 12)
+        return -sim.max(), keys[int(np.argmax(sim))], m[int(np.argmax(sim))]
+
+    taken = [min(run(nearest), key=lambda x: x[:2])]
+    while len(taken) < budget:
+        x, used = unit(np.stack([t[2] for t in taken])), {t[1] for t in taken}
+
+        def farthest(keys, mark, m):
+            far = np.round(1 - (unit(m) @ x.T).max(axis=1), 12)
+            far[[k in used for k in keys]] = -np.inf
+            return -far.max(), keys[int(np.argmax(far))], m[int(np.argmax(far))]
+
+        taken.append(min(run(farthest), key=lambda x: x[:2]))
+    return [t[1] for t in taken]
+
+
+def first_gains(rows: DataFrame, taken: np.ndarray, tile: int) -> DataFrame:
+    """``rows`` with the gain of each over ``taken``, summed over all pairs of tiles."""
+    n = max(1, -(-rows.count() // tile))
+    tiles = cut(
+        rows.withColumn("__tile", F.pmod(F.xxhash64(F.lit("tile"), "__key"), F.lit(n)).cast("int"))
+        .groupBy("__tile").agg(F.sort_array(F.collect_list(F.struct("__key", "__vec"))).alias("own"))
+        .select("__tile", F.col("own.__key").alias("keys"), F.col("own.__vec").alias("vecs"))
+    )
+    kind = rows.schema["__key"].dataType.simpleString()
+    pairs = tiles.select("keys", "vecs").crossJoin(tiles.select(F.col("vecs").alias("others"))).repartition(max(n, rows.sparkSession.sparkContext.defaultParallelism))
+
+    def gains(batches):
+        for pdf in batches:
+            for keys, vecs, others in zip(pdf["keys"], pdf["vecs"], pdf["others"], strict=True):
+                x, y = (unit(np.stack(v).astype(np.float64)) for v in (vecs, others))
+                yield pd.DataFrame({"__key": keys, "g": np.maximum(y @ x.T - (y @ taken.T).max(axis=1)[:, None], 0).sum(axis=0)})
+
+    return rows.join(pairs.mapInPandas(gains, f"__key {kind}, g double").groupBy("__key").agg(F.sum("g").alias("__gain")), "__key")
+
+
+def facility_in_passes(rows: DataFrame, run: Run, budget: int, tile: int = 2_000) -> list:
+    """``facility_location`` of a group of any size.
+
+    Against no choice a gain is linear, so the first needs sums only. The gains over the
+    first choice come from all pairs; as gains only shrink, they bound the later ones,
+    and a step works out those of the highest bounds until none other can be greater.
+    """
+    total = sum(run(lambda keys, mark, m: unit(m).sum(axis=0)))
+
+    def first(keys, mark, m):
+        gain = np.round(unit(m) @ total, 9)
+        return -gain.max(), keys[int(np.argmax(gain))], m[int(np.argmax(gain))]
+
+    taken = [min(run(first), key=lambda x: x[:2])]
+    if budget < 2:
+        return [t[1] for t in taken]
+    bounds = cut(first_gains(rows, unit(np.stack([taken[0][2]])), tile))
+    limit, top = 0, []
+    while len(taken) < budget:
+        x, used = unit(np.stack([t[2] for t in taken])), {t[1] for t in taken}
+        want = limit or CANDIDATES
+        while True:
+            if want > limit:
+                top = bounds.orderBy(F.desc("__gain"), "__key").limit(want).select("__key", "__vec", "__gain").collect()
+                limit = want
+            own = sorted((r for r in top if r["__key"] not in used), key=lambda r: r["__key"])
+            whole, rest = len(top) < limit, top[-1]["__gain"]
+            best = None
+            if own:
+                c = unit(np.array([r["__vec"] for r in own], np.float64))
+                gain = np.round(sum(run(lambda keys, mark, m: np.maximum(unit(m) @ c.T - (unit(m) @ x.T).max(axis=1)[:, None], 0).sum(axis=0))), 9)  # noqa: B023
+                best = int(np.argmax(gain))
+                if whole or gain[best] > rest + 1e-6:
+                    break
+            want = 2 * limit
+        taken.append((0, own[best]["__key"], np.array(own[best]["__vec"], np.float64)))
+    return [t[1] for t in taken]
 
 
 def select(df: DataFrame, method: str, by: list[str], key: str, vec: str, budget: str | int, max_group: int = MAX_GROUP) -> DataFrame:
     """Rows of each group that ``method`` takes. ``budget`` is a number or a column that is constant in a group.
 
-    A group of more than ``max_group`` rows is cut first: hashed parts of at most
-    about that size each give the candidates that farthest points spread over them,
-    until what is left fits. Groups within the bound are taken as they are.
+    ``max_group`` bounds the rows that one task holds, not those that are looked at:
+    larger groups take passes over all their rows, one group after the other.
     """
     pick = METHODS[method]
     quota = F.lit(budget) if isinstance(budget, int) else F.col(budget)
-    own = df.select(*by, F.col(key).alias("__key"), F.col(vec).alias("__vec"), quota.cast("int").alias("__budget"))
+    most = min(max_group, MAX_SQUARE) if method == "facility" else max_group
+    own = df.select(*by, F.col(key).alias("__key"), F.xxhash64(key).alias("__mark"), F.col(vec).alias("__vec"), quota.cast("int").alias("__budget"))
     sizes = own.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.max("__budget").alias("__b"))
+    large = sizes.where(F.col("__n") > most).collect()
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by) + ", " * bool(by) + f"__key {df.schema[key].dataType.simpleString()}"
 
-    def rank(pdf: pd.DataFrame, how: Callable, n: int) -> pd.DataFrame:
+    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__key")
-        return pdf.iloc[sorted(set(how(np.stack(pdf["__vec"].to_numpy()).astype(np.float64), n)))]
-
-    staged = own.join(sizes, by).withColumn("__part", F.pmod(F.xxhash64("__key"), F.ceil(F.col("__n") / max_group)).cast("int")) if by else own.crossJoin(F.broadcast(sizes)).withColumn("__part", F.pmod(F.xxhash64("__key"), F.ceil(F.col("__n") / max_group)).cast("int"))
-    small, large = staged.where(F.col("__n") <= max_group), staged.where(F.col("__n") > max_group)
-    cut = large.groupBy(*by, "__part").applyInPandas(
-        lambda pdf: rank(pdf, farthest_points, max(1, min(len(pdf), int(max_group * len(pdf) / pdf["__n"].iloc[0]))))[[*by, "__key", "__vec", "__budget"]],
-        kinds + f", __vec {df.schema[vec].dataType.simpleString()}, __budget int",
-    )
-    cols = [*by, "__key", "__vec", "__budget"]
-    taken = small.select(*cols).unionByName(cut).groupBy(*(by or [F.lit(0).alias("__all")])).applyInPandas(lambda pdf: rank(pdf, pick, int(pdf["__budget"].iloc[0]))[[*by, "__key"]], kinds)
+        own = pick(np.stack(pdf["__vec"].to_numpy()).astype(np.float64), int(pdf["__budget"].iloc[0]), pdf["__mark"].to_numpy())
+        return pdf.iloc[sorted(set(own))][[*by, "__key"]]
+
+    small, again, done = own, [], []
+    for r in large:
+        here = F.lit(True)
+        for c in by:
+            here &= F.col(c).eqNullSafe(F.lit(r[c]).cast(df.schema[c].dataType))
+        rows, n = cut(own.where(here)), min(r["__b"], r["__n"])
+        small = small.where(~here)
+        run = in_passes(rows.select("__key", "__mark", "__vec"))
+        if method == "farthest":
+            keys = farthest_in_passes(run, n)
+        elif n <= 0:
+            continue
+        elif method == "facility":
+            keys = facility_in_passes(rows.select("__key", "__vec"), run, n)
+        elif r["__n"] <= (n if method == "kmeans" else 3 * n):
+            again.append(rows)  # no more than the budget or the sample's kernel takes in
+            continue
+        else:
+            keys = (nearest_unused if method == "kmeans" else nearest_members)(run, kmeans(run, n if method == "kmeans" else 3 * n))
+        picked = df.sparkSession.createDataFrame([(k,) for k in keys], f"__key {df.schema[key].dataType.simpleString()}")
+        (again if method == "kdpp" else done).append(rows.join(F.broadcast(picked), "__key", "left_semi").select(own.columns))
+    for x in again:
+        small = small.unionByName(x)
+    taken = small.groupBy(*(by or [F.lit(0).alias("__all")])).applyInPandas(rank, kinds)
+    for x in done:
+        taken = taken.unionByName(x.select(*by, "__key"))
     return df.join(taken.select(F.col("__key").alias(key)), key, "left_semi")
 
 

@@ -151,6 +151,17 @@ def test_selection_fills_the_budget(vectors, method, max_group):
     assert len({r["k"] for r in rows}) == 15 and {sum(r["g"] == g for r in rows) for g in range(3)} == {5}
 
 
+@pytest.mark.parametrize("method", ["farthest", "facility", "kmeans", "kdpp"])
+def test_large_groups_are_selected_from_as_a_whole(spark, method, monkeypatch):
+    monkeypatch.setattr(selection, "CANDIDATES", 8)
+    rng = np.random.default_rng(9)
+    m = np.concatenate([rng.normal(size=(6, 8)) * 0.2 + c for c in rng.normal(size=(40, 8))] + [rng.normal(size=(4, 8)) * 5])
+    df = table(spark, [(k, [float(x) for x in v], None if k % 5 == 0 else k % 5 // 3) for k, v in enumerate(m)], "k long, v array<double>, g int").repartition(3)
+    whole = selection.select(df, method, ["g"], "k", "v", 6).collect()
+    assert sorted(r["k"] for r in selection.select(df, method, ["g"], "k", "v", 6, 15).collect()) == sorted(r["k"] for r in whole)
+    assert len(whole) >= 12
+
+
 def test_diversity_scores(spark, vectors):
     m, df = vectors
     same = table(spark, [(k, [1.0, 0.0], 0) for k in range(4)], "k long, v array<double>, g int")
