@@ -23,6 +23,8 @@ RAW = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in ("script", "style", "title"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 DROP = frozenset("nav footer aside form button select option dialog menu iframe object svg canvas audio video noscript template head map math".split())
+#: Elements that leave an open head open; its end tag is optional.
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head".split())
 SCORED = frozenset("p div section article main td pre blockquote li dd figcaption body center".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
@@ -79,6 +81,8 @@ def parse(page: str) -> tuple[_Node, list[str], list[_Node]]:
     def text(raw: str) -> None:
         if "&" in raw:
             raw = html.unescape(raw)
+        if stack[-1].tag == "head" and raw.strip():
+            close(len(stack) - 1)
         chunks.append(raw)
         node = stack[-1]
         n = len(" ".join(raw.split()))
@@ -114,6 +118,8 @@ def parse(page: str) -> tuple[_Node, list[str], list[_Node]]:
             elif tag == "br":
                 chunks.append(" ")
             continue
+        if tag not in IN_HEAD and stack[-1].tag == "head":
+            close(len(stack) - 1)
         if tag in RAW:
             end = RAW[tag].search(page, at)
             if end is None:

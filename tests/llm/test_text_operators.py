@@ -344,6 +344,14 @@ def test_pages(spark):
     assert html_extract.extract_pages(df.where("1 = 0")).count() == 0
 
 
+@pytest.mark.parametrize("begin", ["<body>", "<article>", "<p>", "<b>Bold,</b> ", "Plain, "])
+def test_an_open_head_ends_where_the_body_begins(begin):
+    head = "<html><head><meta charset=utf-8><title>No</title><style>p{}</style><noscript>nor this</noscript>\n"
+    got = html_extract.extract(f"{head}{begin}<p>The text, of it.</p>")
+    assert got == html_extract.extract(f"{head}</head>{begin}<p>The text, of it.</p>")
+    assert got.endswith("The text, of it.") and "No" not in got and "nor" not in got
+
+
 def test_broken_pages_do_not_raise():
     rng = random.Random(9)
     parts = ("<p>", "</p>", "<div", " class=\"a'", ">", "<b>", "</b>", "<!--", "-->", "<script>", "</script>", "text, ", "&amp", "&#x41;", "<", "</", "<li>", "</ul>", "<table>", "<td>", "<a href='x'>", "</a>", "<article>", "</article>")
