@@ -73,25 +73,25 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, key: str, text: str, thresh
     return got.select("a", "b", (both / (F.size("wa") + F.size("wb") - both)).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
-def greedy_keep(nodes: DataFrame, pairs: DataFrame, key: str = "ord", rounds: int = 50) -> DataFrame:
+def greedy_keep(nodes: DataFrame, pairs: DataFrame, key: str = "ord") -> DataFrame:
     """Keys that a pass in key order keeps: those without a kept earlier partner in ``pairs(a, b)``, ``a < b``.
 
     Each round keeps the undecided keys without an undecided earlier partner and
     removes the later partners of kept keys; this gives what the sequential pass gives.
+    A round decides at least the smallest open key, so the rounds end.
     """
     open_pairs = cut(pairs.select("a", "b").distinct())
     lost = cut(nodes.select(F.col(key).alias("lost")).where("1 = 0"))
-    for _ in range(rounds):
-        if open_pairs.isEmpty():
-            return nodes.select(key).join(lost, F.col(key) == F.col("lost"), "left_anti")
+    most = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while not open_pairs.isEmpty():
         kept = open_pairs.select(F.col("a").alias("k")).distinct().join(open_pairs.select(F.col("b").alias("k")).distinct(), "k", "left_anti")
         gone = cut(open_pairs.join(kept, F.col("a") == F.col("k"), "left_semi").select(F.col("b").alias("lost")).distinct())
-        lost = cut(lost.unionByName(gone))
+        lost = cut(lost.unionByName(gone).coalesce(most))  # else each round adds its own tasks to the next
         open_pairs = cut(
             open_pairs.join(gone.withColumnRenamed("lost", "g"), F.col("a") == F.col("g"), "left_anti")
             .join(gone.withColumnRenamed("lost", "g"), F.col("b") == F.col("g"), "left_anti")
         )
-    raise RuntimeError("the greedy pass did not settle")
+    return nodes.select(key).join(lost, F.col(key) == F.col("lost"), "left_anti")
 
 
 def jaccard_dedup(df: DataFrame, text: str = "claim", key: str = "ord", threshold: float = THRESHOLD) -> DataFrame:

@@ -108,6 +108,12 @@ def test_waterfill(spark):
     assert sum(r["budget"] for r in sampling.waterfill(table(spark, rows, "label string, n long"), 10**6).collect()) == sum(n for _, n in rows)
 
 
+def test_greedy_pass_settles_long_chains(spark):
+    nodes = table(spark, [(k,) for k in range(106)], "ord long")
+    chain = table(spark, [(k, k + 1) for k in range(105)], "a long, b long")
+    assert sorted(r[0] for r in dedup.greedy_keep(nodes, chain).collect()) == list(range(0, 106, 2))
+
+
 def test_samples(spark):
     df = spark.range(3000).select(F.col("id").alias("k"), F.when(F.col("id") % 10 == 0, 0).otherwise(1).alias("label"), sampling.hash_split(F.col("id").cast("string")).alias("split"))
     got = sampling.random_select(df, "label", "k", 400).collect()
