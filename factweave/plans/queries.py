@@ -813,6 +813,6 @@ def html_to_markdown(spark, sf):
 
 @query()
 def curation_plan(spark, sf):
-    """Rules, scorer-free similarity, selection at random: the whole plan on the driver's tables."""
+    """Two steps of the plan: the rules with Jaccard dedup, and a random choice of 50 rows a label; the other steps are not reached here."""
     own = claims(spark, sf).withColumn("id", F.col("ord").cast("string"))
     return curation.selected(curation.rules(own), None, "random", curation.Config(budget=100)).select("ord", "src", "label")
