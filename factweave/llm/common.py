@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -32,12 +34,41 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet under the checkpoint folder and read from there; unlike ``cut``, plans over it know its size."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt to all cores if it has fewer partitions than there are (a table of one small file); else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def text_chunks(texts: list[str], chars: int) -> Iterator[list[str]]:
+    """Runs of texts of about so many characters (a longer text by itself), so that what is built for a run is bounded."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > chars:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For links ``a[i]``-``b[i]``: each linked node and the smallest node of its group (roots themselves left out)."""
     nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
