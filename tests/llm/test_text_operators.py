@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -179,6 +180,46 @@ def test_clean_keeps_the_rest(benchmark, empty):
     assert decontam.find_leaks(empty, items_df).count() == 0
 
 
+def test_blocks_that_cannot_reach_are_not_read():
+    """Items share common words; only the postings of few blocks are read, and all scores are those of a full sum."""
+    rng = random.Random(6)
+    common = [f"c{k}" for k in range(30)]
+    item = lambda k: " ".join(rng.choice(common) if rng.random() < 0.6 else f"r{k}x{rng.randrange(20)}" for _ in range(40))
+    items = [(k, item(k)) for k in range(2000)]
+    index = decontam.Index.build(items)
+    docs = [decontam.words_of(" ".join([items[k][1]] + [rng.choice(common) for _ in range(200)])) for k in range(0, 2000, 40)]
+    read = []
+    scores = index._scores
+    index._scores = lambda pair, of, cells: (read.append(len(np.unique(of))), scores(pair, of, cells))[1]
+    got = index.retrieve(docs, 0.4)
+    assert 0 < sum(read) < 0.05 * len(docs) * 6 * index.blocks
+    assert {(n, 40 * n) for n in range(len(docs))} <= set(got)
+    monkey = dict(got)
+    for n, w in enumerate(docs):
+        for at in range(0, len(w), index.stride):
+            terms = {index.vocabulary[x] for x in w[at : at + 2 * index.stride] if x in index.vocabulary}
+            total = np.zeros(len(index.of))
+            for t in terms:
+                post = slice(index.begin[t], index.begin[t + 1])
+                total[index.segment[post]] += index.impact[post]
+            for k in np.flatnonzero(total >= 0.4 + 1e-9):
+                assert got[n, int(index.of[k])] >= total[k] - 1e-9
+                monkey.pop((n, int(index.of[k])), None)
+    assert not monkey
+
+
+def test_many_indexes_go_by_groups(benchmark, monkeypatch):
+    docs, items, docs_df, items_df = benchmark
+    monkeypatch.setattr(decontam.indexes, "__defaults__", ("item_id", "text", 2_000))
+    monkeypatch.setattr(decontam, "AT_ONCE", 2)
+    assert len(decontam.indexes(items_df)) > 4
+    got = sorted((r["id"] is None, r["id"] or 0, r["item_id"]) for r in decontam.find_leaks(docs_df, items_df).collect())
+    assert got == plain_leaks(docs, items)
+    bad = {(n, i) for n, i, _ in got}
+    left = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in decontam.clean(docs_df, items_df).collect())
+    assert left == sorted((i is None, i or 0) for i, _, _ in docs if (i is None, i or 0) not in bad)
+
+
 # ---- sharding
 
 
@@ -285,6 +326,24 @@ def test_redact(secret_docs, empty):
     assert secret_scan.redact(empty).count() == 0
 
 
+def test_many_secrets_in_one_text(spark):
+    """Cost stays far below the square of the matches; offsets are right behind characters of several bytes."""
+    n = 60_000
+    text = "é token=abcdefgh 日 " * n
+    df = spark.createDataFrame([(1, text), (2, "none")], "doc_id long, text string")
+    began = time.monotonic()
+    got, _ = secret_scan.scan_docs(df)
+    found = got.where("id = 1").select(F.size("spans").alias("n"), F.element_at("spans", -1).alias("last")).first()
+    assert (found["n"], found["last"]["start"], found["last"]["end"]) == (n, 19 * (n - 1) + 2, 19 * (n - 1) + 16)
+    assert {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()} == {1: "é [secret] 日 " * n, 2: "none"}
+    assert time.monotonic() - began < 60
+
+
+def test_redact_keeps_columns_of_clashing_names(spark):
+    df = spark.createDataFrame([(1, "token=abcdefgh", "a", "b", "c")], "doc_id long, text string, own_blob string, OF_BLOB string, blob_spans string")
+    assert [tuple(r) for r in secret_scan.redact(df).collect()] == [(1, "[secret]", "a", "b", "c")]
+
+
 # ---- chats
 
 
