@@ -23,11 +23,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import spread
+from factweave.llm.common import spread, text_chunks
 from factweave.llm.split import Words, units_of
 
 VOCABULARY = "byte_bpe_50k.json"
 NONE = np.int32(1 << 30)
+#: Characters of text that are worked on at once.
+CHARS = 500_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -173,19 +175,6 @@ def load(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def chunks(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
-    """Runs of texts of about so many characters, so that a batch of long texts is not held as words at once."""
-    part, size = [], 0
-    for t in texts:
-        if part and size + len(t) > chars:
-            yield part
-            part, size = [], 0
-        part.append(t)
-        size += len(t)
-    if part:
-        yield part
-
-
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, keep_ids: bool = False, keep_text: bool = False) -> DataFrame:
     """Every row of ``docs`` encoded and decoded: ``(id, n_tokens, ids_sha256, decoded_sha256)``, with ``ids`` and ``decoded`` if asked for.
 
@@ -199,7 +188,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
         bpe = load(public_tokenizers.path(vocabulary))
         for pdf in batches:
             out = []
-            for part in chunks([t or "" for t in pdf["text"]]):
+            for part in text_chunks([t or "" for t in pdf["text"]], CHARS):
                 flat, count = bpe.encode_batch(part)
                 end = np.cumsum(count)
                 for i, j in zip((end - count).tolist(), end.tolist(), strict=True):

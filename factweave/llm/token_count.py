@@ -5,9 +5,9 @@ Two deterministic transducers are run. The first splits texts into words (see
 a word byte by byte and annotates each transition with the change of the token
 count, so a word's count is the sum along its path and no token is ever built.
 
-The second machine rests on two facts of byte-pair encoding: the tokens of a
-prefix are a prefix of the tokens, and two tokens stand side by side exactly
-when encoding their joined bytes gives them back. So the last token of a prefix
+The second machine rests on two facts of byte-pair encoding: an encoding without
+its last token is the encoding of the bytes before that token, and two tokens stand
+side by side exactly when encoding their joined bytes gives them back. So the last token of a prefix
 that ends at ``i`` is the only vocabulary item ``w[j:i]`` that fits behind the
 last token of the prefix that ends at ``j``. A state keeps, for each start ``j``
 from which some vocabulary item could still go on, its trie node, the last token
@@ -27,8 +27,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.bpe import VOCABULARY, ByteBpe, chunks
-from factweave.llm.common import spread
+from factweave.llm.bpe import CHARS, VOCABULARY, ByteBpe
+from factweave.llm.common import spread, text_chunks
 from factweave.llm.split import Words, units_of
 
 #: Above so many states the tables are compiled anew for the next batch; this bounds a worker's memory, not the texts.
@@ -199,7 +199,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine = load(public_tokenizers.path(vocabulary))
         for pdf in batches:
-            got = [machine.count_batch(part) for part in chunks([t or "" for t in pdf["text"]], 2_000_000)]
+            got = [machine.count_batch(part) for part in text_chunks([t or "" for t in pdf["text"]], CHARS)]
             yield pd.DataFrame({"id": pdf["id"], "n_bytes": pdf["n_bytes"], "n_tokens": np.concatenate(got) if got else np.empty(0, np.int64)})
 
     kind = docs.schema[id_col].dataType.simpleString()
