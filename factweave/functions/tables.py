@@ -10,120 +10,120 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Spaces and quotes that become plain ones, marks without width that go.
+PLAIN = str.maketrans({
+    "\t": " ", " ": " ", "​": None, "‌": None, "‍": None, "﻿": None, " ": "\n", " ": "\n\n",
+    "‘": "'", "’": "'", "“": '"', "”": '"', "„": '"',
+})
+#: Hyphens that only occur mis-decoded.
+HYPHENS = str.maketrans({"‐": "-", "‑": "-", "‒": "–"})
+EMPHASIS = {"b": "**", "strong": "**", "i": "*", "em": "*"}
+_UTF8_RUN = re.compile("[Â-ô][\u0080-¿]{1,3}")
 
-def mojibake_table() -> dict[str, str]:
-    """UTF-8 bytes that were read as Latin-1, for the characters that occur in the sources."""
-    fixed = "–—" + "".join(map(chr, (0x2019, 0x2018, 0x201C, 0x201D, 0x201E))) + "…•€™©®°±·×÷éèêëáàâãíìîïóòôõúùûüñçßÅÆØæøåÉÁÍÓÚÑ"
-    other = {chr(0x2010): "-", chr(0x2011): "-", chr(0x2012): "–"}
-    return {c.encode("utf-8").decode("latin-1"): x for c, x in [(c, c) for c in fixed] + [*other.items()]}
 
+def decode_again(text: str) -> str:
+    """UTF-8 that was read as Latin-1, decoded: any lead byte with the continuation bytes that it asks for."""
 
-MOJIBAKE = mojibake_table()
-#: Characters that are normalised, and by what.
-PLAIN = {chr(0xA0): " ", chr(0x200B): "", chr(0x200C): "", chr(0x200D): "", chr(0xFEFF): "", chr(0x2028): "\n", chr(0x2029): "\n\n", "\t": " "}
-PLAIN |= {chr(0x2018): "'", chr(0x2019): "'", chr(0x201C): '"', chr(0x201D): '"', chr(0x201E): '"'}
+    def run(m: re.Match) -> str:
+        raw = m[0].encode("latin-1")
+        size = 2 if raw[0] < 0xE0 else 3 if raw[0] < 0xF0 else 4
+        try:
+            return raw[:size].decode().translate(HYPHENS) + raw[size:].decode("latin-1")
+        except UnicodeDecodeError:
+            return m[0]
 
+    return _UTF8_RUN.sub(run, text)
 
-class _Tables(HTMLParser):
-    """Markdown of a fragment: rows as piped lines, a rule below the first row, line breaks for ``br`` and blocks."""
+
+def normal_text(text: str) -> str:
+    """Text with mis-decoded runs decoded, their lone rests (a minus before digits, a space) and typographic variants made plain."""
+    text = re.sub("â(?=[0-9])", "−", decode_again(text))
+    return re.sub(r"Â\s*", " ", text).translate(PLAIN)
+
+
+class _Blocks(HTMLParser):
+    """``blocks``: in page order, text as a list of pieces and each table as a ``Table``."""
+
+    class Table(list):
+        """Rows of cells; a cell is a list of pieces. ``open``: whether its last row still takes cells."""
+
+        open = False
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.row: list[str] | None = None
+        self.blocks: list[list] = [[]]
+        self.table: _Blocks.Table | None = None
+        self.depth = 0
         self.cell: list[str] | None = None
-        self.rows = 0
+
+    def write(self, piece: str) -> None:
+        if self.cell is not None:
+            self.cell.append(piece)
+        elif self.table is None:
+            self.blocks[-1].append(piece)
 
     def handle_starttag(self, tag, attrs):
         if tag == "table":
-            self.rows = 0
-            self.out.append("\n\n")
-        elif tag == "tr":
-            self.row = []
-        elif tag in ("td", "th"):
+            self.depth += 1
+            if self.depth == 1:
+                self.table = _Blocks.Table()
+                self.blocks += [self.table, []]
+                return
+        if self.depth == 1 and tag == "tr":
+            self.table.append([])
+            self.table.open, self.cell = True, None
+        elif self.depth == 1 and tag in ("td", "th"):
+            if not self.table.open:
+                self.table.append([])
+                self.table.open = True
+            span = dict(attrs).get("colspan") or "1"
             self.cell = []
+            self.table[-1] += [self.cell] + [[] for _ in range(min(int(span) if span.isascii() and span.isdigit() else 1, 1000) - 1)]
+        elif tag in EMPHASIS:
+            self.write(EMPHASIS[tag])
         elif tag == "br":
-            (self.out if self.cell is None else self.cell).append("\n")
-        elif tag in ("p", "div"):
-            (self.out if self.cell is None else self.cell).append("\n\n" if self.cell is None else " ")
-        elif tag in ("b", "strong"):
-            (self.out if self.cell is None else self.cell).append("**")
-        elif tag in ("i", "em"):
-            (self.out if self.cell is None else self.cell).append("*")
+            self.write("\n")
+        elif tag in ("p", "div") or self.depth > 1:
+            self.write("\n\n")
 
     def handle_endtag(self, tag):
-        if tag in ("td", "th") and self.cell is not None:
-            if self.row is not None:
-                self.row.append("".join(self.cell).strip(" "))
-            self.cell = None
-        elif tag == "tr" and self.row is not None:
-            self.out.append("| " + " | ".join(self.row) + " |\n")
-            if not self.rows:
-                self.out.append("| " + " | ".join(["---"] * len(self.row)) + " |\n")
-            self.rows += 1
-            self.row = None
-        elif tag in ("b", "strong"):
-            (self.out if self.cell is None else self.cell).append("**")
-        elif tag in ("i", "em"):
-            (self.out if self.cell is None else self.cell).append("*")
+        if tag == "table" and self.depth:
+            self.depth -= 1
+            if not self.depth:
+                self.table = self.cell = None
+        elif self.depth == 1 and tag in ("tr", "td", "th"):
+            self.table.open, self.cell = self.table.open and tag != "tr", None
+        elif tag in EMPHASIS:
+            self.write(EMPHASIS[tag])
         elif tag in ("p", "div"):
-            (self.out if self.cell is None else self.cell).append("\n\n" if self.cell is None else " ")
+            self.write("\n\n")
 
     def handle_data(self, data):
-        if self.cell is not None:
-            self.cell.append(data)
-        elif self.row is None or data.strip():
-            self.out.append(data)
-
-
-def repair(text: str) -> str:
-    """Mis-decoded characters, stray marks and typographic variants put right."""
-    for bad, good in MOJIBAKE.items():
-        text = text.replace(bad, good)
-    text = re.sub(r"Â\s*", " ", re.sub(r"â(?=\d)", "−", text))
-    for bad, good in PLAIN.items():
-        text = text.replace(bad, good)
-    return re.sub(" {2,}", " ", text)
-
-
-def join_rows(text: str) -> str:
-    """Lines that a break inside a cell has cut off a table row go back to its last cell."""
-    out: list[str] = []
-    for line in text.split("\n"):
-        rest = line.strip()
-        if not (out and out[-1].strip().startswith("|") and rest and not rest.startswith(("|", "---"))):
-            out.append(line)
-            continue
-        row = out[-1].rstrip()
-        if row.endswith("|"):
-            cut = row.rstrip(" |").rfind("|") + 1
-            row = f"{row[:cut]}{row[cut:].rstrip(' |')} {rest} |"
-        else:
-            row = f"{row} {rest}"
-        out[-1] = row
-    return "\n".join(out)
-
-
-def tidy(text: str) -> str:
-    """Pipes single-spaced, the rule as wide as the header, no spaces at line ends, at most one blank line."""
-    text = re.sub(r"\s{2,}\|", " |", re.sub(r"\|\s{2,}", "| ", text))
-    lines = text.strip().split("\n")
-    if len(lines) > 1 and re.fullmatch(r"[|\s:-]+", lines[1].strip()):
-        wide = lines[0].count("|") - 1
-        if wide != lines[1].strip().count("|") - 1:
-            lines[1] = "| " + " | ".join(["---"] * wide) + " |"
-            text = "\n".join(lines)
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"(?m) +$", "", text)).strip()
+        self.write(data)
+
+
+def _table_lines(rows: list[list[list[str]]]) -> str:
+    """A piped line for each row, a rule as wide as the first below it."""
+    lines = [[" ".join(normal_text("".join(cell)).split()) for cell in row] for row in rows if row]
+    lines[1:1] = [["---"] * len(lines[0])] if lines else []
+    return "\n".join(re.sub(" +", " ", f"| {' | '.join(cells)} |") for cells in lines)
+
+
+def _paragraphs(pieces: list[str]) -> str:
+    """Text with single spaces, none at the end of a line, and at most one empty line."""
+    lines = [re.sub(" +", " ", line).rstrip(" ") for line in normal_text("".join(pieces)).split("\n")]
+    return re.sub("\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
 def html_to_markdown(source: str | None) -> str | None:
-    """Markdown of an HTML fragment with tables; null stays null."""
+    """Markdown of an HTML fragment with tables; breaks inside a cell are spaces; null stays null."""
     if source is None:
         return None
-    parser = _Tables()
+    parser = _Blocks()
     parser.feed(html.unescape(source))
     parser.close()
-    return tidy(join_rows(repair("".join(parser.out))))
+    done = [_table_lines(b) if isinstance(b, _Blocks.Table) else _paragraphs(b) for b in parser.blocks]
+    return "\n\n".join(b for b in done if b)
 
 
 def table_markdown(c: Column) -> Column:

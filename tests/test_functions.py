@@ -128,13 +128,22 @@ def test_prompts(spark):
     assert one(spark, [["a", "b"], []], subquestion_prompt(F.lit("c"), F.lit("e"), F.col("t")), "t array<string>")[1].count("Q1: Is the claim true?") == 1
 
 
+#: HTML and its markdown.
+TABLES = {
+    "<table><tr><th>Name<br/>long</th><th>B</th></tr><tr><td>cafÃ©</td><td>â5&nbsp;&amp;  Â x</td></tr></table>": "| Name long | B |\n| --- | --- |\n| café | −5 & x |",
+    "<table><tr><td>a<td>b<tr><td>c<br><br>d<p>e</p><td><b>f</b> <i>g</i></table>": "| a | b |\n| --- | --- |\n| c d e | **f** *g* |",
+    "<p>Head  line</p><table><thead><tr><th colspan=2>wide</th><th>z</th></tr></thead><tbody><tr><td>1</td></tr></tbody></table>tail<br>end": "Head line\n\n| wide | | z |\n| --- | --- | --- |\n| 1 |\n\ntail\nend",
+    "<table><tr><th>x</th></tr><tr><td>in <table><tr><td>ner</td><td>cell</td></tr></table> out</td></tr></table>": "| x |\n| --- |\n| in ner cell out |",
+    "<table><tr><td>1â\x80\x932 â\x82¬ â\x80\x99s Ã\x97 Â° ð\x9f\x98\x80 Ãx â\x80\x90</td></tr></table>": "| 1–2 € 's × ° 😀 Ãx - |\n| --- |",
+    "<table><tr><td>\u201ca\u201d\u200b\u00a0\u2019</td></tr></table>": "| \"a\" ' |\n| --- |",
+    "<table></table>": "", "": "", "<table><tr></tr><tr><td>&amp;lt;b&amp;gt;</td></tr>": "| <b> |\n| --- |", "a\n\n\n\nb \t c": "a\n\nb c",
+}
+
+
 def test_html_tables():
-    assert len(tables.MOJIBAKE) == 56
-    row = "<table><tr><th>Name<br/>long</th><th>B</th></tr><tr><td>cafÃ©</td><td>â5&nbsp;&amp;  Â x</td></tr></table>"
-    assert tables.html_to_markdown(row) == "| Name long | B |\n| --- | --- |\n| café | −5 & x |"
-    assert tables.html_to_markdown(None) is None and tables.html_to_markdown("") == ""
-    assert tables.tidy("| a | b | c |\n| --- |\n| 1 | 2 | 3 |") == "| a | b | c |\n| --- | --- | --- |\n| 1 | 2 | 3 |"
-    assert tables.join_rows("| a |\nb\n| c |") == "| a b |\n| c |"
+    assert tables.html_to_markdown(None) is None
+    for source, want in TABLES.items():
+        assert tables.html_to_markdown(source) == want, source
 
 
 def test_table_columns(spark):
