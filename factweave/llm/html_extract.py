@@ -1,8 +1,9 @@
 """Main-text extraction by tree scoring.
 
-Paragraphs pass points for their length and commas to their ancestors; a
-container's points are discounted by its share of link text. The best container
-and those of its siblings that read like it are kept.
+Paragraphs pass points for their length and commas to their ancestors, each the
+half of what it got; a container's points are discounted by its share of link
+text. The best container and those of its siblings that read like it are kept.
+Time is linear in the page, whatever its depth.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 RAW = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in ("script", "style", "title", "textarea", "xmp", "noembed", "noframes")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DROP = frozenset("nav footer aside form button select option dialog menu iframe object svg canvas audio video noscript template head map math".split())
+A_TAG = re.compile(r"<(/?)a(?=[\s/>])", re.I)
+MATH = "math mi mo mn ms mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtext mspace mstyle mfenced mtable mtr mtd semantics"
+INLINE = frozenset(MATH.split()) | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+DROP = frozenset("nav footer aside form button select option dialog menu iframe object svg canvas audio video noscript template head map annotation annotation-xml".split())
 #: Elements that leave an open head open; its end tag is optional.
 IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head".split())
 SCORED = frozenset("p div section article main td pre blockquote li dd figcaption body center".split())
@@ -37,22 +40,27 @@ JUNK = re.compile(
 HEAD = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar toolbar form".split())
 MAIN = re.compile(r"(?:^|[\s_-])(?:article\w*|post|entry|content|story|main|text|body)(?:$|[\s_-])", re.I)
+#: Longest entry of a list of links that counts as a menu; longer ones (sources, titles) stay.
+MENU_CHARS = 20
 
 
 class _Node:
-    __slots__ = ("tag", "up", "begin", "end", "drop", "chars", "links", "commas", "points", "kids", "all", "all_links")
+    """An element. ``up``: the block around it; ``open``: inline elements of each name that are open in a block; ``ends``: whether it ends where a block begins."""
 
-    def __init__(self, tag: str, up: _Node | None, begin: int, drop: bool):
-        self.tag, self.up, self.begin, self.end, self.drop = tag, up, begin, begin, drop
+    __slots__ = ("tag", "up", "begin", "end", "inline", "drop", "link", "ends", "open", "chars", "links", "commas", "points", "kids", "all", "all_links")
+
+    def __init__(self, tag: str, up: _Node | None, begin: int, inline: bool, drop: bool, link: bool):
+        self.tag, self.up, self.begin, self.end, self.inline, self.drop, self.link, self.ends = tag, up, begin, begin, inline, drop, link, False
         self.chars = self.links = self.commas = self.all = self.all_links = 0
         self.points = 0.0
+        self.open: dict[str, int] = {}
         self.kids: list[_Node] = []
 
 
-def _unwanted(tag: str, attributes: str, stack: list[_Node]) -> bool:
+def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in DROP:
         return True
-    if tag == "header" and not any(n.tag in ("article", "main") for n in stack):
+    if tag == "header" and not in_article:
         return True
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
         return False
@@ -64,62 +72,127 @@ def _unwanted(tag: str, attributes: str, stack: list[_Node]) -> bool:
     if got.get("role", "").lower() in ROLES:
         return True
     names = [v for v in (got.get("class", ""), got.get("id", "")) if v]
-    if tag not in HEADING and any(HEAD.search(v) for v in names) and not any(n.tag in ("article", "main") for n in stack) and tag not in ("body", "html", "main", "article"):
+    if tag not in HEADING and any(HEAD.search(v) for v in names) and not in_article and tag not in ("body", "html", "main", "article"):
         return True
     if tag in ("body", "html", "main", "article") and not re.search(r"comment|advert|\bad\b", got.get("class", "") + " " + got.get("id", ""), re.I):
         return False
     return any(JUNK.search(v) and not (MAIN.search(v) and not re.search(r"comment|\bads?\b|advert|sidebar|footer|nav|menu|share|related|notice|promo", v, re.I)) for v in names)
 
 
-def parse(page: str) -> tuple[_Node, list[str], list[_Node]]:
-    """The tree of blocks, the flat list of text pieces (a space at each block border) and the nodes in page order."""
-    chunks: list[str] = []
-    root = _Node("#root", None, 0, False)
-    stack, nodes, links = [root], [root], 0
-    at, size = 0, len(page)
+def _closed_at_once(attributes: str) -> bool:
+    """A slash at the end that is no part of an unquoted value."""
+    return attributes.endswith("/") and not re.search(r"=\s*[^\s\"'>]+$", attributes)
+
+
+class _Builder:
+    """The tree of elements, the flat list of text pieces (a space at each block border) and the blocks in page order."""
+
+    def __init__(self):
+        self.root = _Node("#root", None, 0, False, False, False)
+        self.stack, self.blocks, self.chunks = [self.root], [self.root], []
+        self.open: dict[str, int] = {}  # open blocks of each name
+        self.block = self.root
 
-    def text(raw: str) -> None:
+    def text(self, raw: str) -> None:
         if "&" in raw:
             raw = html.unescape(raw)
-        if stack[-1].tag == "head" and raw.strip():
-            close(len(stack) - 1)
-        chunks.append(raw)
-        node = stack[-1]
-        n = len(" ".join(raw.split()))
-        node.chars += n
-        node.links += n if links else 0
-        node.commas += raw.count(",") + raw.count("，") + raw.count("、")
-
-    def close(k: int) -> None:
-        while len(stack) > k:
-            stack.pop().end = len(chunks)
-        chunks.append(" ")
+        top = self.stack[-1]
+        if top.tag == "head" and raw.strip():
+            self.close(len(self.stack) - 1)
+            top = self.stack[-1]
+        self.chunks.append(raw)
+        if not top.drop:
+            n = len(" ".join(raw.split()))
+            self.block.chars += n
+            self.block.links += n if top.link else 0
+            self.block.commas += raw.count(",") + raw.count("，") + raw.count("、")
+
+    def push(self, tag: str, attributes: str, inline: bool) -> _Node:
+        top = self.stack[-1]
+        drop = top.drop or (attributes != "" or not inline) and _unwanted(tag, attributes, bool(self.open.get("article") or self.open.get("main")))
+        link = tag == "a" or top.link and tag not in ("article", "section", "main", "body")
+        node = _Node(tag, self.block, len(self.chunks), inline, drop, link)
+        top.kids.append(node)
+        if not inline:
+            self.blocks.append(node)
+        return node
+
+    def enter(self, node: _Node) -> None:
+        self.stack.append(node)
+        names = self.block.open if node.inline else self.open
+        names[node.tag] = names.get(node.tag, 0) + 1
+        if not node.inline:
+            self.block = node
+
+    def close(self, k: int) -> None:
+        """Close all elements from place ``k`` of the stack on."""
+        while len(self.stack) > k:
+            node = self.stack.pop()
+            node.end = len(self.chunks)
+            if node.inline:
+                self.block.open[node.tag] -= 1
+            elif node.up is not None:
+                self.open[node.tag] -= 1
+                self.block = node.up
+                self.chunks.append(" ")
+
+    def close_inline(self, tag: str) -> None:
+        """Close the nearest ``tag`` that is open in the current block, if there is one."""
+        if self.block.open.get(tag):
+            k = len(self.stack) - 1
+            while self.stack[k].tag != tag:
+                k -= 1
+            self.close(k)
+
+    def close_block(self, tag: str) -> None:
+        if self.open.get(tag):
+            k = len(self.stack) - 1
+            while self.stack[k].tag != tag or self.stack[k].inline:
+                k -= 1
+            self.close(k)
 
+    def before_block(self, tag: str) -> None:
+        """What a new block ends: an open paragraph, links without an end tag, items of the same kind."""
+        while self.block.tag == "p" or self.block.tag in HEADING and tag in HEADING:
+            self.close_block(self.block.tag)
+        if self.block.open.get("a"):
+            k = next((k for k in range(len(self.stack) - 1, -1, -1) if not self.stack[k].inline or self.stack[k].ends), 0)
+            if self.stack[k].ends:
+                self.close(k)
+        if tag in CLOSES:
+            for k in range(len(self.stack) - 1, 0, -1):
+                if self.stack[k].tag in CLOSES[tag]:
+                    self.close(k)
+                    break
+                if self.stack[k].tag in SCOPE:
+                    break
+
+
+def parse(page: str) -> tuple[_Node, list[str], list[_Node]]:
+    """The tree of ``page``, its text pieces and its blocks in page order."""
+    tree = _Builder()
+    at, size = 0, len(page)
     while at < size:
         m = TOKEN.search(page, at)
         if m is None:
-            text(page[at:])
+            tree.text(page[at:])
             break
         if m.start() > at:
-            text(page[at : m.start()])
+            tree.text(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "a":
-                links = max(0, links - 1)
-            elif tag == "p" and not any(n.tag == "p" for n in stack):
-                chunks.append(" ")
-            elif tag not in INLINE and tag not in VOID:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), None)
-                if k is not None:
-                    close(k)
-            elif tag == "br":
-                chunks.append(" ")
+            if tag in INLINE and tag != "wbr":
+                tree.close_inline(tag)
+            elif tag in ("br", "p") and not tree.open.get(tag):
+                tree.chunks.append(" ")
+            elif tag not in VOID:
+                tree.close_block(tag)
             continue
-        if tag not in IN_HEAD and stack[-1].tag == "head":
-            close(len(stack) - 1)
+        if tag not in IN_HEAD and tree.stack[-1].tag == "head":
+            tree.close(len(tree.stack) - 1)
         if tag in RAW:
             end = RAW[tag].search(page, at)
             if end is None:
@@ -127,66 +200,73 @@ def parse(page: str) -> tuple[_Node, list[str], list[_Node]]:
             else:
                 at = page.find(">", end.start())
                 at = size if at < 0 else at + 1
-            chunks.append(" ")
-            continue
-        if tag in VOID:
+            tree.chunks.append(" ")
+        elif tag in VOID:
             if tag in ("br", "hr"):
-                chunks.append(" ")
-            continue
-        if tag in INLINE:
-            if m[3] and _unwanted(tag, m[3], stack):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else at
-            elif tag == "a" and not m[3].rstrip().endswith("/"):
-                links += 1
-            continue
-        links = 0 if tag in ("article", "section", "main", "body") else links
-        while stack[-1].tag == "p" or stack[-1].tag in HEADING and tag in HEADING:  # a new block ends an open paragraph
-            close(len(stack) - 1)
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in CLOSES.get(tag, ()):
-                close(k)
-                break
-            if stack[k].tag in SCOPE:
-                break
-        chunks.append(" ")
-        node = _Node(tag, stack[-1], len(chunks), stack[-1].drop or _unwanted(tag, m[3], stack))
-        stack[-1].kids.append(node)
-        nodes.append(node)
-        if not m[3].endswith("/"):
-            stack.append(node)
-    close(0)
-    return root, chunks, nodes
+                tree.chunks.append(" ")
+        elif tag in INLINE:
+            if tag == "a":
+                tree.close_inline("a")  # a new link ends an open one
+            node = tree.push(tag, m[3], True)
+            if not _closed_at_once(m[3]):
+                if tag == "a":
+                    after = A_TAG.search(page, at)
+                    node.ends = after is None or not after[1]
+                tree.enter(node)
+        else:
+            tree.before_block(tag)
+            tree.chunks.append(" ")
+            node = tree.push(tag, m[3], False)
+            if not _closed_at_once(m[3]):
+                tree.enter(node)
+    tree.close(1)
+    tree.root.end = len(tree.chunks)
+    return tree.root, tree.chunks, tree.blocks
 
 
 def _density(node: _Node) -> float:
     return node.all_links / node.all if node.all else 0.0
 
 
-def extract(page: str | None) -> str:
-    """The main text of ``page``: blocks in page order, white space within and between them one space; empty if there is none."""
-    if not page:
-        return ""
-    root, chunks, nodes = parse(page)
-    for n in reversed(nodes):
+def own_points(n: _Node) -> float:
+    """Points of a block for the text that stands in it itself: length and commas, less its share of links."""
+    if n.drop or not n.chars or n.tag not in SCORED and n.up is not None:
+        return 0.0
+    return (min(1.0, n.chars / 25) + n.commas + min(n.chars / 100, 3)) * (1 - min(1.0, n.links / n.chars))
+
+
+def score(blocks: list[_Node]) -> None:
+    """Sums of text and links, and points: of a block's own text, for a container, and of its children and half of what they got from theirs."""
+    for n in reversed(blocks):
+        passed = own_points(n) + n.points / 2
+        if n.tag not in ("p", "pre", "li", "blockquote", "figcaption"):
+            n.points += own_points(n)
         if not n.drop:
             n.all += n.chars
             n.all_links += n.links
-            if n.up is not None:
+        if n.up is not None:
+            n.up.points += passed
+            if not n.drop:
                 n.up.all += n.all
                 n.up.all_links += n.all_links
-    for n in nodes:
-        if n.drop or not n.chars or n.tag not in SCORED and n is not root:
-            continue
-        points = (min(1.0, n.chars / 25) + n.commas + min(n.chars / 100, 3)) * (1 - min(1.0, n.links / n.chars))
-        if n.tag not in ("p", "pre", "li", "blockquote", "figcaption"):
-            n.points += points  # text that stands in the container itself
-        up, share = n.up, 1
-        while up is not None:
-            up.points += points / share
-            share = 2 if share == 1 else share + 2
-            up = up.up
-    best = max((n for n in nodes if not n.drop and n.points > 0), key=lambda n: n.points * (1 - _density(n)), default=None)
+
+
+def best_block(blocks: list[_Node]) -> _Node | None:
+    return max((n for n in blocks if not n.drop and n.points > 0), key=lambda n: n.points * (1 - _density(n)), default=None)
+
+
+def _is_menu(node: _Node) -> bool:
+    """A list of nothing but links, of a word or two each."""
+    return node.tag in ("ul", "ol") and len(node.kids) > 1 and _density(node) > 0.66 and all(k.all <= MENU_CHARS for k in node.kids if not k.inline)
+
+
+def extract(page: str | None) -> str:
+    """The main text of ``page``: blocks in page order, white space within and between them one space; empty if there is none."""
+    if not page:
+        return ""
+    root, chunks, blocks = parse(page)
+    score(blocks)
+    best = best_block(blocks)
     if best is None:
         return ""
     up = best
@@ -196,27 +276,29 @@ def extract(page: str | None) -> str:
     least = max(5.0, 0.2 * best.points * (1 - _density(best)))
     kept = []
     for n in best.up.kids if best.up is not None else [best]:
-        if n.drop:
+        if n.drop or n.inline and n is not best:
             continue
         own = n.points * (1 - _density(n))
         if n is best or own >= least or n.tag == best.tag == "article" and own > 0 or n.tag == "p" and n.all > 80 and _density(n) < 0.25 or n.tag in HEADING and best.up.tag not in ("body", "html", "#root"):
             kept.append(n)
+    if best not in kept:  # it stands in an inline element
+        kept = [best]
     out: list[str] = []
-
     for n in kept:
         todo: list[tuple[_Node, int, int]] = [(n, 0, n.begin)]  # a node, its next child, and how far its text is taken
         while todo:
             node, k, at = todo.pop()
             if k == len(node.kids):
                 out.extend(chunks[at : node.end])
-                out.append(" ")
+                if not node.inline:
+                    out.append(" ")
                 continue
             kid = node.kids[k]
             out.extend(chunks[at : kid.begin])
             todo.append((node, k + 1, kid.end))
-            if not (kid.drop or kid.tag in ("ul", "ol", "div", "section", "table") and _density(kid) > 0.66 and len(kid.kids) > 1):
+            if not (kid.drop or _is_menu(kid)):
                 todo.append((kid, 0, kid.begin))
-            else:
+            elif not kid.inline:
                 out.append(" ")
     return " ".join("".join(out).split())
 
@@ -226,7 +308,8 @@ def extract_pages(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...
 
     Null and empty pages, and pages without a paragraph outside menus and the like,
     have an empty text. Repeated rows are read each; columns that are not named are not
-    read; an empty table gives an empty result.
+    read, so none clashes; an empty table gives an empty result; ids may be null or repeat.
+    Of blocks of equal points the first is the best one.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

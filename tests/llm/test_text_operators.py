@@ -418,3 +418,52 @@ def test_broken_pages_do_not_raise():
         html_extract.extract("".join(rng.choice(parts) for _ in range(rng.randint(0, 40))))
     assert html_extract.extract("<div>" * 3000 + "deep, text" + "</div>" * 3000) == "deep, text"
     assert html_extract.extract("<article><p>one, two</p>" + "<div>" * 3000 + "deep, text" + "</div>" * 3000 + "</article>") == "one, two deep, text"
+
+
+def test_inline_elements_are_nodes():
+    get = html_extract.extract
+    art = lambda x: f"<article><p>Text, of it.</p><p>{x}</p><p>More, of it.</p></article>"
+    assert get(art("a <span class='ad'><span>x</span> LEAK</span> b")) == "Text, of it. a b More, of it."
+    assert get(art("a <span class=ad>x <b>y</span> b")) == "Text, of it. a b More, of it."
+    assert get("<article><p>Text, of it.</p><a class='share' href=x> open <p>MIDDLE</p><a href=y>z</a></article>") == "Text, of it. MIDDLE z"
+    assert get("<article><p>Text, of it.</p><a class='ad' href=x><div>Buy</div></a><p>b</p></article>") == "Text, of it. b"
+    assert get(art("where <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds")) == "Text, of it. where x=2 holds More, of it."
+    assert get(art("<a href=/x/>one</a> two <a href='/y/'/>three")) == "Text, of it. one two three More, of it."
+    sources = "".join(f"<li><a href=s{k}>Title of the source number {k}, a journal</a></li>" for k in range(3))
+    assert get(f"<article><p>Text, of it.</p><h2>Sources</h2><ul>{sources}</ul></article>").endswith("Sources " + " ".join(f"Title of the source number {k}, a journal" for k in range(3)))
+
+
+def test_depth_costs_linear_time():
+    for page in ("<div>" * 200_000 + "deep, text", "<b>" * 100_000 + "<p>text, of it</p>" + "</i>" * 100_000, "<i><div>" + "<b>" * 50_000 + "text, of it" + "</i>" * 50_000, "<a href=x>" * 50_000 + "<p>text, of it", "<ul>" + "<li><p>a, b" * 50_000):
+        began = time.process_time()
+        assert html_extract.extract(page) and time.process_time() - began < 4
+
+
+def test_points_equal_the_definition():
+    """Points of each block of random trees: those of the scored blocks below, halved with each level, and of its own text."""
+    rng = random.Random(12)
+
+    def tree(depth):
+        tag = rng.choice(("div", "p", "section", "ul", "li", "span", "a", "article", "nav", "b", "table"))
+        inside = "".join(tree(depth + 1) if depth < 5 and rng.random() < 0.7 else rng.choice(("word, ", "some text of it ", "x" * 150, "")) for _ in range(rng.randint(0, 4)))
+        return f"<{tag}>{inside}</{tag}>"
+
+    for _ in range(300):
+        root, _, blocks = html_extract.parse("<body>" + tree(0) + tree(0) + "</body>")
+        html_extract.score(blocks)
+        for n in blocks:
+            want = html_extract.own_points(n) if n.tag not in ("p", "pre", "li", "blockquote", "figcaption") else 0.0
+            chars = links = 0
+            for d in blocks:
+                up, level, seen = d, 0, not d.drop
+                while up is not None and up is not n:
+                    up, level = up.up, level + 1
+                if up is n and level:
+                    want += html_extract.own_points(d) / 2 ** (level - 1)
+                if up is n and seen:
+                    chars, links = chars + d.chars, links + d.links
+            assert abs(n.points - want) < 1e-9
+            assert n.drop or (n.all, n.all_links) == (chars, links)
+        ranked = [(n.points * (1 - (n.all_links / n.all if n.all else 0)), n) for n in blocks if not n.drop and n.points > 0]
+        best = html_extract.best_block(blocks)
+        assert best is (max(ranked, key=lambda x: x[0])[1] if ranked else None)
