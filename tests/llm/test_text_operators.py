@@ -28,6 +28,37 @@ def test_fold_sees_through_disguises():
     assert toxicity.fold(None).split() == toxicity.fold("").split() == []
 
 
+def test_fold_runs_marks_and_accents():
+    assert toxicity.fold("455hole").split() == toxicity.fold("asshole").split()
+    assert toxicity.fold("idi\u0301ot i\u200edi\ufe0fot id\u20ddiot").split()[1:] == ["idiot", "idiot"]
+    own = toxicity.seed_lexicon()
+    for disguised in ("ídiot", "idi\u0308ot", "Ïd1öt", "m0rön", "i\u200ediot", "1diot!"):
+        assert own.sums(toxicity.fold(disguised))[0] == toxicity.SEED_WEIGHT, disguised
+    assert toxicity.bare("éà") == "ea" and own.disguised("été") == "été"
+    kept = toxicity.Lexicon({" idiot ": 2.0, " ídiot ": 1.0})
+    assert kept.sums(toxicity.fold("ídiot"))[0] == 1.0  # a word of the lexicon in its own right
+
+
+def test_matches_equal_a_plain_search():
+    """Leftmost, then longest hits outside exception phrases, against a search for every pattern at every place."""
+    rng = random.Random(8)
+    for _ in range(300):
+        word = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(1, 4)))
+        weights = {f" {word()}" + rng.choice(("", " ")): float(rng.randint(1, 5)) for _ in range(6)}
+        exceptions = tuple(f"{word()} {word()}" for _ in range(2))
+        own = toxicity.Lexicon(weights, exceptions)
+        words = [own.disguised(w) for w in (word() for _ in range(rng.randint(0, 25)))]
+        text = f" {' '.join(words)} "
+        free = [(k, k + len(e) + 2) for e in exceptions for k in range(len(text)) if text.startswith(f" {e} ", k)]
+        total, upto = 0.0, 0
+        for k in range(len(text)):
+            here = [p for p in weights if text.startswith(p, k) and not any(a <= k and k + len(p) <= b for a, b in free)]
+            if here and k + 1 > upto:
+                best = max(here, key=len)
+                total, upto = total + weights[best], k + len(best) - 1
+        assert own.sums(" ".join(words)) == (total, len(words))
+
+
 def test_exceptions_and_length():
     own = toxicity.seed_lexicon()
     assert own.sums(toxicity.fold("put it in the trash can"))[0] == 0
