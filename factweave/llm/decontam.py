@@ -33,8 +33,10 @@ INDEX_BYTES = 4_000_000
 #: Indexes that one pass over the corpus carries; the driver and a plan hold no more at once.
 AT_ONCE = 4
 BLOCK = 32
+#: A table of the cells by term and block is held if it has so many entries at most; else cells are found by binary search.
+TABLE = 4_000_000
 #: Entries that one step of a search expands at a time, and characters of text in it.
-STEP, CHARS = 400_000, 500_000
+STEP, CHARS = 200_000, 500_000
 LEAK = "array<struct<item_id:long,score:double,overlap:double,question_overlap:double,answer_overlap:double>>"
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+")
 _PUNCTUATION = bytes(c if chr(c).isalnum() or c >= 0x80 else 32 for c in range(256))
@@ -78,7 +80,7 @@ def _steps(cost: np.ndarray) -> Iterator[slice]:
 class Index:
     """Postings by term with impacts (``begin``: where a term's postings begin), and the greatest impact of each term and of each term in each block.
 
-    ``cell`` is term * blocks + block of the blocks that hold a term, in order, with the
+    Terms are numbered from the one of least impact on. ``cell`` is term * blocks + block of the blocks that hold a term, in order, with the
     greatest impact and the place of the first posting there; ``cells`` is where a term's begin.
     """
 
@@ -125,10 +127,14 @@ class Index:
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         imp = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[seg] / (sizes.mean() if n else 1)))
         imp = imp / np.bincount(seg, weights=imp, minlength=n)[seg]
-        order = np.lexsort((seg, term))
-        term, seg, imp = term[order], seg[order], imp[order]
         best, blocks = np.zeros(v), -(-max(1, n) // BLOCK)
         np.maximum.at(best, term, imp)
+        order = np.argsort(best, kind="stable")
+        place = np.empty(v, np.int64)
+        place[order] = np.arange(v)
+        vocabulary, best, term = {t: int(place[k]) for t, k in vocabulary.items()}, best[order], place[term]
+        order = np.lexsort((seg, term))
+        term, seg, imp = term[order], seg[order], imp[order]
         key = term * blocks + seg // BLOCK
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
         cell_best = np.maximum.reduceat(imp, first) if len(first) else np.empty(0)
@@ -167,9 +173,7 @@ class Index:
 
     def _search(self, window: np.ndarray, t: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Windows, segments and scores of all that reach ``least``; ``(window, t)`` are distinct and sorted by window."""
-        # The terms of a window from the weakest: while their sum stays under the threshold, a segment needs another term too.
-        order = np.lexsort((self.best[t], window))
-        window, t = window[order], t[order]
+        # Terms come from the weakest on: while their sum stays under the threshold, a segment needs another term too.
         first = np.flatnonzero(np.r_[True, window[1:] != window[:-1]]) if len(window) else np.empty(0, np.int64)
         count = np.diff(np.r_[first, len(window)])
         row = np.repeat(np.arange(len(first)), count)
@@ -182,10 +186,10 @@ class Index:
             mine = slice(first[rows.start], first[rows.stop] if rows.stop < len(first) else len(row))
             strong = np.flatnonzero(spans[mine]) + mine.start
             cells = _spread_out(self.cells[t[strong]], spans[strong])
-            r = np.repeat(row[strong], spans[strong])
-            pair, inv = np.unique(r * self.blocks + self.cell[cells] % self.blocks, return_inverse=True)
-            bound = np.bincount(inv, weights=self.cell_best[cells], minlength=len(pair)) + rest[pair // self.blocks]
-            pair = pair[bound >= least - 1e-6]
+            key = np.repeat((row[strong] - rows.start) * self.blocks, spans[strong]) + self.cell[cells] % self.blocks
+            bound = np.bincount(key, weights=self.cell_best[cells], minlength=(rows.stop - rows.start) * self.blocks)
+            bound += np.repeat(np.where(bound.reshape(-1, self.blocks).any(1), rest[rows], -1), self.blocks)
+            pair = np.flatnonzero(bound >= least - 1e-6) + rows.start * self.blocks
             r = pair // self.blocks
             for part in _steps(count[r]):
                 of, cells = self._reaching(pair[part], first[r[part]], count[r[part]], t, least)
@@ -197,9 +201,8 @@ class Index:
         """Of (window, block) pairs, with terms ``t[begin:begin + count]``, those whose full bound reaches ``least``: the pair and the cell of each of its terms in the block."""
         of = np.repeat(np.arange(len(pair)), count)
         key = t[_spread_out(begin, count)] * self.blocks + (pair % self.blocks)[of]
-        at = np.minimum(np.searchsorted(self.cell, key), len(self.cell) - 1)
-        has = self.cell[at] == key
-        of, at = of[has], at[has]
+        at = self.find(key)
+        of, at = of[at >= 0], at[at >= 0]
         ok = (np.bincount(of, weights=self.cell_best[at], minlength=len(pair)) >= least - 1e-6)[of]
         return of[ok], at[ok]
 
@@ -207,19 +210,34 @@ class Index:
         """Windows, segments and scores from the postings of ``cells`` of the pairs ``of``."""
         n = self.cell_begin[cells + 1] - self.cell_begin[cells]
         post = _spread_out(self.cell_begin[cells], n)
-        hit, inv = np.unique(np.repeat(of, n) * len(self.of) + self.segment[post], return_inverse=True)
-        score = np.bincount(inv, weights=self.impact[post], minlength=len(hit))
-        return pair[hit // len(self.of)] // self.blocks, hit % len(self.of), score
+        new = np.r_[True, of[1:] != of[:-1]] if len(of) else np.empty(0, bool)
+        live, place = pair[of[new]], np.cumsum(new) - 1
+        score = np.bincount(np.repeat(place * BLOCK, n) + self.segment[post] % BLOCK, weights=self.impact[post], minlength=len(live) * BLOCK)
+        hit = np.flatnonzero(score)
+        own = live[hit // BLOCK]
+        return own // self.blocks, own % self.blocks * BLOCK + hit % BLOCK, score[hit]
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The number of the cell of each key; -1 if there is none."""
+        size = len(self.vocabulary) * self.blocks
+        if size > TABLE:
+            at = np.minimum(np.searchsorted(self.cell, key), len(self.cell) - 1)
+            return np.where(self.cell[at] == key, at, -1)
+        if "table" not in self.memo:
+            self.memo["table"] = np.full(size, -1, np.int32)
+            self.memo["table"][self.cell] = np.arange(len(self.cell))
+        return self.memo["table"][key]
 
     def _facts(self, k: int) -> tuple[int, set[bytes], set[bytes], set[bytes]]:
         """Number of words, shingles, and words of question and answer of item ``k``."""
-        if k not in self.memo:
-            if len(self.memo) >= 1000:
-                self.memo.clear()
+        facts = self.memo.setdefault("facts", {})
+        if k not in facts:
+            if len(facts) >= 1000:
+                facts.clear()
             words = words_of(self.texts[k])
             q, a = question_and_answer(self.texts[k])
-            self.memo[k] = len(words), shingles(words), {*q}, {*a}
-        return self.memo[k]
+            facts[k] = len(words), shingles(words), {*q}, {*a}
+        return facts[k]
 
     def verify(self, doc: set[bytes], in_doc: set[bytes], k: int) -> tuple[float, float, float]:
         """Shares of item ``k`` in a document: of its shingles, and of the words of question and answer."""
