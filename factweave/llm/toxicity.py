@@ -97,9 +97,15 @@ def fold(text: str | None) -> str:
     return " " + out.tobytes().decode("utf-32-le", "replace") + " "
 
 
-def bare(word: str) -> str:
-    """``word`` without accents."""
-    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+@functools.cache
+def _bare_table() -> np.ndarray:
+    return np.array([ord(unicodedata.normalize("NFD", chr(c))[0]) if not 0xD800 <= c < 0xE000 else c for c in range(0x30000)], np.uint32)
+
+
+def bare(folded: str) -> str:
+    """Folded text without accents, as long as it was."""
+    codes = np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return _bare_table()[codes].tobytes().decode("utf-32-le", "surrogatepass")
 
 
 @dataclass(frozen=True)
@@ -126,17 +132,21 @@ class Lexicon:
             self.memo["a"] = a
         return self.memo["a"]
 
-    def disguised(self, word: str) -> str:
-        """``word`` without accents if that is a whole word of the lexicon and the word itself is not; else as it is."""
-        if word.isascii() or f" {word} " in self.weights:
-            return word
-        plain = bare(word)
-        return plain if f" {plain} " in self.weights else word
+    def undisguised(self, words: list[str], folded: str) -> list[str]:
+        """``words`` of ``folded``; one that is no whole word of the lexicon, but is without its accents, loses them."""
+        if folded.isascii():
+            return words
+        if "whole" not in self.memo:
+            self.memo["whole"] = frozenset(p[1:-1] for p in self.weights if p.endswith(" "))
+        whole, plain = self.memo["whole"], bare(folded).split()
+        if whole.isdisjoint(plain):
+            return words
+        return [q if q in whole and w not in whole else w for w, q in zip(words, plain, strict=True)]
 
     def sums(self, folded: str) -> tuple[float, int]:
         """The sum of the weights of the hits, leftmost and longest first, and the number of words."""
-        words = folded.split()
-        n, folded = len(words), f" {' '.join(words if folded.isascii() else map(self.disguised, words))} "
+        words = self.undisguised(folded.split(), folded)
+        n, folded = len(words), f" {' '.join(words)} "
         hits = [(end + 1 - size, end + 1, w) for end, (size, w) in self.automaton().iter(folded)]
         if not hits:
             return 0.0, n
