@@ -155,3 +155,24 @@ def test_embedding_groups(spark, tile_rows):
     got = {r["id"]: (r["n_links"], r["component"]) for r in embed_dedup.near_duplicates(df, tile_rows=tile_rows).collect()}
     assert got == want
     assert embed_dedup.near_duplicates(df.where("1 = 0")).count() == 0
+
+
+def test_pairs_between_the_bounds_are_recomputed(spark):
+    """Vectors around the threshold, many in a group of near copies: each link is decided in one of the two passes."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=64)
+    turned = []
+    for cosine in np.r_[np.linspace(0.88, 0.92, 120), [1.0] * 40]:
+        other = rng.normal(size=64)
+        other -= base * (other @ base) / (base @ base)
+        turned.append(cosine * base / np.linalg.norm(base) + np.sqrt(1 - cosine**2) * other / np.linalg.norm(other))
+    m = np.concatenate([np.array(turned), [base]]).astype(np.float32)
+    x = m.astype(np.float64)
+    cos = (x @ x.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None, :] >= 0.9
+    np.fill_diagonal(cos, False)
+    codes = embed_dedup.quantise(embed_dedup.unit_vectors(x))
+    kinds = [sure for _, _, sure in embed_dedup.close_pairs(codes, codes, 0.9, True)]
+    assert {False, True} <= set(np.concatenate(kinds).tolist())
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "vec_id long, embedding array<float>").repartition(3)
+    got = {r["id"]: r["n_links"] for r in embed_dedup.near_duplicates(df, tile_rows=30).collect()}
+    assert got == {k: int(cos[k].sum()) for k in range(len(m))}
