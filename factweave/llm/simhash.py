@@ -9,7 +9,8 @@ fingerprints within r bits agree on ``blocks - r`` whole blocks, so each link
 meets in some shard: an exact cover), and vantage points work where points are
 dense: a shard above ``shard_rows`` is split into shells by distance from its
 vantage point, with each shell's lower border copied into the shell below, and
-inside a shard a vantage-point tree answers the radius queries.
+inside a shard a vantage-point tree answers the radius queries; a shard of a few
+points has one vantage point and is compared in order of the distance from it.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import connected_components, cut, forest, spread
+from factweave.llm.common import connected_components, cut, forest, fresh, spread
 
 SEED = 42
 SHARD_ROWS = 20_000
@@ -131,9 +132,13 @@ def _shard_links(radius: int):
         a, b = [], []
         of = np.repeat(count, count)
         small = np.flatnonzero((of > 1) & (of <= PLAIN_ROWS))
+        # The first point of a small shard is its vantage point: in order of distance from it, only neighbours within the radius can link.
+        d = np.bitwise_count(fp[small] ^ fp[np.repeat(first, count)[small]]).astype(np.int64)
+        order = np.lexsort((d, shard[small]))
+        small, d = small[order], d[order]
         s, f, r = shard[small], fp[small], rep[small]
         for k in range(1, PLAIN_ROWS):
-            same = np.flatnonzero(s[k:] == s[:-k]) if k < len(s) else np.empty(0, np.int64)
+            same = np.flatnonzero((s[k:] == s[:-k]) & (d[k:] - d[:-k] <= radius)) if k < len(s) else np.empty(0, np.int64)
             if not len(same):
                 break
             near = same[np.bitwise_count(f[same] ^ f[same + k]) <= radius]
@@ -205,9 +210,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     """The rows of ``docs`` whose id is the smallest of its near-duplicate group; of rows that repeat that id one stays; rows without id stay.
 
     The kept ids join back to the rows, and the texts of a repeated id are the only ones that are grouped.
+    Null, empty and blank texts form one group; an empty table stays empty; all columns are kept.
     """
-    got = near_duplicates(docs, id_col, text_col, radius)
-    keep = cut(got.where("id = component").groupBy("id").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("id", "__kept"))
-    once = docs.join(keep.where("n = 1").select("__kept"), F.col(id_col) == F.col("__kept"), "left_semi")
-    many = docs.join(keep.where("n > 1").select("__kept"), F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    got, own = near_duplicates(docs, id_col, text_col, radius), fresh(docs, "kept_id")
+    keep = cut(got.where("id = component").groupBy("id").agg(F.count(F.lit(1)).alias("n")).select(F.col("id").alias(own), "n"))
+    once = docs.join(keep.where("n = 1").select(own), F.col(id_col) == F.col(own), "left_semi")
+    many = docs.join(keep.where("n > 1").select(own), F.col(id_col) == F.col(own), "left_semi").dropDuplicates([id_col])
     return once.unionByName(many).unionByName(docs.where(F.col(id_col).isNull()))
