@@ -29,7 +29,7 @@ from factweave.llm.split import Words, units_of
 VOCABULARY = "byte_bpe_50k.json"
 NONE = np.int32(1 << 30)
 #: Characters of text that are worked on at once.
-CHARS = 500_000
+CHARS = 1_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -149,7 +149,7 @@ class ByteBpe:
         return flat, per_text
 
     def decode(self, ids: np.ndarray) -> str:
-        """The text of ``ids``: their bytes joined and read as UTF-8, bad sequences replaced."""
+        """The text of ``ids``: their bytes joined and read as UTF-8, bad sequences replaced; of none, the empty text. An id outside the vocabulary is an error."""
         size = self.size_of[ids]
         off = np.cumsum(size) - size
         return self.all_bytes[np.repeat(self.at_of[ids] - off, size) + np.arange(int(size.sum()))].tobytes().decode("utf-8", "replace")

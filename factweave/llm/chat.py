@@ -142,7 +142,12 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 
 
 def digests(chats: DataFrame) -> DataFrame:
-    """What the formatted strings of ``format_chats`` hold, read back from them."""
+    """What the formatted strings of ``format_chats`` hold, read back from them: a row for each row of ``chats``.
+
+    Empty texts and roles count as turns; a null ``conv_id`` is kept, repeated ids give a row each; an
+    empty table gives an empty result; columns that are not named are not read. A string that
+    ``format_chats`` can't have made is an error.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -16,12 +16,15 @@ def shard_scores(key: Column, weights: Sequence[float], first: int = 0) -> list[
     out = []
     for shard, weight in enumerate(weights, first):
         u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 11).cast("double") + 0.5) * F.lit(2.0**-53)
-        out.append(F.lit(float(weight)) / -F.log(u))
+        out.append(F.lit(float(weight)) / -F.log(F.least(u, F.lit(1 - 2.0**-53))))  # the greatest hash would round to 1
     return out
 
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
-    """The shard of highest score; of equal scores the lower shard. A shard of weight w gets w of each sum of weights."""
+    """The shard of highest score; of equal scores the lower shard. A shard of weight w gets w of each sum of weights.
+
+    Decided by ``key`` alone: null keys share a shard, repeated keys too. An empty list of weights is an error.
+    """
     scores = F.array(*shard_scores(key, weights))
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 
