@@ -6,15 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.functions.text import strip, word_set
+from factweave.operators.components import components
 from factweave.operators.records import first_by
 from factweave.plans.checkpoint import cut
 
 #: Fixed value: the Jaccard threshold. Bands of rows for candidates: a pair at the threshold is missed with probability 0.0004, one of unrelated texts (0.2) is compared with probability 0.004.
 THRESHOLD, BANDS, ROWS = 0.7, 64, 6
+#: Groups of links up to so many are walked in one task; larger ones take rounds over all links.
+WALK = 200_000
+#: Dense groups are thinned while their candidate pairs are so many times the rows, and rounds take a hundredth of the rows at least.
+DENSE, FEW = 8, 0.01
 
 
 def distinct_claims(df: DataFrame, claim: str = "claim") -> DataFrame:
@@ -32,7 +37,7 @@ def word_sets(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def signatures(sets: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``(key, band)`` rows: a hash of each band of min-hashes of ``sets(key, w)``. Empty sets have none."""
+    """``(key, n, band)`` rows: the size of each set of ``sets(key, w)`` and a hash of each band of its min-hashes. Empty sets have none."""
     random = np.random.default_rng(1)
     a = random.integers(1, 1 << 63, bands * rows, dtype=np.uint64) | np.uint64(1)
     b = random.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
@@ -46,42 +51,68 @@ def signatures(sets: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
                 for at in range(0, len(x), 1024):  # multiply and shift, modulo 2**64
                     low = np.minimum(low, ((a[:, None] * x[at : at + 1024][None, :] + b[:, None]) >> np.uint64(32)).min(axis=1))
                 out.append(low.view(np.int64))
-            yield pd.DataFrame({"key": pdf["key"], "low": out})
+            yield pd.DataFrame({"key": pdf["key"], "n": pdf["n"], "low": out})
 
     kind = sets.schema["key"].dataType.simpleString()
-    hashed = sets.select("key", F.transform("w", lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") > 0)
-    low = hashed.mapInPandas(run, f"key {kind}, low array<long>")
+    hashed = sets.select("key", F.size("w").alias("n"), F.transform("w", lambda w: F.xxhash64(w)).alias("h")).where("n > 0")
+    low = hashed.mapInPandas(run, f"key {kind}, n int, low array<long>")
     band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.slice("low", k * rows + 1, rows)))
-    return low.select("key", F.explode(band).alias("band"))
+    return low.select("key", "n", F.explode(band).alias("band"))
 
 
-def jaccard_pairs(left: DataFrame, right: DataFrame, key: str, text: str, threshold: float = THRESHOLD, same: bool = False) -> DataFrame:
-    """``(a, b, jaccard)`` of word sets at the threshold or over it; ``same``: pairs of one table, ``a < b``.
+def jaccard(a: str, b: str) -> Column:
+    """Of two word sets."""
+    both = F.size(F.array_intersect(a, b))
+    return both / (F.size(a) + F.size(b) - both)
 
-    Callers take equal word sets once, so copies don't multiply pairs. Sets and bands
-    are written once, since both sides of the joins read them.
+
+def verified(cand: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b, jaccard)`` of the candidate pairs ``cand(a, b)`` whose sets reach the threshold."""
+    got = cand.join(left.withColumnsRenamed({"key": "a", "w": "wa"}), "a").join(right.withColumnsRenamed({"key": "b", "w": "wb"}), "b")
+    return got.select("a", "b", jaccard("wa", "wb").alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+def candidates(bands: DataFrame, others: DataFrame, threshold: float, same: bool) -> DataFrame:
+    """``(a, b)``: pairs that share a band and whose sizes allow the threshold; ``same``: ``a < b``."""
+    cand = bands.withColumnsRenamed({"key": "a", "n": "na"}).join(others.withColumnsRenamed({"key": "b", "n": "nb"}), "band")
+    cand = cand.where((F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na")))
+    return (cand.where("a < b") if same else cand).select("a", "b").distinct()
+
+
+def jaccard_pairs(left: DataFrame, right: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
+    """``(a, b, jaccard)`` of word sets of two tables at the threshold or over it.
+
+    Sets are written once, since both sides of the joins read them.
     """
-    own = cut(word_sets(left, key, text))
-    other = own if same else cut(word_sets(right, key, text))
-    bands = cut(signatures(own))
-    other_bands = bands if same else cut(signatures(other))
-    cand = bands.withColumnRenamed("key", "a").join(other_bands.withColumnRenamed("key", "b"), "band")
-    cand = (cand.where("a < b") if same else cand).select("a", "b").distinct()
-    got = cand.join(own.withColumnsRenamed({"key": "a", "w": "wa"}), "a").join(other.withColumnsRenamed({"key": "b", "w": "wb"}), "b")
-    got = got.where((F.size("wa") >= threshold * F.size("wb")) & (F.size("wb") >= threshold * F.size("wa")))
-    both = F.size(F.array_intersect("wa", "wb"))
-    return got.select("a", "b", (both / (F.size("wa") + F.size("wb") - both)).alias("jaccard")).where(F.col("jaccard") >= threshold)
-
-
-def greedy_keep(nodes: DataFrame, pairs: DataFrame, key: str = "ord") -> DataFrame:
+    own, other = cut(word_sets(left, key, text)), cut(word_sets(right, key, text))
+    return verified(candidates(signatures(own), signatures(other), threshold, False), own, other, threshold)
+
+
+def greedy_keep(nodes: DataFrame, pairs: DataFrame, key: str = "ord", walk: int = WALK) -> DataFrame:
     """Keys that a pass in key order keeps: those without a kept earlier partner in ``pairs(a, b)``, ``a < b``.
 
-    Each round keeps the undecided keys without an undecided earlier partner and
-    removes the later partners of kept keys; this gives what the sequential pass gives.
-    A round decides at least the smallest open key, so the rounds end.
+    Groups of connected keys are independent. A group of up to ``walk`` pairs is
+    walked in order in one task. Larger groups take rounds: each keeps
+    the undecided keys without an undecided earlier partner and removes the later
+    partners of kept keys, which gives what the walk gives. A round decides at
+    least the smallest open key, so the rounds end.
     """
-    open_pairs = cut(pairs.select("a", "b").distinct())
-    lost = cut(nodes.select(F.col(key).alias("lost")).where("1 = 0"))
+    every = cut(pairs.select("a", "b").distinct())
+    whole = every.count() <= walk  # then all pairs are one group to walk
+    grouped = every.withColumn("component", F.lit(0)) if whole else cut(every.join(components(every).withColumnRenamed("node", "a"), "a"))
+    sizes = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    large = sizes.where((F.col("size") > walk) & ~F.lit(whole)).select("component")
+    kind = every.schema["b"].dataType.simpleString()
+
+    def lost_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, gone = pdf.sort_values("a"), set()
+        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):  # all pairs (x, a) with x < a came before
+            if a not in gone:
+                gone.add(b)
+        return pd.DataFrame({"lost": pd.Series(sorted(gone), dtype=pdf["b"].dtype)})
+
+    lost = cut(grouped.join(large, "component", "left_anti").groupBy("component").applyInPandas(lost_of, f"lost {kind}"))
+    open_pairs = cut(grouped.join(large, "component", "left_semi").select("a", "b"))
     most = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while not open_pairs.isEmpty():
         kept = open_pairs.select(F.col("a").alias("k")).distinct().join(open_pairs.select(F.col("b").alias("k")).distinct(), "k", "left_anti")
@@ -94,13 +125,40 @@ def greedy_keep(nodes: DataFrame, pairs: DataFrame, key: str = "ord") -> DataFra
     return nodes.select(key).join(lost, F.col(key) == F.col("lost"), "left_anti")
 
 
+def thinned(sets: DataFrame, bands: DataFrame, threshold: float, dense: int = DENSE, few: float = FEW) -> tuple[DataFrame, DataFrame]:
+    """Keys that the pass drops because of the first of a dense group, and the bands that are still to be decided.
+
+    A key that is the smallest of all bands it is in has no earlier candidate, so it is kept,
+    and it is compared with the members of its bands, one comparison a member instead
+    of one a pair. This goes on while bands hold many times more pairs than rows.
+    """
+    lost = cut(bands.select(F.col("key").alias("lost")).where("1 = 0"))
+    while True:
+        low = bands.groupBy("band").agg(F.min("key").alias("low"), F.count(F.lit(1)).alias("m")).where("m > 1")
+        load = low.agg(F.sum(F.col("m").cast("double") * (F.col("m") - 1) / 2).alias("pairs"), F.sum("m").alias("rows")).first()
+        if not load["rows"] or load["pairs"] <= dense * load["rows"]:
+            return lost, bands
+        shared = cut(bands.join(low.select("band", "low"), "band"))
+        later = shared.where("key > low")
+        first = shared.where("key = low").select("key").distinct().join(later.select("key").distinct(), "key", "left_anti")
+        cand = later.join(first.select(F.col("key").alias("low")), "low", "left_semi").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()
+        gone = cut(verified(cand, sets, sets, threshold).select(F.col("b").alias("lost")).distinct())
+        decided = gone.unionByName(first.select(F.col("key").alias("lost"))).distinct()
+        bands = cut(bands.join(decided, F.col("key") == F.col("lost"), "left_anti"))
+        lost = cut(lost.unionByName(gone))
+        if gone.count() < few * shared.select("key").distinct().count():
+            return lost, bands
+
+
 def jaccard_dedup(df: DataFrame, text: str = "claim", key: str = "ord", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows kept by a pass in key order that drops a row similar to a kept one. Rows with equal word sets keep the first."""
-    firsts = cut(df.select(key, text, F.sha2(F.array_join(F.array_sort(word_set(text)), " "), 256).alias("__set")).groupBy("__set").agg(F.min_by(F.struct(F.col(key), F.col(text)), F.col(key)).alias("r")).select("r.*"))
-    blank = df.where(F.coalesce(F.size(word_set(text)), F.lit(0)) == 0).select(key)
-    pairs = jaccard_pairs(firsts, firsts, key, text, threshold, same=True)
-    keep = greedy_keep(firsts, pairs, key).unionByName(blank).distinct()
-    return df.join(keep, key, "left_semi")
+    """Rows kept by a pass in key order that drops a row similar to a kept one. Rows with equal word sets keep the first; rows without words stay."""
+    rows = cut(word_sets(df, key, text)).where(F.size("w") > 0)  # behind the cut, else the filter works out each set once more
+    firsts = cut(rows.groupBy(F.sha2(F.array_join("w", " "), 256).alias("set")).agg(F.min_by(F.struct("key", "w"), "key").alias("r")).select("r.*"))
+    lost, bands = thinned(firsts, cut(signatures(firsts)), threshold)
+    pairs = verified(candidates(bands, bands, threshold, True), firsts, firsts, threshold)
+    keep = greedy_keep(firsts.select("key").join(lost, F.col("key") == F.col("lost"), "left_anti"), pairs, "key")
+    gone = rows.select("key").join(keep, "key", "left_anti").withColumnRenamed("key", "__gone")
+    return df.join(gone, F.col(key) == F.col("__gone"), "left_anti")
 
 
 def exact_decontaminate(df: DataFrame, refs: DataFrame, text: str, ref_text: str) -> DataFrame:

@@ -12,8 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.operators.dedup import greedy_keep
+from factweave.operators.sampling import hash_order, take_per_group
+from factweave.plans.checkpoint import cut
 
 TILE = 2048
+#: Pairs are listed once there are so many a row at most; before, dense groups are thinned.
+DENSE = 16
 
 
 def _unit(values: pd.Series) -> np.ndarray:
@@ -68,9 +72,57 @@ def best_similarity(df: DataFrame, refs: DataFrame, key: str, vec: str, ref_key:
     return own.select("key").join(found, "key", "left").select(F.col("key").alias(key), "best")
 
 
-def semantic_dedup(df: DataFrame, key: str, vec: str, threshold: float = 0.70) -> DataFrame:
-    """Rows kept by a pass in key order that drops later rows similar to a kept one."""
-    return df.join(greedy_keep(df, similar_pairs(df, key, vec, threshold), key), key, "left_semi")
+def earlier_links(own: DataFrame, threshold: float) -> DataFrame:
+    """``(key, before, links)``: for each key of ``own(key, v)`` with a partner of cosine at the threshold, the number of earlier partners and of all; no pair leaves a task."""
+
+    def run(pair: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pair
+        left, right = pdf[pdf["side"] == i], pdf[pdf["side"] == j]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"key": [], "before": [], "links": []})
+        a, b, x, y = left["key"].to_numpy(), right["key"].to_numpy(), _unit(left["v"]), _unit(right["v"]).T
+        count = np.zeros((4, max(len(a), len(b))), np.int64)
+        for at in range(0, len(a), 512):
+            near = x[at : at + 512] @ y >= threshold
+            near &= a[at : at + 512, None] != b[None, :]
+            later = near & (b[None, :] < a[at : at + 512, None])
+            count[0, at : at + len(near)], count[1, at : at + len(near)] = later.sum(1), near.sum(1)
+            count[2, : len(b)] += (near & ~later).sum(0)
+            count[3, : len(b)] += near.sum(0)
+        out = pd.DataFrame({"key": a, "before": count[0, : len(a)], "links": count[1, : len(a)]})
+        if i != j:
+            out = pd.concat([out, pd.DataFrame({"key": b, "before": count[2, : len(b)], "links": count[3, : len(b)]})])
+        return out[out["links"] > 0]
+
+    grid = _grid(own, own, own.count(), 0, True)
+    return grid.groupBy("i", "j").applyInPandas(run, "key long, before long, links long").groupBy("key").agg(F.sum("before").alias("before"), F.sum("links").alias("links"))
+
+
+def semantic_dedup(df: DataFrame, key: str, vec: str, threshold: float = 0.70, dense: int = DENSE) -> DataFrame:
+    """Rows kept by a pass in key order that drops later rows similar to a kept one.
+
+    While there are many links a row, the keys without an earlier partner are kept and
+    their partners dropped, from counts alone; the links of what is left are then listed
+    for ``greedy_keep``. Both give what the pass gives.
+    """
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(vec).alias("v")).where("v IS NOT NULL")
+    left, lost = cut(rows), []
+    while True:
+        linked = cut(earlier_links(left, threshold))
+        left = cut(left.join(linked.select("key"), "key", "left_semi"))
+        load = linked.agg(F.sum("links").alias("s"), F.count(F.lit(1)).alias("n")).first()
+        if (load["s"] or 0) <= 2 * dense * load["n"]:
+            break
+        first = cut(left.join(linked.where("before = 0").select("key"), "key", "left_semi"))
+        rest = left.join(first.select("key"), "key", "left_anti")
+        best = best_similarity(rest, first, "key", "v", "key", "v")
+        gone = cut(best.where(F.col("best") >= threshold).select("key"))
+        lost.append(gone)
+        left = cut(rest.join(gone, "key", "left_anti"))
+    keep = greedy_keep(left, similar_pairs(left, "key", "v", threshold), "key")
+    for gone in [*lost, left.select("key").join(keep, "key", "left_anti")]:
+        df = df.join(gone.withColumnRenamed("key", "__lost"), F.col(key) == F.col("__lost"), "left_anti")
+    return df
 
 
 def semantic_decontaminate(df: DataFrame, refs: DataFrame, key: str, vec: str, ref_key: str, ref_vec: str, threshold: float = 0.90) -> DataFrame:
@@ -86,3 +138,16 @@ def avg_cosine_distance(df: DataFrame, vec: str, by: list[str] | None = None) ->
     sums = unit.groupBy(*(by or []), "d").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
     n = F.max("n")
     return sums.groupBy(*(by or [])).agg(F.when(n > 1, (n * n - F.sum(F.col("s") * F.col("s"))) / (n * (n - 1))).otherwise(F.lit(0.0)).alias("distance"))
+
+
+def sampled_distances(df: DataFrame, key: str, vec: str, by: list[str], rows: int = 2_000, pairs: int = 100_000, seed: int = 42) -> DataFrame:
+    """``(by, a, b, distance)``: 1 - cosine of ``pairs`` pairs (or all) of ``rows`` rows (or all) of each group, both taken in hash order.
+
+    The sample is the operator's own limit, for a density plot.
+    """
+    some = take_per_group(df.select(*by, F.col(key).alias("key"), F.col(vec).alias("v")), by, rows, hash_order("key", seed), "key")
+    left, right = some.withColumnsRenamed({"key": "a", "v": "x"}), some.withColumnsRenamed({"key": "b", "v": "y"})
+    both = left.join(right, by).where("a < b") if by else left.join(right, F.col("a") < F.col("b"))
+    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: s.cast("double") * t.cast("double")), F.lit(0.0), lambda s, t: s + t)
+    far = both.select(*by, "a", "b", (1 - dot("x", "y") / F.sqrt(dot("x", "x") * dot("y", "y"))).alias("distance"), F.concat_ws("-", "a", "b").alias("pair"))
+    return take_per_group(far, by, pairs, hash_order("pair", seed), "pair").drop("pair")
