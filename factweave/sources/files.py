@@ -55,3 +55,18 @@ def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
         if "PATH_NOT_FOUND" in str(e):
             return spark.createDataFrame([], schema)
         raise
+
+
+def pass_through(spark: SparkSession, source: str, target: str, pattern: str = "*.jsonl", without: tuple[str, ...] = ("train.jsonl",)) -> list[str]:
+    """Copy the files of folder ``source`` that match ``pattern``, but for ``without``, to ``target`` as they are; their names."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    to = path(target)
+    to.getFileSystem(conf).mkdirs(to)
+    done = []
+    for found in path(source).getFileSystem(conf).globStatus(path(f"{source}/{pattern}")) or []:
+        name = found.getPath().getName()
+        if name not in without:
+            jvm.org.apache.hadoop.fs.FileUtil.copy(found.getPath().getFileSystem(conf), found.getPath(), to.getFileSystem(conf), path(f"{target}/{name}"), False, conf)
+            done.append(name)
+    return sorted(done)
