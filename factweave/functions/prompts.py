@@ -19,15 +19,16 @@ TASKS = {
     "atomicity": "Judge the question by is_question, single_focus, no_conjunctions, verifiable and grounded, a line each with yes or no, in <checklist> tags.\n\nClaim: {claim}\nQuestion: {question}",
     "coverage": "By these answers alone, is the claim supported, refuted, or is there not enough information? Reply in <verdict> tags.\n\nClaim: {claim}\nAnswers:\n{answers}",
 }
+#: By the fixed names of the baselines; each asks for the verdict in the form that ``verdict_tag`` reads.
 BASELINES = {
     "simple": "Claim: {claim}\nEvidence: {evidence}\nReply with Supported or Refuted.",
     "cot": "Claim: {claim}\nEvidence: {evidence}\nReason step by step, then give <verdict>Supported</verdict> or <verdict>Refuted</verdict>.",
-    "program": "Write the checks that this claim needs, run each on the evidence, and end with <verdict>.\nClaim: {claim}\nEvidence: {evidence}",
+    "self_ask": "Are follow-up questions needed? Ask and answer them from the evidence, then give <verdict>Supported</verdict> or <verdict>Refuted</verdict>.\nClaim: {claim}\nEvidence: {evidence}",
+    "decomposed_prompting": "List the sub-questions that the claim needs, answer each from the evidence, say when there are no more, and give <verdict>Supported</verdict> or <verdict>Refuted</verdict>.\nClaim: {claim}\nEvidence: {evidence}",
+    "hiss": "Split the claim into parts. For each part, ask and answer questions step by step from the evidence alone (I don't know where it is silent) and judge the part. From all parts give <verdict>Supported</verdict> or <verdict>Refuted</verdict>.\nClaim: {claim}\nEvidence: {evidence}",
     "folk": "Turn the claim into predicates, ground each in the evidence, and end with [SUPPORTED] or [NOT_SUPPORTED].\nClaim: {claim}\nEvidence: {evidence}",
-    "self_ask": "Are follow-up questions needed? Ask and answer them from the evidence, then give <verdict>.\nClaim: {claim}\nEvidence: {evidence}",
-    "decomposed": "List the claim's facts, verify each in the evidence, and give <verdict>.\nClaim: {claim}\nEvidence: {evidence}",
-    "zero_shot": "Is this claim supported by the evidence? Give <verdict>.\nClaim: {claim}\nEvidence: {evidence}",
-    "few_facts": "Quote the facts of the evidence that bear on the claim and give <verdict>.\nClaim: {claim}\nEvidence: {evidence}",
+    "programfc": "Write the checks that this claim needs, run each on the evidence, set label to True or False, and give <verdict>Supported</verdict> for True or <verdict>Refuted</verdict> for False.\nClaim: {claim}\nEvidence: {evidence}",
+    "chen_complex": "Write yes/no questions that together decide the claim, answer each from the evidence with a reason (I don't know where it is silent), weigh the answers as a whole, and give <verdict>Supported</verdict> or <verdict>Refuted</verdict>.\nClaim: {claim}\nEvidence: {evidence}",
 }
 TURNS = {
     "sufficiency": "Claim: {claim}\nEvidence: {evidence}\n{history}\nIs this enough to decide? Reply in <enough> tags with yes or no.",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factweave.functions.text import col, strip, text_between
+from factweave.functions.text import col, let, strip, text_between
 
 #: Tags of a generation with the letter that stands for each in the order check, and the labels a verification may carry.
 TAGS = {"think": "t", "question": "q", "answer": "a", "verification": "v"}
@@ -168,10 +168,14 @@ def subquestions(c: Column | str, limit: int, claim: Column | str | None = None)
     asked = F.transform(bare, lambda q: F.when(F.endswith(q, F.lit("?")), q).otherwise(F.concat(q, F.lit("?"))))
     keyed = F.filter(F.transform(asked, lambda q: F.struct(_plain(q).alias("key"), q.alias("q"))), lambda x: x["key"] != "")
     if claim is not None:
-        echo = _plain(col(claim))
-        keyed = F.filter(keyed, lambda x: (echo == "") | (x["key"] != echo))
-    once = F.filter(keyed, lambda x, i: F.array_position(F.transform(keyed, lambda y: y["key"]), x["key"]) == i + 1)
-    return F.slice(F.transform(once, lambda x: x["q"]), 1, limit)
+        keyed = let(_plain(col(claim)), lambda echo: F.filter(keyed, lambda x: (echo == "") | (x["key"] != echo)))
+
+    def firsts(asked: Column) -> Column:
+        """The first question of each key."""
+        place = lambda keys, x: F.get(asked, (F.array_position(keys, x) - 1).cast("int"))["q"]
+        return let(F.transform(asked, lambda x: x["key"]), lambda keys: F.transform(F.slice(F.array_distinct(keys), 1, limit), lambda x: place(keys, x)))
+
+    return let(keyed, firsts)
 
 
 def enough(c: Column | str) -> Column:

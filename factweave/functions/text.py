@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     """Without white space at both ends, line breaks and tabs included."""
     return F.regexp_replace(col(c), r"^\s+|\s+$", "")

@@ -21,6 +21,17 @@ def removal_summary(before: DataFrame, after: DataFrame, by: str = "src") -> Dat
     )
 
 
+def removal_counts(df: DataFrame, keep: Column, by: str = "src") -> DataFrame:
+    """As ``removal_summary`` of the rows that hold ``keep``, in one pass over ``df``."""
+    kept = F.coalesce(keep, F.lit(False)).cast("int")
+    sums = df.select(by, kept.alias("k")).rollup(by).agg(F.count(F.lit(1)).alias("before"), F.sum("k").alias("after"), F.grouping(by).alias("g"))
+    removed = F.col("before") - F.coalesce("after", F.lit(0))
+    return sums.select(
+        F.when(F.col("g") == 1, "TOTAL").otherwise(F.col(by)).alias(by), "before", removed.alias("removed"), F.coalesce("after", F.lit(0)).alias("after"),
+        F.coalesce(F.try_divide(100.0 * removed, F.col("before")), F.lit(0.0)).alias("pct_removed"),
+    )
+
+
 def shares(df: DataFrame, *by: str) -> DataFrame:
     """Rows and percent of each value."""
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
@@ -112,13 +123,15 @@ def nearest_rank(df: DataFrame, value: Column, by: list[str], percents: list[int
 
 
 def split_stats(df: DataFrame, text: str, label: str, claim_hash: str, by: str = "split") -> DataFrame:
-    """Rows, text-length percentiles, mean and population deviation, distinct claims and labels of each split."""
+    """Rows, text-length percentiles, mean and population deviation, distinct claims and labels of each split, and its rows by label (rounded to two places)."""
     n = F.length(text)
     base = df.groupBy(by).agg(
         F.count(F.lit(1)).alias("n"), F.min(n).alias("len_min"), F.max(n).alias("len_max"), F.avg(n).alias("len_mean"), F.stddev_pop(n).alias("len_std"),
         F.count_distinct(claim_hash).alias("claims"), F.count_distinct(F.round(F.col(label).cast("double"), 2)).alias("labels"),
     )
-    return base.join(nearest_rank(df, n, [by], [25, 50, 75, 95, 99]), by)
+    each = df.groupBy(by, F.round(F.col(label).cast("double"), 2).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    histogram = each.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("label_counts"))  # a row per label
+    return base.join(nearest_rank(df, n, [by], [25, 50, 75, 95, 99]), by).join(histogram, by)
 
 
 def entropy(df: DataFrame, by: str) -> DataFrame:
@@ -182,6 +195,13 @@ def evaluation_metrics(df: DataFrame, means: dict[str, str]) -> DataFrame:
     return binary_metrics(df).crossJoin(F.broadcast(extra))
 
 
+def common_items(df: DataFrame, item: str, method: str) -> DataFrame:
+    """Items that all selections hold."""
+    total = df.agg(F.count_distinct(method).alias("methods"))
+    got = df.groupBy(item).agg(F.count_distinct(method).alias("n"))
+    return got.crossJoin(F.broadcast(total)).where("n = methods").select(item)
+
+
 def method_report(df: DataFrame, method: str, source: str, label: str) -> DataFrame:
     """Rows, source entropy and label balance of each selection."""
     def share(by: str) -> DataFrame:

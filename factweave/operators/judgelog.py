@@ -111,3 +111,18 @@ def dataset(gated: DataFrame, subset: str, order: tuple[str, ...] = ("source_run
 
 def reject_counts(gated: DataFrame) -> DataFrame:
     return gated.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def task_datasets(splits: dict[str, DataFrame], subset: str, train: str = "train", limit: int | None = None, eval_limit: int | None = None) -> dict[str, DataFrame]:
+    """``train``, ``validation``, ``test`` and ``test_balanced`` of a task's splits; ``train`` names the split to train on.
+
+    ``limit`` and ``eval_limit`` cap rows (in the order of the text hash) if they are set. The
+    share of criteria becomes one of six classes.
+    """
+    named = {"train": train, "validation": "validation", "test": "test", "test_balanced": "test_balanced"}
+    out = {}
+    for name, split in named.items():
+        most = limit if name == "train" else eval_limit
+        df = splits[split].orderBy("text_hash").limit(most) if most else splits[split]
+        out[name] = df.withColumn("label", bin_atomicity(F.col("label").cast("double"))) if subset == "atomicity_checklist" else df
+    return out

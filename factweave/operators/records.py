@@ -18,11 +18,12 @@ def claim_records(df: DataFrame, src: Column | str, claim: Column, evidence: Col
 
     With ``labels`` the source's labels are mapped and rows with others are dropped;
     without, the label's truth value decides. The id is a hash of source and order,
-    so a rerun gives the same ids. ``metadata`` is the row as JSON.
+    so a rerun gives the same ids; without ``ord`` the hash of the whole row stands for
+    it, and rows that repeat share it. ``metadata`` is the row as JSON.
     """
     mapped = lookup(label.cast("string"), {str(k): v for k, v in labels.items()}) if labels is not None else F.when(label.cast("boolean"), SUPPORTED).otherwise(REFUTED)
     src = F.lit(src) if isinstance(src, str) else src
-    ord = F.monotonically_increasing_id() if ord is None else ord
+    ord = F.xxhash64(F.to_json(F.struct("*"))) if ord is None else ord
     whole = F.to_json(F.struct("*")) if metadata is None else metadata
     staged = df.select(ord.cast("long").alias("ord"), src.alias("src"), strip(claim).alias("claim"), strip(evidence).alias("evidence"), mapped.alias("label"), label.cast("string").alias("orig_label"), whole.alias("metadata"))
     return staged.where("label IS NOT NULL").select("ord", F.sha2(F.concat_ws("|", "src", "ord"), 256).alias("id"), *COLUMNS[1:])

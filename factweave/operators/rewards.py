@@ -14,9 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factweave.functions.tags import qa_pairs
+from factweave.functions.tags import qa_pairs, verification_reward
 from factweave.functions.text import is_idk
 from factweave.operators.aggregates import majority_vote
+from factweave.operators.filters import is_supervised
 from factweave.operators.selection import unit
 
 KEY = ["prompt_id", "gen_idx"]
@@ -134,38 +135,58 @@ def vendi_reward(df: DataFrame, vec: str) -> DataFrame:
         if n <= 1:
             return 0.0
         x = unit(v)
-        value = np.linalg.eigvalsh(np.clip(x @ x.T, 0, 1) / n)
+        value = np.linalg.eigvalsh(np.clip(x @ x.T, -1, 1) / n)
         value = value[value > 1e-12]
         return float(np.exp(-(value * np.log(value)).sum()) / n)
 
     return _per_generation_numpy(df, vec, how)
 
 
+def verification_rewards(df: DataFrame, rate: float, generation: str = "generation", truth: str = "label", claim: str = "claim") -> DataFrame:
+    """``(score, predicted)`` of each generation: 1 if its verdict is the truth; 0 and ``unknown`` where the claim is not supervised or has no truth."""
+    got = verification_reward(generation, truth)
+    asked = F.coalesce(is_supervised(rate, claim), F.lit(False)) & F.col(truth).isNotNull()
+    return df.select(*KEY, F.when(asked, got["score"]).otherwise(0.0).alias("score"), F.when(asked, got["label"]).otherwise("unknown").alias("predicted"))
+
+
+#: The models that may judge, by the names they go by.
+BACKENDS = {"llm": "llm-judge", "llm-judge": "llm-judge", "tiny": "tiny-judge", "tiny-judge": "tiny-judge"}
+
+
 @dataclass(frozen=True)
 class RewardConfig:
-    """Which rewards a training step asks for; the form of a generation is always scored."""
+    """Which rewards a training step asks for; the form of a generation is always scored. Defaults are the fixed values of an empty environment."""
 
     necessity: bool = True
     joint_quality: bool = True
-    diversity: str | None = "vendi"
+    diversity: str | None = "mmr"
     supervision_rate: float = 1.0
-    question_count: bool = False
+    question_count: bool = True
     coverage: bool = True
+    aggregation: str = "mean"
+    backend: str = "llm-judge"
 
     @classmethod
     def from_env(cls, env: dict[str, str]) -> RewardConfig:
-        on = lambda name, default="1": env.get(name, default) == "1"
-        rate = float(env.get("SUPERVISION_RATE", "1.0"))
+        on = lambda name: env.get(name, "1") == "1"
+        rate, backend = float(env.get("SUPERVISION_RATE", "1.0")), env.get("REWARD_BACKEND", "llm-judge").lower()
         if not 0 <= rate <= 1:
             raise ValueError("the supervision rate lies between 0 and 1")
-        kind = env.get("DIVERSITY_REWARD", "vendi")
-        return cls(on("NECESSITY_SALIENCY_REWARD"), on("JOINT_QUALITY_REWARD"), kind if on("DIVERSITY_REWARD_ENABLED") else None, rate, on("GOOD_NUM_Q_REWARD", "0"), on("COVERAGE_REWARD"))
+        if backend not in BACKENDS:
+            raise ValueError(f"unknown reward backend {backend}")
+        kind = env.get("DIVERSITY_REWARD", "mmr") if on("DIVERSITY_REWARD_ENABLED") else None
+        return cls(on("NECESSITY_SALIENCY_REWARD"), on("JOINT_QUALITY_REWARD"), kind, rate, on("GOOD_NUM_Q_REWARD"), on("COVERAGE_REWARD"), env.get("NECESSITY_AGGREGATION", "mean"), BACKENDS[backend])
 
     def names(self) -> list[str]:
         asked = (("format", True), ("necessity_saliency", self.necessity), ("joint_quality", self.joint_quality), ("diversity", self.diversity is not None), ("verification", self.supervision_rate > 0), ("good_num_q", self.question_count), ("coverage", self.coverage))
         return [n for n, on in asked if on]
 
 
+def diversity_reward(df: DataFrame, config: RewardConfig, query_vec: str, doc_vec: str | None = None) -> DataFrame:
+    """The diversity reward that ``config`` names: ``mmr`` the margin to earlier questions, else the Vendi score."""
+    return margin_reward(df, query_vec, doc_vec or query_vec) if config.diversity == "mmr" else vendi_reward(df, query_vec)
+
+
 def reward_table(df: DataFrame, config: RewardConfig, parts: dict[str, DataFrame]) -> DataFrame:
     """One column for each asked reward: those of ``parts`` by generation, 0 where a part has no row."""
     out = df.select(*KEY)

@@ -285,7 +285,9 @@ def first_gains(rows: DataFrame, taken: np.ndarray, tile: int) -> DataFrame:
         .select("__tile", F.col("own.__key").alias("keys"), F.col("own.__vec").alias("vecs"))
     )
     kind = rows.schema["__key"].dataType.simpleString()
-    pairs = tiles.select("keys", "vecs").crossJoin(tiles.select(F.col("vecs").alias("others"))).repartition(max(n, rows.sparkSession.sparkContext.defaultParallelism))
+    others = tiles.select(F.col("__tile").alias("__other"), F.col("vecs").alias("others"))
+    pairs = tiles.select("keys", "vecs", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("__other")).join(others, "__other")
+    pairs = pairs.select("keys", "vecs", "others").repartition(max(n, rows.sparkSession.sparkContext.defaultParallelism))
 
     def gains(batches):
         for pdf in batches:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from factweave.functions.prompts import VERIFY, render
 from factweave.functions.text import word_count
 from factweave.operators import dedup, filters, sampling, selection, similarity
-from factweave.operators.aggregates import removal_summary
+from factweave.operators.aggregates import common_items, method_report, removal_summary
 from factweave.operators.providers import pair_key
 from factweave.operators.records import coalescing_join, require
 
@@ -68,6 +68,20 @@ def semantic(df: DataFrame, vectors: DataFrame, tests: DataFrame, c: Config = Co
     return similarity.semantic_decontaminate(own, near, "ord", "embedding", "ord", "embedding", c.leak).drop("embedding")
 
 
+def leak_counts(df: DataFrame, vectors: DataFrame, tests: DataFrame, c: Config = Config()) -> DataFrame:
+    """``(prong, removed)``: what each step of the decontamination in ``semantic`` takes from what the step before left."""
+    own = require(df, vectors, "claim", "embedding", "embedding")
+    exact = dedup.exact_decontaminate(own, tests, "claim", "claim")
+    jaccard = dedup.jaccard_decontaminate(exact, tests, "ord", "claim", "ord", "claim", c.jaccard)
+    near = similarity.semantic_decontaminate(jaccard, tests.join(vectors, "claim"), "ord", "embedding", "ord", "embedding", c.leak)
+    sizes = [x.agg(F.count(F.lit(1)).alias(n)) for n, x in (("whole", own), ("exact_left", exact), ("jaccard_left", jaccard), ("semantic_left", near))]
+    one = sizes[0]
+    for x in sizes[1:]:
+        one = one.crossJoin(F.broadcast(x))  # one row each
+    prongs = F.array(*[F.struct(F.lit(n).alias("prong"), (F.col(a) - F.col(b)).alias("removed")) for n, a, b in (("exact", "whole", "exact_left"), ("jaccard", "exact_left", "jaccard_left"), ("semantic", "jaccard_left", "semantic_left"))])
+    return one.select(F.inline(prongs))
+
+
 def decomposed(df: DataFrame, counts: DataFrame, lists: DataFrame, least: int = 2) -> DataFrame:
     """Decompositions by claim, kept where null; records with too few questions go."""
     empty = df.withColumns({"num_of_questions": F.lit(None).cast("int"), "decomposed_questions": F.lit(None).cast("array<string>")})
@@ -91,6 +105,18 @@ def augmented(chosen: DataFrame, pool: DataFrame, c: Config = Config()) -> DataF
     return sampling.augment(chosen, pool, "id", c.tokens(F.col("evidence")) >= c.long_tokens)
 
 
+def comparison(chosen: DataFrame, pool: DataFrame, key: str = "ord", vec: str = "embedding") -> DataFrame:
+    """A row per selection of ``chosen(method, key, src, label, vec)``: rows, source entropy, label balance, mean cosine distance, Vendi score, mean distance of the pool to its nearest chosen row, and the items common to all."""
+    out = method_report(chosen, "method", "src", "label").join(similarity.avg_cosine_distance(chosen, vec, ["method"]), "method").join(selection.vendi(chosen, ["method"], key, vec).select("method", "vendi"), "method")
+    far = None
+    for r in chosen.select("method").distinct().collect():  # a handful of methods
+        best = similarity.best_similarity(pool, chosen.where(F.col("method") == r["method"]), key, vec, key, vec)
+        one = best.agg(F.avg(1 - F.col("best")).alias("pool_distance")).withColumn("method", F.lit(r["method"]))
+        far = one if far is None else far.unionByName(one)
+    common = common_items(chosen, key, "method").agg(F.count(F.lit(1)).alias("common"))
+    return out.join(far, "method").crossJoin(F.broadcast(common)) if far is not None else out.withColumns({"pool_distance": F.lit(None).cast("double"), "common": F.lit(0).cast("long")})
+
+
 def report(steps: list[tuple[str, DataFrame]]) -> DataFrame:
     """Before, removed and after of each step by source, one table."""
     out = None

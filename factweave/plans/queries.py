@@ -16,7 +16,7 @@ from factweave.functions import tags, text
 from factweave.functions.prompts import TASKS, render
 from factweave.functions.tables import table_markdown
 from factweave.operators import aggregates, dedup, filters, judgelog, providers, records, rewards, sampling, selection, similarity
-from factweave.plans import curation, qacheck
+from factweave.plans import corpus_rows, curation, qacheck
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,7 +53,10 @@ def with_base(sql: str) -> str:
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A table; one of long texts is dealt to all cores if its file splits into fewer parts than there are."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores else df
 
 
 def claims(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,9 +81,8 @@ SELECT CASE WHEN grouping(src) = 1 THEN 'TOTAL' ELSE src END AS src, count(*) AS
 FROM claims GROUP BY ROLLUP (src)
 """))
 def source_summary(spark, sf):
-    own = claims(spark, sf)
-    got = own.where(filters.ratio_within()).where(filters.enough_sentences())
-    return aggregates.removal_summary(own, got).withColumn("pct_removed", F.col("pct_removed").cast("double"))
+    got = aggregates.removal_counts(claims(spark, sf), filters.ratio_within() & filters.enough_sentences())
+    return got.withColumn("pct_removed", F.col("pct_removed").cast("double"))
 
 
 @query(with_base("SELECT ord, src, claim, evidence, label, CAST(quality AS VARCHAR) AS orig_label, sha256(src || '|' || ord) AS id FROM claims"))
@@ -205,13 +207,13 @@ def jaccard_dedup(spark, sf):
 
 @query(r"""
 WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS t FROM documents),
-b AS (SELECT DISTINCT lower(trim(t)) AS t FROM (SELECT unnest(string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS t FROM benchmark) WHERE length(t) >= 40)
+b AS (SELECT DISTINCT lower(trim(t)) AS t FROM (SELECT unnest(string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS t FROM benchmark))
 SELECT doc_id, count(*) AS hits FROM s WHERE lower(trim(t)) IN (SELECT t FROM b) GROUP BY doc_id
 """)
 def decontam_exact(spark, sf):
     lines = lambda df, key: df.select(key, F.explode(F.split(text.strip("text"), r"(?<=[.!?])\s+")).alias("t"))
     own = lines(read(spark, sf, "documents"), "doc_id")
-    refs = lines(read(spark, sf, "benchmark"), "item_id").where(F.length("t") >= 40)
+    refs = lines(read(spark, sf, "benchmark"), "item_id")
     clean = dedup.exact_decontaminate(own, refs, "t", "t")
     counts = lambda df, n: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(n))
     return counts(own, "whole").join(counts(clean, "clean"), "doc_id", "left").select("doc_id", (F.col("whole") - F.coalesce("clean", F.lit(0))).alias("hits")).where("hits > 0")
@@ -219,15 +221,15 @@ def decontam_exact(spark, sf):
 
 @query(rf"""
 WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS t FROM documents),
-w AS (SELECT doc_id, list_distinct({words_sql('lower(t)')}) AS s FROM (SELECT DISTINCT doc_id, t FROM s WHERE length(t) >= 40)),
+w AS (SELECT doc_id, list_distinct({words_sql('lower(t)')}) AS s FROM (SELECT DISTINCT doc_id, t FROM s)),
 bs AS (SELECT unnest(string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS t FROM benchmark),
-b AS (SELECT list_distinct({words_sql('lower(t)')}) AS s FROM bs WHERE length(t) >= 40),
-hit AS (SELECT DISTINCT doc_id FROM w JOIN b ON len(list_intersect(w.s, b.s)) / (len(w.s) + len(b.s) - len(list_intersect(w.s, b.s))) >= 0.9)
+b AS (SELECT list_distinct({words_sql('lower(t)')}) AS s FROM bs),
+hit AS (SELECT DISTINCT doc_id FROM w JOIN b ON len(w.s) > 0 AND len(b.s) > 0 AND len(list_intersect(w.s, b.s)) / (len(w.s) + len(b.s) - len(list_intersect(w.s, b.s))) >= 0.9)
 SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit)
 """)
 def decontam_jaccard(spark, sf):
     docs = read(spark, sf, "documents")
-    lines = lambda df, key: df.select(F.col(key).alias("id"), F.explode(F.split(text.strip("text"), r"(?<=[.!?])\s+")).alias("t")).where(F.length("t") >= 40).distinct()
+    lines = lambda df, key: df.select(F.col(key).alias("id"), F.explode(F.split(text.strip("text"), r"(?<=[.!?])\s+")).alias("t")).distinct()
     own, refs = lines(docs, "doc_id").withColumn("k", F.xxhash64("t")), lines(read(spark, sf, "benchmark"), "item_id").withColumn("k", F.xxhash64("t"))
     once = records.first_by(own.select("k", "t"), ["k"], "t")
     clean = dedup.jaccard_decontaminate(once, refs.select("k", "t"), "k", "t", "k", "t", 0.9)
@@ -311,10 +313,10 @@ def balanced_sample(spark, sf):
 
 
 @query("""
-WITH RECURSIVE c AS (SELECT event_type AS label, count(*) AS n FROM events WHERE event_id % 7 = 0 OR event_type <> (SELECT min(event_type) FROM events) GROUP BY 1),
+WITH RECURSIVE c AS (SELECT length(CAST(n_chars AS VARCHAR)) AS label, count(*) AS n FROM documents GROUP BY 1),
 o AS (SELECT *, row_number() OVER (ORDER BY n, label) AS i, count(*) OVER () AS k FROM c),
 f(i, rest, label, budget) AS (
-  SELECT CAST(0 AS BIGINT), CAST(4000 AS BIGINT), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT)
+  SELECT CAST(0 AS BIGINT), CAST(300 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT)
   UNION ALL
   SELECT o.i, f.rest - least(CASE WHEN o.i = o.k THEN f.rest ELSE f.rest // (o.k - o.i + 1) END, o.n), o.label, least(CASE WHEN o.i = o.k THEN f.rest ELSE f.rest // (o.k - o.i + 1) END, o.n)
   FROM f JOIN o ON o.i = f.i + 1
@@ -322,10 +324,9 @@ f(i, rest, label, budget) AS (
 SELECT label, budget FROM f WHERE i > 0
 """)
 def waterfill(spark, sf):
-    e = read(spark, sf, "events")
-    least = e.agg(F.min("event_type").alias("least"))
-    some = e.crossJoin(F.broadcast(least)).where("event_id % 7 = 0 OR event_type <> least")
-    return sampling.waterfill(some.groupBy(F.col("event_type").alias("label")).agg(F.count(F.lit(1)).alias("n")), 4000)
+    """Documents by the digits of their length: classes of very unequal size."""
+    d = read(spark, sf, "documents").groupBy(F.length(F.col("n_chars").cast("string")).cast("long").alias("label"))
+    return sampling.waterfill(d.agg(F.count(F.lit(1)).alias("n")), 300)
 
 
 @query(with_base(f"""
@@ -336,10 +337,14 @@ def stratified_sample(spark, sf):
     return sampling.stratified(claims(spark, sf).select("ord", "quality"), "quality", "ord", 100)
 
 
-@query(with_base(f"SELECT ord FROM claims WHERE ord % 3 = 0 UNION ALL SELECT ord FROM claims WHERE ord % 3 <> 0 AND len({words_sql('evidence')}) >= 1000"))
+SAMPLED = f"SELECT ord FROM (SELECT *, {RANKED.format(by='label', seed=42, key='ord')} AS r FROM claims) WHERE r <= 40"
+
+
+@query(with_base(f", base AS ({SAMPLED}) SELECT ord FROM base UNION ALL SELECT ord FROM claims WHERE ord NOT IN (SELECT ord FROM base) AND len({words_sql('evidence')}) >= 1000"))
 def long_augment(spark, sf):
+    """The random sample and all claims of long evidence beside it."""
     own = claims(spark, sf)
-    return sampling.augment(own.where("ord % 3 = 0"), own, "ord", text.word_count("evidence") >= 1000).select("ord")
+    return sampling.augment(sampling.random_select(own, "label", "ord", 40), own, "ord", text.word_count("evidence") >= 1000).select("ord")
 
 
 @query()
@@ -463,12 +468,14 @@ NR = "max(n) FILTER (r = round_even({0} / 100.0 * (c - 1), 0) + 1) AS p{0}"
 @query(with_base(f"""
 , s AS (SELECT {SPLIT.format('claim')} AS split, length(evidence) AS n, claim, quality FROM claims),
 r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY n) AS r, count(*) OVER (PARTITION BY split) AS c FROM s)
-SELECT split, count(*) AS n, min(n) AS len_min, max(n) AS len_max, round(avg(n), 6) AS len_mean, round(stddev_pop(n), 6) AS len_std, count(DISTINCT claim) AS claims, count(DISTINCT quality) AS labels, {', '.join(NR.format(p) for p in (25, 50, 75, 95, 99))}
+SELECT split, count(*) AS n, min(n) AS len_min, max(n) AS len_max, round(avg(n), 6) AS len_mean, round(stddev_pop(n), 6) AS len_std, count(DISTINCT claim) AS claims, count(DISTINCT quality) AS labels, '0:' || count(*) FILTER (quality = 0) || ',1:' || count(*) FILTER (quality = 1) AS label_counts, {', '.join(NR.format(p) for p in (25, 50, 75, 95, 99))}
 FROM r GROUP BY split
 """))
 def split_stats(spark, sf):
     own = claims(spark, sf).select("evidence", "quality", text.hash16("claim").alias("claim_hash"), sampling.hash_split("claim").alias("split"))
-    return aggregates.split_stats(own, "evidence", "quality", "claim_hash").withColumns({"len_mean": F.round("len_mean", 6), "len_std": F.round("len_std", 6)})
+    got = aggregates.split_stats(own, "evidence", "quality", "claim_hash")
+    listed = F.array_join(F.transform(F.array(F.lit(0), F.lit(1)), lambda k: F.concat(k.cast("string"), F.lit(":"), F.coalesce(F.try_element_at(F.col("label_counts"), k.cast("double")), F.lit(0)).cast("string"))), ",")
+    return got.withColumn("label_counts", listed).withColumns({"len_mean": F.round("len_mean", 6), "len_std": F.round("len_std", 6)})
 
 
 @query(with_base("""
@@ -488,34 +495,49 @@ def evaluation_means(spark, sf):
     return got.select("total_samples", *[F.round(c, 9).alias(c) for c in ("mean_num_turns", "frac_exited_early", "mean_frac_yes_decisive")])
 
 
-@query("""
-WITH s AS (SELECT m.method, d.source, d.lang FROM ({selected}) m JOIN documents d USING (doc_id)),
-a AS (SELECT method, count(*) / sum(count(*)) OVER (PARTITION BY method) AS p, sum(count(*)) OVER (PARTITION BY method) AS rows FROM s GROUP BY method, source),
-b AS (SELECT method, count(*) / sum(count(*)) OVER (PARTITION BY method) AS p, count(*) OVER (PARTITION BY method) AS k FROM s GROUP BY method, lang)
-SELECT x.method, CAST(x.rows AS BIGINT) AS rows, round(x.e, 9) AS entropy, round(y.b, 9) AS balance
-FROM (SELECT method, max(rows) AS rows, -sum(p * log2(p)) AS e FROM a GROUP BY 1) x JOIN (SELECT method, 1 - sum(abs(p - 1.0 / k)) / 2 AS b FROM b GROUP BY 1) y USING (method)
-""".replace("{selected}", "SELECT doc_id, 'a' AS method FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'b' FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'c' FROM documents WHERE doc_id % 5 = 0"))
-def method_report(spark, sf):
-    own = chosen(spark, sf).join(read(spark, sf, "documents").select("doc_id", "source", "lang"), "doc_id")
-    return aggregates.method_report(own, "method", "source", "lang").select("method", "rows", F.round("entropy", 9).alias("entropy"), F.round("balance", 9).alias("balance"))
+#: The selections that are compared: a random sample, a stratified one, and the random one with long evidence.
+SELECTED = f"""
+, strata AS (SELECT ord, quality, {RANKED.format(by='quality', seed=42, key='ord')} AS r, count(*) OVER (PARTITION BY quality) AS n FROM claims),
+base AS ({SAMPLED}),
+s AS (
+  SELECT ord, 'a' AS method FROM base
+  UNION ALL SELECT ord, 'b' FROM strata WHERE r <= CASE WHEN quality = 0 THEN least(n, 50) ELSE 100 - least((SELECT count(*) FROM claims WHERE quality = 0), 50) END
+  UNION ALL SELECT ord, 'c' FROM base UNION ALL SELECT ord, 'c' FROM claims WHERE ord NOT IN (SELECT ord FROM base) AND len({words_sql('evidence')}) >= 1000
+)
+"""
 
 
-SELECTED = "SELECT doc_id, 'a' AS method FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'b' FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'c' FROM documents WHERE doc_id % 5 = 0"
+def chosen(spark, sf) -> DataFrame:
+    parts = {"a": random_sample, "b": stratified_sample, "c": long_augment}
+    each = [f(spark, sf).select("ord", F.lit(m).alias("method")) for m, f in parts.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
-def chosen(spark, sf) -> DataFrame:
-    d = read(spark, sf, "documents").select("doc_id")
-    return d.withColumn("method", F.explode(F.filter(F.array(F.when(F.col("doc_id") % 2 == 0, "a"), F.when(F.col("doc_id") % 3 == 0, "b"), F.when(F.col("doc_id") % 5 == 0, "c")), lambda x: x.isNotNull())))
+@query(with_base(SELECTED + """
+, x AS (SELECT s.method, c.src, c.lang FROM s JOIN claims c USING (ord)),
+a AS (SELECT method, count(*) / sum(count(*)) OVER (PARTITION BY method) AS p, sum(count(*)) OVER (PARTITION BY method) AS rows FROM x GROUP BY method, src),
+b AS (SELECT method, count(*) / sum(count(*)) OVER (PARTITION BY method) AS p, count(*) OVER (PARTITION BY method) AS k FROM x GROUP BY method, lang)
+SELECT x.method, CAST(x.rows AS BIGINT) AS rows, round(x.e, 9) AS entropy, round(y.b, 9) AS balance
+FROM (SELECT method, max(rows) AS rows, -sum(p * log2(p)) AS e FROM a GROUP BY 1) x JOIN (SELECT method, 1 - sum(abs(p - 1.0 / k)) / 2 AS b FROM b GROUP BY 1) y USING (method)
+"""))
+def method_report(spark, sf):
+    own = chosen(spark, sf).join(claims(spark, sf).select("ord", "src", "lang"), "ord")
+    return aggregates.method_report(own, "method", "src", "lang").select("method", "rows", F.round("entropy", 9).alias("entropy"), F.round("balance", 9).alias("balance"))
 
 
-@query(f"WITH s AS ({SELECTED}), f AS (SELECT doc_id, max((method = 'a')::INT) AS a, max((method = 'b')::INT) AS b FROM s WHERE method IN ('a', 'b') GROUP BY 1) SELECT 'a' AS method_a, 'b' AS method_b, CAST(sum(a * b) AS BIGINT) AS both, CAST(sum(a * (1 - b)) AS BIGINT) AS only_a, CAST(sum((1 - a) * b) AS BIGINT) AS only_b, sum(a * b) / count(*) AS jaccard FROM f")
+@query(with_base(SELECTED + ", f AS (SELECT ord, max((method = 'a')::INT) AS a, max((method = 'b')::INT) AS b FROM s WHERE method IN ('a', 'b') GROUP BY 1) SELECT 'a' AS method_a, 'b' AS method_b, CAST(sum(a * b) AS BIGINT) AS both, CAST(sum(a * (1 - b)) AS BIGINT) AS only_a, CAST(sum((1 - a) * b) AS BIGINT) AS only_b, sum(a * b) / count(*) AS jaccard FROM f"))
 def method_overlap(spark, sf):
-    return aggregates.set_overlap(chosen(spark, sf), "doc_id", "method", "a", "b")
+    return aggregates.set_overlap(chosen(spark, sf), "ord", "method", "a", "b")
 
 
-@query(f"WITH s AS ({SELECTED}) SELECT doc_id, CASE WHEN count(DISTINCT method) = 3 THEN 'All' ELSE string_agg(DISTINCT method, ' + ' ORDER BY method) END AS membership FROM s GROUP BY 1")
+@query(with_base(SELECTED + "SELECT ord, CASE WHEN count(DISTINCT method) = 3 THEN 'All' ELSE string_agg(DISTINCT method, ' + ' ORDER BY method) END AS membership FROM s GROUP BY 1"))
 def method_membership(spark, sf):
-    return aggregates.membership(chosen(spark, sf), "doc_id", "method", ["a", "b", "c"])
+    return aggregates.membership(chosen(spark, sf), "ord", "method", ["a", "b", "c"])
+
+
+@query(with_base(SELECTED + "SELECT ord FROM s GROUP BY 1 HAVING count(DISTINCT method) = 3"))
+def method_common(spark, sf):
+    return aggregates.common_items(chosen(spark, sf), "ord", "method")
 
 
 @query("SELECT sum(n_chars)::BIGINT AS input_tokens, sum(doc_id % 100)::BIGINT AS output_tokens, sum(n_chars + doc_id % 100)::BIGINT AS total_tokens, sum(n_chars) * 0.25 / 1e6 + sum(doc_id % 100) * 2.0 / 1e6 AS cost FROM documents")
@@ -616,11 +638,11 @@ def claimdecomp_vote(spark, sf):
 
 @query(with_base(r"""
 , q AS (SELECT ord, list_filter(list_transform(string_split(regexp_replace(evidence, '[.,]?\s+', ' ', 'g'), ' '), lambda w: lower(regexp_replace(w, '[\s"''`.,;:!?]+', ' ', 'g'))), lambda w: trim(w) <> '') AS w FROM claims)
-SELECT ord, len(list_distinct(list_transform(w[1:12], lambda x: trim(x)))) AS n FROM q
+SELECT ord, least(100, len(list_distinct(list_transform(w, lambda x: trim(x))))) AS n FROM q
 """))
 def subquestion_parse(spark, sf):
     w = F.filter(F.transform(F.split(F.regexp_replace("evidence", r"[.,]?\s+", " "), " "), lambda x: F.regexp_replace(F.lower(x), r"""[\s"'`.,;:!?]+""", " ")), lambda x: F.trim(x) != "")
-    asked = F.array_join(F.transform(F.slice(w, 1, 12), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x, F.lit("?"))), " ")
+    asked = F.array_join(F.transform(w, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x, F.lit("?"))), " ")
     return claims(spark, sf).select("ord", F.size(tags.subquestions(asked, 100)).alias("n"))
 
 
@@ -686,6 +708,17 @@ def coverage_vote(spark, sf):
     return rewards.coverage(own.withColumns({"truth": F.lit("Refuted"), "sup": F.col("prompt_id") % 2 == 0}), "verdict", "truth", "sup")
 
 
+@query("""
+WITH e AS (SELECT vec_id // 5 AS prompt_id, 0 AS gen_idx, vec_id % 5 AS i, embedding::DOUBLE[] AS v FROM embeddings),
+m AS (SELECT a.prompt_id, a.i, max(list_dot_product(a.v, b.v)) AS best FROM e a JOIN e b ON a.prompt_id = b.prompt_id AND b.i < a.i GROUP BY 1, 2),
+n AS (SELECT prompt_id, count(*) AS n FROM e GROUP BY 1)
+SELECT n.prompt_id, 0 AS gen_idx, round(CASE WHEN n.n <= 1 THEN -1 ELSE -sum(m.best) / n.n END, 9) AS margin FROM n LEFT JOIN m USING (prompt_id) GROUP BY n.prompt_id, n.n
+""")
+def question_margin(spark, sf):
+    e = vectors(spark, sf).select(F.floor(F.col("vec_id") / 5).alias("prompt_id"), F.lit(0).alias("gen_idx"), (F.col("vec_id") % 5).cast("int").alias("index"), "embedding")
+    return rewards.margin_reward(e, "embedding", "embedding").select("prompt_id", "gen_idx", F.round("score", 9).alias("margin"))
+
+
 @query()
 def question_diversity(spark, sf):
     e = vectors(spark, sf).select(F.floor(F.col("vec_id") / 5).alias("prompt_id"), F.lit(0).alias("gen_idx"), (F.col("vec_id") % 5).cast("int").alias("index"), "embedding")
@@ -806,13 +839,44 @@ def qacheck_loop(spark, sf):
     return qacheck.run(own, reply, 3).select("id", "num_turns", "exited_early", "pred_label")
 
 
-@query()
+MARKDOWN = r"""
+WITH d AS (SELECT doc_id, source, lang, translate(text, chr(160) || chr(9) || chr(8216) || chr(8217) || chr(8220) || chr(8221) || chr(8222), '  ' || chr(39) || chr(39) || chr(34) || chr(34) || chr(34)) AS t FROM documents)
+SELECT doc_id, '| Source and language | Text |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || source || ' / ' || lang || ' | ' || regexp_replace(regexp_replace(regexp_replace(t, '[\x{200B}-\x{200D}\x{FEFF}]', '', 'g'), '\s+', ' ', 'g'), '^ | $', '', 'g') || ' |' AS markdown FROM d
+"""
+
+
+@query(MARKDOWN)
 def html_to_markdown(spark, sf):
-    return read(spark, sf, "pages").select("page_id", table_markdown(F.col("html")).alias("markdown"))
+    """Each document as an HTML table with a break inside a cell and its text escaped (twice, since references are decoded before and while parsing)."""
+    safe = F.col("text")
+    for _ in range(2):
+        safe = F.replace(F.replace(F.replace(safe, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    page = F.concat(F.lit("<div><table><tr><th>Source<br/>and  language</th><th>Text</th></tr><tr><td>"), "source", F.lit(" / "), "lang", F.lit("<td>"), safe, F.lit("</table></div>"))
+    return read(spark, sf, "documents").select("doc_id", table_markdown(page).alias("markdown"))
+
+
+@query(corpus_rows.records_sql())
+def corpus_records(spark, sf):
+    """Literal rows of all corpora, for each of their labels, as claim records."""
+    return corpus_rows.records(spark)
 
 
 @query()
 def curation_plan(spark, sf):
-    """Two steps of the plan: the rules with Jaccard dedup, and a random choice of 50 rows a label; the other steps are not reached here."""
+    """The whole plan at its defaults: rules, entities, scorer, near-duplicates and benchmark claims, decompositions, selection, long evidence.
+
+    Cache tables stand in for models: longer words are entities, hash digits are scores and vectors.
+    """
     own = claims(spark, sf).withColumn("id", F.col("ord").cast("string"))
-    return curation.selected(curation.rules(own), None, "random", curation.Config(budget=100)).select("ord", "src", "label")
+    tests = read(spark, sf, "benchmark").select(F.col("item_id").alias("ord"), F.element_at(F.split(text.strip("text"), r"(?<=[.!?])\s+", 2), 1).alias("claim"))
+    names = own.select("claim", F.array_distinct(F.filter(text.words("claim"), lambda w: F.length(w) > 4)).alias("all_entities"))
+    digits = lambda c, k: F.conv(F.substring(c, 4 * k + 1, 4), 16, 10).cast("double")
+    scores = own.select(providers.pair_key(F.col("evidence"), F.col("claim")).alias("key")).distinct().select("key", (digits(F.col("key"), 0) / 65536).alias("prob"))
+    hashed = F.sha2("claim", 256)
+    vec = own.select("claim").unionByName(tests.select("claim")).distinct().select("claim", F.array(*[digits(hashed, k) / 32768 - 1 for k in range(16)]).alias("embedding"))
+    lists = own.select("claim", F.transform(F.slice(text.words("claim"), 1, 4), lambda w: F.concat(w, F.lit("?"))).alias("decomposed_questions")).distinct()
+    counts = lists.select("claim", F.size("decomposed_questions").alias("num_of_questions"))
+    kept = curation.scored(curation.entities(curation.rules(own), names), scores)
+    kept = curation.decomposed(curation.semantic(kept, vec, tests), counts, lists)
+    picked = curation.selected(kept, vec, "farthest")
+    return curation.augmented(picked, kept).select("ord", "src", "label", "num_of_questions")

@@ -149,3 +149,20 @@ def test_html_tables():
 def test_table_columns(spark):
     assert one(spark, ["['a', 'b']", None, "bad", "[1]"], tables.python_list(F.col("t"))) == [["a", "b"], [], [], ["1"]]
     assert one(spark, ["<b>x</b>", None], tables.table_markdown(F.col("t"))) == ["**x**", None]
+
+
+def test_long_decompositions(spark):
+    """Ten thousand questions in time, the first of each kind, as many as the limit."""
+    asked = " ".join(f"{k + 1}. Word number {k % 700}?" for k in range(10_000))
+    got = one(spark, [asked, "1. A? 2. a? 3. B?"], tags.subquestions("t", 100))
+    assert got == [[f"Word number {k}?" for k in range(100)], ["A?", "B?"]]
+    assert one(spark, ["1. Is it so? 2. c?"], tags.subquestions("t", 5, F.lit("C?"))) == [["Is it so?"]]
+
+
+def test_baseline_prompts(spark):
+    from factweave.functions.prompts import BASELINES
+
+    assert set(BASELINES) == {"simple", "cot", "self_ask", "decomposed_prompting", "hiss", "folk", "programfc", "chen_complex"}
+    for name, template in BASELINES.items():
+        made = one(spark, ["x"], render(template, claim=F.lit("the {claim}"), evidence=F.lit("E")))[0]
+        assert "the {claim}" in made and "Supported" in made or name == "folk"

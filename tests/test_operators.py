@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factweave.operators import aggregates, dedup, filters, judgelog, providers, records, rewards, sampling, selection, similarity
+from factweave.operators import aggregates, components, dedup, filters, judgelog, providers, records, rewards, sampling, selection, similarity
 from factweave.plans import curation, qacheck
 from factweave.sources import corpora, files, raw
 
@@ -108,6 +108,63 @@ def test_waterfill(spark):
     assert sum(r["budget"] for r in sampling.waterfill(table(spark, rows, "label string, n long"), 10**6).collect()) == sum(n for _, n in rows)
 
 
+def test_components(spark):
+    rng = random.Random(13)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(k, k + 1) for k in range(1000, 1700)] + [(5000, 5000)]
+    parent = {k: k for link in links for k in link}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    got = {r["node"]: r["component"] for r in components.components(table(spark, links, "a long, b long")).collect()}
+    assert got == {k: root(k) for a, b in links if a != b for k in (a, b)}
+    assert components.components(table(spark, [], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("walk", [dedup.WALK, 40])
+def test_large_groups_take_rounds(spark, walk):
+    rng = random.Random(14)
+    links = {tuple(sorted(rng.sample(range(200), 2))) for _ in range(260)}
+    got = dedup.greedy_keep(table(spark, [(k,) for k in range(200)], "ord long"), table(spark, list(links), "a long, b long"), walk=walk)
+    assert sorted(r[0] for r in got.collect()) == plain_greedy(range(200), lambda a, b: (a, b) in links)
+
+
+def test_chain_of_a_thousand(spark):
+    chain = table(spark, [(k, k + 1) for k in range(1000)], "a long, b long")
+    assert sorted(r[0] for r in dedup.greedy_keep(table(spark, [(k,) for k in range(1001)], "ord long"), chain).collect()) == list(range(0, 1001, 2))
+
+
+def test_near_copies_are_not_paired(spark, monkeypatch):
+    """Thousands of near copies and a few texts beside them: what the pass keeps, from few candidate pairs."""
+    rng = random.Random(15)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base[:k] + [f"x{rng.randrange(10**6)}"] + base[k + 1 :]) for k in (rng.randrange(60) for _ in range(3000))] + [" ".join(f"y{rng.randrange(300)}" for _ in range(20)) for _ in range(40)]
+    order = rng.sample(range(len(texts)), len(texts))
+    sets = [frozenset(t.split()) for t in texts]
+    jac = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.7
+    seen = []
+    real = dedup.candidates
+    monkeypatch.setattr(dedup, "candidates", lambda *a: (seen.append(out := real(*a)), out)[1])
+    df = table(spark, [(k, texts[k]) for k in order], "ord long, claim string").repartition(4)
+    first = min(k for k in range(3000))
+    assert sorted(r["ord"] for r in dedup.jaccard_dedup(df).collect()) == [first] + [k for k in plain_greedy(range(3000, 3040), jac)]
+    assert seen[-1].count() < 1000
+    m = np.random.default_rng(3)
+    v = np.concatenate([m.normal(size=8) + 0.05 * m.normal(size=(3000, 8)), m.normal(size=(40, 8))])
+    x = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sim = x @ x.T
+    made = []
+    monkeypatch.setattr(similarity, "similar_pairs", lambda d, *a, real=similarity.similar_pairs: (made.append(d), real(d, *a))[1])
+    got = similarity.semantic_dedup(table(spark, [(k, r.tolist()) for k, r in enumerate(v)], "k long, v array<double>").repartition(3), "k", "v", 0.9)
+    assert sorted(r["k"] for r in got.collect()) == plain_greedy(range(len(v)), lambda a, b: sim[a, b] >= 0.9)
+    assert made[0].count() < 100
+
+
 def test_greedy_pass_settles_long_chains(spark):
     nodes = table(spark, [(k,) for k in range(106)], "ord long")
     chain = table(spark, [(k, k + 1) for k in range(105)], "a long, b long")
@@ -264,31 +321,80 @@ def test_cache_upsert_and_provider(spark):
     assert tuple(providers.cache_stats(df, whole, "key").first()) == (1, 2)
 
 
-def test_corpora(spark, tmp_path):
+#: One row of each corpus in the fields of its files, and what the record says.
+CORPUS_ROWS = {
+    "pubmedclaim": ({"claim": " c ", "final_decision": "yes", "context": {"labels": ["H", "I"], "contexts": ["x", "y", "z"]}}, "## H\nx\n\n## I\ny", "Supported", "yes"),
+    "claimdecomp": ({"claim": "c", "label": "barely-true", "justification": "e\n"}, "e", "Refuted", "barely-true"),
+    "wice": ({"claim": "c", "label": "supported", "evidence": ["a", "b"]}, "a\nb", "Supported", "supported"),
+    "scifact": ({"claim": "c", "evidence_label": "CONTRADICT", "evidence": "e"}, "e", "Refuted", "CONTRADICT"),
+    "matter_of_fact": ({"claim_text": "c", "gold_label": True, "metadata": {"supporting_facts_from_paper": ["a", "b"]}}, "a\nb", "Supported", "true"),
+    "ex_fever": ({"claim": "c", "label": "SUPPORT", "golden entity": "['New_York']", "mention": None, "result entity": "['rome', 'nowhere']"}, "ny\nr", "Supported", "SUPPORT"),
+    "healthver": ({"claim": "c", "label": "Refutes", "evidence": "e, \"f\""}, "e, \"f\"", "Refuted", "Refutes"),
+    "pubhealthfact": ({"claim": "c", "label": 0, "main_text": "m"}, "m", "Supported", "0"),
+    "fever": ({"sent1": "e", "sent2": "c", "label": "entailment"}, "e", "Supported", "entailment"),
+    "covidfact": ({"sent1": "e", "sent2": "c", "label": "not_entailment"}, "e", "Refuted", "not_entailment"),
+    "fool_me_twice": ({"text": "c", "label": "REFUTES", "retrieved_evidence": [{"section_header": "h", "text": "t"}, {"section_header": "i", "text": "u"}]}, "## h\nt\n\n## i\nu", "Refuted", "REFUTES"),
+    "coverbench": ({"claim": "c", "label": False, "context": "x y"}, "x y", "Refuted", "false"),
+    "llmaggrefact": ({"claim": "c", "label": 1, "doc": "d"}, "d", "Supported", "1"),
+    "pubhealthtab": ({"claim": "c", "label": "SUPPORTS", "evidence": "| a |", "table": {"html_code": "<table>"}}, "| a |", "Supported", "SUPPORTS"),
+    "faviq_a_set": ({"claim": "c", "label": "SUPPORTS", "evidence": "e"}, "e", "Supported", "SUPPORTS"),
+    "faviq_r_set": ({"claim": "c", "label": "SUPPORTS", "evidence": "e"}, "e", "Supported", "SUPPORTS"),
+    "snopes": ({"claim": "c", "rate": "False", "origin": "o"}, "o", "Refuted", "False"),
+    "uphill": ({"claim": "c", "claim_veracity": "true", "main_text": "m"}, "m", "Supported", "true"),
+    "ambifc": ({"claim": "c", "labels": {"passage": "refuting"}, "sentences": {"0": "x", "1": "y"}}, "x\ny", "Refuted", "refuting"),
+    "hover": ({"claim": "c", "label": "supports", "evidence": "e"}, "e", "Supported", "supports"),
+    "feverous": ({"claim": "c", "label": "refutes", "evidence": "e"}, "e", "Refuted", "refutes"),
+    "scitab": ({"claim": "c", "label": "supports", "table_caption": "T ", "table_column_names": ["a", "b"], "table_content_values": [["1", "long"], ["2", "3"]]}, "T| a   | b    |\n| --- | ---- |\n| 1   | long |\n| 2   | 3    |", "Supported", "supports"),
+}
+
+
+@pytest.fixture(scope="module")
+def corpus_root(spark, tmp_path_factory):
+    """Files of all corpora where their splits lie; each holds its row and one of an unknown label."""
+    import csv
+    import json
+
+    root = tmp_path_factory.mktemp("raw")
+    for name, (row, *_) in CORPUS_ROWS.items():
+        c = corpora.CORPORA[name]
+        label = {"label": "other", "final_decision": "other", "evidence_label": "other", "claim_veracity": "other", "rate": "other"}
+        rows = [row] + ([row | {k: v for k, v in label.items() if k in row and isinstance(row[k], str)}] if c.labels and name != "ambifc" and not isinstance(row.get("label"), int) else [])
+        for split in dict.fromkeys((*corpora.TRAIN_SPLITS.get(name, ()), *corpora.TEST_SPLITS.get(name, ()), "one")):
+            path = root / c.path("", split).lstrip("/")
+            path.parent.mkdir(parents=True, exist_ok=True)
+            if c.format == "jsonl":
+                path.write_text("\n".join(map(json.dumps, rows)))
+            elif c.format == "json":
+                path.write_text(json.dumps(rows))
+            elif c.format == "parquet":
+                spark.read.json(spark.createDataFrame([(json.dumps(r),) for r in rows], "v string").rdd.map(lambda r: r[0])).coalesce(1).write.parquet(str(path))
+            else:
+                with open(path, "w", newline="") as f:
+                    out = csv.DictWriter(f, list(row), delimiter="\t" if c.format == "tsv" else ",")
+                    out.writeheader()
+                    out.writerows(rows)
+    return str(root)
+
+
+@pytest.mark.parametrize("name", list(CORPUS_ROWS))
+def test_corpora(spark, corpus_root, name):
     import json
 
-    def lines(name, rows):
-        (tmp_path / name).write_text("\n".join(json.dumps(r) for r in rows))
-        return str(tmp_path / name)
-
-    got = {r["claim"]: r for r in corpora.load(spark, "claimdecomp", lines("c.jsonl", [{"claim": " a ", "label": "true", "justification": "e\n"}, {"claim": "b", "label": "half-true", "justification": "x"}])).collect()}
-    assert set(got) == {"a"} and (got["a"]["label"], got["a"]["evidence"], got["a"]["orig_label"]) == ("Supported", "e", "true")
-    got = corpora.load(spark, "fool_me_twice", lines("f.jsonl", [{"text": "c", "label": "REFUTES", "retrieved_evidence": [{"section_header": "h", "text": "t"}, {"section_header": "i", "text": "u"}]}])).first()
-    assert (got["evidence"], got["label"]) == ("## h\nt\n\n## i\nu", "Refuted")
-    got = corpora.load(spark, "wice", lines("w.jsonl", [{"claim": "c", "label": "supported", "evidence": ["a", "b"]}])).first()
-    assert got["evidence"] == "a\nb" and json.loads(got["metadata"])["claim"] == "c"
-    got = corpora.load(spark, "ambifc", lines("a.jsonl", [{"claim": "c", "labels": {"passage": "refuting"}, "sentences": {"0": "x", "1": "y"}}]), schema="claim string, labels struct<passage:string>, sentences map<string,string>").first()
-    assert got["evidence"] == "x\ny"
-    (tmp_path / "s.json").write_text(json.dumps([{"claim": "c", "label": "supports", "table_caption": "T ", "table_column_names": ["a", "b"], "table_content_values": [["1", "long"], ["2", "3"]]}]))
-    got = corpora.load(spark, "scitab", str(tmp_path / "s.json")).first()
-    assert "| 1   | long |" in got["evidence"] and got["evidence"].startswith("T|") is True
-    (tmp_path / "t.tsv").write_text("sentence1\tsentence2\tlabel\ne\tc\tentailment\ne2\tc2\tother\n")
-    assert [r["claim"] for r in corpora.load(spark, "fever", str(tmp_path / "t.tsv")).collect()] == ["c"]
-    (tmp_path / "x.csv").write_text("claim,label,entity1,entity2,entity3\nc,SUPPORT,\"['New_York']\",,\"['rome']\"\n")
-    kb = spark.createDataFrame([("new york", "ny"), ("Rome", "r")], "id string, text string")
-    got = corpora.load(spark, "ex_fever", str(tmp_path / "x.csv"), kb).first()
-    assert got["evidence"] == "ny\nr"
-    whole, n = corpora.collect([corpora.load(spark, "fever", str(tmp_path / "t.tsv"))] * 2)
+    kb = spark.createDataFrame([("new york", "ny"), ("Rome", "r")], "id string, text string") if name == "ex_fever" else None
+    got = corpora.load(spark, name, corpora.CORPORA[name].path(corpus_root, "one"), kb).collect()
+    row, evidence, label, orig = CORPUS_ROWS[name]
+    assert [(r["src"], r["claim"], r["evidence"], r["label"], r["orig_label"]) for r in got] == [(name, "c", evidence, label, orig)]
+    assert json.loads(got[0]["metadata"]).keys() >= {k for k, v in row.items() if v is not None}
+
+
+def test_split_registry(spark, corpus_root):
+    assert set(corpora.CORPORA) == set(CORPUS_ROWS) and len(corpora.CORPORA) == 22
+    assert (len(corpora.TRAIN_SPLITS), len(corpora.TEST_SPLITS)) == (13, 18) and set(corpora.TRAIN_SPLITS) | set(corpora.TEST_SPLITS) == set(CORPUS_ROWS) - {"snopes", "uphill"}
+    some = {k: v for k, v in corpora.TRAIN_SPLITS.items() if k in ("wice", "faviq_a_set", "ambifc")}
+    got = corpora.load_splits(spark, corpus_root, some).collect()
+    assert sorted((r["dataset"], r["split"]) for r in got) == sorted((k, s) for k, v in some.items() for s in v)
+    assert len({r["id"] for r in got}) == len(got) == 5
+    whole, n = corpora.collect([corpora.load(spark, "fever", corpora.CORPORA["fever"].path(corpus_root, "test"))] * 2)
     assert whole.count() == 2 and n.first()["n"] == 2
 
 
@@ -303,7 +409,13 @@ def test_raw_corpora(spark):
 
 
 def test_reward_registry(spark):
-    assert rewards.RewardConfig().names() == ["format", "necessity_saliency", "joint_quality", "diversity", "verification", "coverage"]
+    whole = ["format", "necessity_saliency", "joint_quality", "diversity", "verification", "good_num_q", "coverage"]
+    assert rewards.RewardConfig().names() == whole and rewards.RewardConfig.from_env({}) == rewards.RewardConfig()
+    assert (rewards.RewardConfig().diversity, rewards.RewardConfig().aggregation, rewards.RewardConfig().backend) == ("mmr", "mean", "llm-judge")
+    other = rewards.RewardConfig.from_env({"DIVERSITY_REWARD": "vendi", "NECESSITY_AGGREGATION": "min", "REWARD_BACKEND": "Tiny", "GOOD_NUM_Q_REWARD": "0"})
+    assert (other.diversity, other.aggregation, other.backend, other.names()) == ("vendi", "min", "tiny-judge", [n for n in whole if n != "good_num_q"])
+    with pytest.raises(ValueError):
+        rewards.RewardConfig.from_env({"REWARD_BACKEND": "none"})
     own = rewards.RewardConfig.from_env({"SUPERVISION_RATE": "0", "DIVERSITY_REWARD_ENABLED": "0", "NECESSITY_SALIENCY_REWARD": "0", "JOINT_QUALITY_REWARD": "0", "GOOD_NUM_Q_REWARD": "1", "COVERAGE_REWARD": "0"})
     assert own.names() == ["format", "good_num_q"]
     with pytest.raises(ValueError):
@@ -314,6 +426,73 @@ def test_reward_registry(spark):
     assert rewards.eval_steps(1000, 10, 3) == 10 and rewards.eval_steps(1, 10, 1) == 1
 
 
+def test_diversity_rewards(spark):
+    rows = [(1, 0, k, v) for k, v in enumerate(([1.0, 0.0], [-1.0, 0.0]))] + [(1, 1, k, v) for k, v in enumerate(([1.0, 0.0], [0.0, 1.0], [1.0, 0.0]))] + [(2, 0, 0, [1.0, 0.0])]
+    df = table(spark, rows, "prompt_id long, gen_idx int, index int, v array<double>")
+    score = lambda got: {(r["prompt_id"], r["gen_idx"]): round(r["score"], 9) for r in got.collect()}
+    third = -(2 / 3 * np.log(2 / 3) + 1 / 3 * np.log(1 / 3))
+    assert score(rewards.diversity_reward(df, rewards.RewardConfig(diversity="vendi"), "v")) == {(1, 0): 0.5, (1, 1): round(np.exp(third) / 3, 9), (2, 0): 0.0}  # opposite vectors are one
+    assert score(rewards.diversity_reward(df, rewards.RewardConfig(), "v")) == {(1, 0): 0.5, (1, 1): round(-1 / 3, 9), (2, 0): -1.0}
+
+
+def test_verification_is_gated_by_supervision(spark):
+    rows = [(k, 0, f"claim {k}", "<verification>Supported</verification>", "supported" if k % 2 else "refuted") for k in range(60)] + [(60, 0, "c", "<verification>Refuted</verification>", None), (61, 0, "c", "none", "refuted")]
+    df = table(spark, rows, "prompt_id long, gen_idx int, claim string, generation string, label string")
+    asked = {r["prompt_id"] for r in df.where(filters.is_supervised(0.5)).collect()}
+    got = {r["prompt_id"]: (r["score"], r["predicted"]) for r in rewards.verification_rewards(df, 0.5).collect()}
+    assert 10 < len(asked & set(range(60))) < 50
+    assert all(got[k] == ((float(k % 2), "Supported") if k in asked else (0.0, "unknown")) for k in range(60))
+    got = {r["prompt_id"]: (r["score"], r["predicted"]) for r in rewards.verification_rewards(df, 1.0).collect()}
+    assert got[60] == (0.0, "unknown") and got[61] == (0.0, "unknown") and got[1] == (1.0, "Supported")
+    assert {r["score"] for r in rewards.verification_rewards(df, 0.0).collect()} == {0.0}
+
+
+def test_task_datasets_and_pass_through(spark, tmp_path):
+    split = table(spark, [(f"h{k}", k / 10) for k in range(10)], "text_hash string, label double")
+    splits = dict.fromkeys(("train", "train_balanced", "validation", "test", "test_balanced"), split)
+    got = judgelog.task_datasets(splits, "atomicity_checklist", "train_balanced", limit=3, eval_limit=5)
+    assert sorted(r["label"] for r in got["train"].collect()) == [0, 0, 1] and got["validation"].count() == got["test_balanced"].count() == 5
+    assert judgelog.task_datasets(splits, "coverage")["test"].count() == 10
+    for name in ("train.jsonl", "test_a.jsonl", "test_b.jsonl", "other.txt"):
+        (tmp_path / name).write_text(name)
+    assert files.pass_through(spark, str(tmp_path), str(tmp_path / "out")) == ["test_a.jsonl", "test_b.jsonl"]
+    assert (tmp_path / "out" / "test_a.jsonl").read_text() == "test_a.jsonl" and not (tmp_path / "out" / "train.jsonl").exists()
+
+
+def test_comparison_of_selections(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(30, 4))
+    pool = table(spark, [(k, f"s{k % 3}", ("Supported", "Refuted")[k % 2], v[k].tolist()) for k in range(30)], "ord long, src string, label string, embedding array<double>")
+    chosen = pool.where("ord < 10").withColumn("method", F.lit("a")).unionByName(pool.where("ord >= 5 AND ord < 20").withColumn("method", F.lit("b")))
+    got = {r["method"]: r for r in curation.comparison(chosen, pool).collect()}
+    x = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for m, own in (("a", range(10)), ("b", range(5, 20))):
+        own = list(own)
+        far = [1 - x[i] @ x[j] for i in own for j in own if i < j]
+        assert abs(got[m]["distance"] - np.mean(far)) < 1e-9 and got[m]["rows"] == len(own) and got[m]["common"] == 5
+        assert abs(got[m]["pool_distance"] - np.mean(1 - (x @ x[own].T).max(axis=1))) < 1e-9
+        assert abs(got[m]["vendi"] - selection.vendi_of((x[own] @ x[own].T + 1) / 2)) < 1e-9
+    sample = similarity.sampled_distances(chosen, "ord", "embedding", ["method"], rows=8, pairs=20)
+    assert {r["method"]: r["count"] for r in sample.groupBy("method").count().collect()} == {"a": 20, "b": 20}
+    assert all(abs(r["distance"] - (1 - x[r["a"]] @ x[r["b"]])) < 1e-9 and r["a"] < r["b"] for r in sample.collect())
+
+
+def test_leak_counts(spark):
+    words = "one two three four five six seven eight nine ten".split()
+    own = table(spark, [(0, " A b "), (1, " ".join(words)), (2, "near"), (3, "far")], "ord long, claim string")
+    tests = table(spark, [(0, "a B"), (1, " ".join(words[:9])), (2, "close")], "ord long, claim string")
+    at = {" A b ": [1.0, 0.0, 0.0], "a B": [0.0, 1.0, 0.0], " ".join(words): [0.0, 0.0, 1.0], " ".join(words[:9]): [0.0, 1.0, 0.0], "near": [1.0, 0.1, 0.0], "close": [1.0, 0.0, 0.0], "far": [0.0, 0.0, 1.0]}
+    vec = table(spark, list(at.items()), "claim string, embedding array<double>")
+    assert {r["prong"]: r["removed"] for r in curation.leak_counts(own, vec, tests).collect()} == {"exact": 1, "jaccard": 1, "semantic": 1}
+
+
+def test_removal_counts_equal_the_summary(spark):
+    df = table(spark, [(k, f"s{k % 3}", k % 4 if k % 5 else None) for k in range(40)], "ord long, src string, x int")
+    a = aggregates.removal_summary(df, df.where("x < 2")).withColumn("pct_removed", F.col("pct_removed").cast("double"))
+    b = aggregates.removal_counts(df, F.col("x") < 2).withColumn("pct_removed", F.col("pct_removed").cast("double"))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(a.columns).collect()))
+
+
 def test_files(spark, tmp_path):
     df = spark.range(3)
     assert files.write_metrics(df, str(tmp_path / "m")) and not files.write_metrics(df, str(tmp_path / "m")) and files.write_metrics(df, str(tmp_path / "m"), force=True)
@@ -363,3 +542,26 @@ def test_qacheck_stops_early(spark):
     got = {r["id"]: r for r in qacheck.run(claims, reply, 3).collect()}
     assert (got[1]["num_turns"], got[1]["exited_early"], got[2]["num_turns"], got[2]["exited_early"]) == (1, True, 3, False)
     assert got[1]["pred_label"] == "refuted" and [tuple(x) for x in got[1]["qa_history"]] == [("Why?", "So.")]
+
+
+def test_stages_by_command(spark, tmp_path, corpus_root):
+    from factweave.__main__ import STAGES, main
+
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(400)}"
+    rows = [(k, str(k), f"s{k % 2}", " ".join(word() for _ in range(8)), "".join(" ".join(word() for _ in range(30)) + ". " for _ in range(9)), ("Supported", "Refuted")[k % 3 == 0]) for k in range(30)]
+    path = lambda n: str(tmp_path / n)
+    table(spark, rows, "ord long, id string, src string, claim string, evidence string, label string").write.parquet(path("in"))
+    run = lambda stage, out, *more, given="in": (main([stage, "--input", path(given), "--output", path(out), *more], spark), spark.read.parquet(path(out)))[1]
+    assert run("rules", "rules").count() == 30
+    assert run("select", "chosen", "--budget", "10", given="rules").count() == 10
+    assert run("augment", "more", "--pool", path("rules"), given="chosen").count() == 10
+    assert run("report", "report", "--before", path("rules"), given="chosen").where("src = 'TOTAL'").first()["removed"] == 20
+    assert "the claim" in run("baseline", "prompts", "--baseline", "hiss", given="chosen").first()["prompt"]
+    spark.read.parquet(path("chosen")).select(F.col("label").alias("gt_label"), F.lit("Supported").alias("pred_label")).write.parquet(path("pred"))
+    main(["metrics", "--input", path("pred"), "--output", path("metrics")], spark)
+    main(["metrics", "--input", path("pred"), "--output", path("metrics")], spark)
+    assert spark.read.json(path("metrics")).first()["total_samples"] == 10
+    with pytest.raises(SystemExit):
+        main(["entities", "--input", path("in"), "--output", path("none")], spark)
+    assert len(STAGES) == 13
