@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,15 +47,30 @@ def _scatter(out: np.ndarray, at: np.ndarray, data: np.ndarray, size: np.ndarray
     out[np.repeat(at - off, size) + np.arange(int(size.sum()))] = data
 
 
-def _bytes(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    raw = [v.encode("utf-8") for v in values]
-    return np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw))
+def _bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all strings, one behind the other as they lie in the Arrow buffer, and the size of each."""
+    values = values.cast(pa.large_string())
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int64)
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return whole[at[0] : at[-1]], np.diff(at)
 
 
-def assemble(roles: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def escape_column(texts: pa.Array) -> pa.Array:
+    """``escape`` of a column; one without control strings is the same column."""
+    if not pc.any(pc.match_substring_regex(texts, _GUARD.pattern)).as_py():
+        return texts
+    return pc.replace_substring_regex(texts, _GUARD.pattern, r"<\\\1|")
+
+
+def escape_role_column(roles: pa.Array) -> pa.Array:
+    return escape_column(pc.replace_substring(pc.replace_substring(roles, "%", "%25"), "\n", "%0A"))
+
+
+def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The buffer of all turns, each turn's start (and the end of the last), and where each turn's text begins and ends."""
-    role, n_role = _bytes([escape_role(r) for r in roles])
-    text, n_text = _bytes([escape(t) for t in texts])
+    role, n_role = _bytes(escape_role_column(roles))
+    text, n_text = _bytes(escape_column(texts))
     size = len(BEGIN) + n_role + len(TURN) + n_text + len(END)
     start = np.r_[0, np.cumsum(size)]
     out = np.empty(int(start[-1]), np.uint8)
@@ -72,13 +88,13 @@ def _formatted(table: pa.Table, conv_type: pa.DataType) -> pa.RecordBatch:
     known = np.asarray(conv.is_valid())
     value = np.asarray(conv.fill_null(0))
     new = np.r_[True, (value[1:] != value[:-1]) | (known[1:] != known[:-1])]
-    roles, texts = table.column("role").to_pylist(), table.column("text").to_pylist()
+    roles, texts = (table.column(c).combine_chunks() for c in ("role", "text"))
     data, start, text_at, text_end = assemble(roles, texts)
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(new)]
     offsets = start[np.r_[first, len(new)]]
     strings = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
-    mine = np.array([r == "assistant" for r in roles], bool)
+    mine = np.asarray(pc.equal(roles, "assistant"))
     group = np.cumsum(new) - 1
     per = np.r_[0, np.cumsum(np.bincount(group[mine], minlength=len(first)))].astype(np.int32)
     spans = [pa.ListArray.from_arrays(pa.array(per), pa.array((x - offsets[:-1][group])[mine])) for x in (text_at, text_end)]

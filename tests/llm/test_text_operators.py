@@ -387,6 +387,19 @@ def test_escape_is_reversible():
         assert chat.unescape_role(chat.escape_role(t)) == t and "\n" not in chat.escape_role(t) and "<|" not in chat.escape_role(t)
 
 
+def test_columns_are_escaped_like_strings():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(("<", "|", "\\", "im_end", ">", "\n", "é日", "<|im_start|>", "%", "0A")) for _ in range(rng.randint(0, 9))) for _ in range(3000)]
+    for part in (texts, ["plain", "é", ""], []):
+        column = pa.array(part, pa.string())
+        assert chat.escape_column(column).to_pylist() == [chat.escape(t) for t in part]
+        assert chat.escape_role_column(column).to_pylist() == [chat.escape_role(t) for t in part]
+        data, size = chat._bytes(pa.array(["x", *part], pa.string())[1:])
+        assert data.tobytes() == "".join(part).encode() and size.tolist() == [len(t.encode()) for t in part]
+
+
 def test_chats_read_back(spark):
     rng = random.Random(4)
     rows = [(c, t, rng.choice(("user", "assistant", "system", None, "a\nb")), rng.choice((None, "", CONTROL, "é日" * rng.randint(0, 40), "<", "|", "<\\|x"))) for c in range(60) for t in range(rng.randint(1, 9))]
