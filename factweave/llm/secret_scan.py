@@ -143,21 +143,26 @@ def hits(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return ledger.where(F.col("rule").isin([r.key for r in rules]) & (F.size("found") > 0)).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(each))).alias("spans"))
 
 
-def scan_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+def scan_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Findings of every row of ``docs`` as ``(id, blob, spans)``, and the ledger that holds them.
 
     Null texts are scanned as empty and have none. Rows that repeat, equal texts
     under other ids and null ids each get the findings of their blob. An empty
     table gives an empty result; columns that are not named are not read.
-    The new ledger rows, and the findings that are not empty, are written to the checkpoint
-    folder: rows are shuffled to the findings only if these are too large to broadcast
-    by the size of their files.
+    The findings that are not empty are written to the checkpoint folder, in few files:
+    rows are shuffled to them only if they are too large to broadcast by the size of
+    their files. The ledger is not written here; a caller that keeps one gives ``path``,
+    where its new rows are written before anything reads them.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), address(F.col(text_col)).alias("blob"))
-    new = stored(scan(rows.select("blob", "text"), ledger, rules))
-    whole = new if ledger is None else ledger.select("blob", "rule", "found").unionByName(new)
+    new = scan(rows.select("blob", "text"), ledger, rules)
+    if path is not None:
+        new.write.mode("append").parquet(path)
+        whole = docs.sparkSession.read.parquet(path) if ledger is None else ledger.select(new.columns).unionByName(docs.sparkSession.read.parquet(path)).distinct()
+    else:
+        whole = new if ledger is None else ledger.select(new.columns).unionByName(new)
     shown = F.transform("spans", lambda s: F.struct(*[s[c].alias(c) for c in ("start", "place", "kind", "end")]))
-    found = stored(hits(whole, rules).withColumn("spans", shown))
+    found = stored(hits(whole, rules).withColumn("spans", shown).repartition("blob"))
     return rows.select("id", "blob").join(found, "blob", "left").select("id", "blob", F.coalesce("spans", F.array().cast(LISTED)).alias("spans")), whole
 
 
@@ -175,7 +180,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     join them by broadcast while their files are small, else by blob.
     """
     text, own, of, where = F.col(text_col), fresh(docs, "own_blob"), fresh(docs, "of_blob"), fresh(docs, "blob_spans")
-    found = stored(hits(scan(docs.select(address(text).alias("blob"), text.alias("text")), None, rules), rules)).select(F.col("blob").alias(of), F.col("spans").alias(where))
+    found = stored(hits(scan(docs.select(address(text).alias("blob"), text.alias("text")), None, rules), rules).repartition("blob")).select(F.col("blob").alias(of), F.col("spans").alias(where))
     rows = docs.withColumn(own, address(text)).join(found, F.col(own) == F.col(of), "left")
 
     def pieces(raw: Column) -> Column:

@@ -358,6 +358,19 @@ def test_redact(secret_docs, empty):
     assert secret_scan.redact(empty).count() == 0
 
 
+def test_a_kept_ledger_grows(spark, secret_docs, tmp_path):
+    path = str(tmp_path / "ledger")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    secret_scan.scan_docs(secret_docs.where("doc_id < 1004"), path=path)
+    first = spark.read.parquet(path)
+    seen = first.count()
+    got, whole = secret_scan.scan_docs(secret_docs, ledger=spark.createDataFrame(first.collect(), first.schema), path=path)
+    assert rows(got) == rows(secret_scan.scan_docs(secret_docs)[0])
+    kept = spark.read.parquet(path)
+    assert kept.count() > seen > 0 and kept.groupBy("blob", "rule").count().where("count > 1").count() == 0
+    assert rows(whole) == rows(kept)
+
+
 def test_many_secrets_in_one_text(spark):
     """Cost stays far below the square of the matches; offsets are right behind characters of several bytes."""
     n = 60_000
