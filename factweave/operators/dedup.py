@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from factweave.functions.text import strip, word_set
 from factweave.operators.components import components
 from factweave.operators.records import first_by
-from factweave.plans.checkpoint import cut
+from factweave.plans.checkpoint import cut, stored
 
 #: Fixed value: the Jaccard threshold. Bands of rows for candidates: a pair at the threshold is missed with probability 0.0004, one of unrelated texts (0.2) is compared with probability 0.004.
 THRESHOLD, BANDS, ROWS = 0.7, 64, 6
@@ -37,7 +37,7 @@ def word_sets(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def signatures(sets: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``(key, n, band)`` rows: the size of each set of ``sets(key, w)`` and a hash of each band of its min-hashes. Empty sets have none."""
+    """``(key, n, bands)``: the size of each set of ``sets(key, w)`` and hashes of the bands of its min-hashes. Empty sets have none."""
     random = np.random.default_rng(1)
     a = random.integers(1, 1 << 63, bands * rows, dtype=np.uint64) | np.uint64(1)
     b = random.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
@@ -57,7 +57,12 @@ def signatures(sets: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     hashed = sets.select("key", F.size("w").alias("n"), F.transform("w", lambda w: F.xxhash64(w)).alias("h")).where("n > 0")
     low = hashed.mapInPandas(run, f"key {kind}, n int, low array<long>")
     band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.slice("low", k * rows + 1, rows)))
-    return low.select("key", "n", F.explode(band).alias("band"))
+    return low.select("key", "n", band.alias("bands"))
+
+
+def banded(signed: DataFrame) -> DataFrame:
+    """``(key, n, band)``: a row for each band."""
+    return signed.select("key", "n", F.explode("bands").alias("band"))
 
 
 def jaccard(a: str, b: str) -> Column:
@@ -84,8 +89,8 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, key: str, text: str, thresh
 
     Sets are written once, since both sides of the joins read them.
     """
-    own, other = cut(word_sets(left, key, text)), cut(word_sets(right, key, text))
-    return verified(candidates(signatures(own), signatures(other), threshold, False), own, other, threshold)
+    own, other = stored(word_sets(left, key, text)), stored(word_sets(right, key, text))
+    return verified(candidates(banded(signatures(own)), banded(signatures(other)), threshold, False), own, other, threshold)
 
 
 def greedy_keep(nodes: DataFrame, pairs: DataFrame, key: str = "ord", walk: int = WALK) -> DataFrame:
@@ -125,37 +130,38 @@ def greedy_keep(nodes: DataFrame, pairs: DataFrame, key: str = "ord", walk: int
     return nodes.select(key).join(lost, F.col(key) == F.col("lost"), "left_anti")
 
 
-def thinned(sets: DataFrame, bands: DataFrame, threshold: float, dense: int = DENSE, few: float = FEW) -> tuple[DataFrame, DataFrame]:
-    """Keys that the pass drops because of the first of a dense group, and the bands that are still to be decided.
+def thinned(sets: DataFrame, signed: DataFrame, threshold: float, dense: int = DENSE, few: float = FEW) -> tuple[DataFrame, DataFrame]:
+    """Keys that the pass drops because of the first of a dense group, and the signatures that are still to be decided.
 
     A key that is the smallest of all bands it is in has no earlier candidate, so it is kept,
     and it is compared with the members of its bands, one comparison a member instead
     of one a pair. This goes on while bands hold many times more pairs than rows.
     """
-    lost = cut(bands.select(F.col("key").alias("lost")).where("1 = 0"))
+    lost = cut(signed.select(F.col("key").alias("lost")).where("1 = 0"))
     while True:
+        bands = banded(signed)
         low = bands.groupBy("band").agg(F.min("key").alias("low"), F.count(F.lit(1)).alias("m")).where("m > 1")
         load = low.agg(F.sum(F.col("m").cast("double") * (F.col("m") - 1) / 2).alias("pairs"), F.sum("m").alias("rows")).first()
         if not load["rows"] or load["pairs"] <= dense * load["rows"]:
-            return lost, bands
+            return lost, signed
         shared = cut(bands.join(low.select("band", "low"), "band"))
         later = shared.where("key > low")
         first = shared.where("key = low").select("key").distinct().join(later.select("key").distinct(), "key", "left_anti")
         cand = later.join(first.select(F.col("key").alias("low")), "low", "left_semi").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()
         gone = cut(verified(cand, sets, sets, threshold).select(F.col("b").alias("lost")).distinct())
         decided = gone.unionByName(first.select(F.col("key").alias("lost"))).distinct()
-        bands = cut(bands.join(decided, F.col("key") == F.col("lost"), "left_anti"))
+        signed = stored(signed.join(decided, F.col("key") == F.col("lost"), "left_anti"))
         lost = cut(lost.unionByName(gone))
         if gone.count() < few * shared.select("key").distinct().count():
-            return lost, bands
+            return lost, signed
 
 
 def jaccard_dedup(df: DataFrame, text: str = "claim", key: str = "ord", threshold: float = THRESHOLD) -> DataFrame:
     """Rows kept by a pass in key order that drops a row similar to a kept one. Rows with equal word sets keep the first; rows without words stay."""
-    rows = cut(word_sets(df, key, text)).where(F.size("w") > 0)  # behind the cut, else the filter works out each set once more
-    firsts = cut(rows.groupBy(F.sha2(F.array_join("w", " "), 256).alias("set")).agg(F.min_by(F.struct("key", "w"), "key").alias("r")).select("r.*"))
-    lost, bands = thinned(firsts, cut(signatures(firsts)), threshold)
-    pairs = verified(candidates(bands, bands, threshold, True), firsts, firsts, threshold)
+    rows = stored(word_sets(df, key, text)).where(F.size("w") > 0)  # behind the write, else the filter works out each set once more
+    firsts = stored(rows.groupBy(F.sha2(F.array_join("w", " "), 256).alias("set")).agg(F.min_by(F.struct("key", "w"), "key").alias("r")).select("r.*"))
+    lost, signed = thinned(firsts, stored(signatures(firsts)), threshold)
+    pairs = verified(candidates(banded(signed), banded(signed), threshold, True), firsts, firsts, threshold)
     keep = greedy_keep(firsts.select("key").join(lost, F.col("key") == F.col("lost"), "left_anti"), pairs, "key")
     gone = rows.select("key").join(keep, "key", "left_anti").withColumnRenamed("key", "__gone")
     return df.join(gone, F.col(key) == F.col("__gone"), "left_anti")
