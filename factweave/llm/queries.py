@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm import align, bpe, chat, decontam, embed_dedup, html_extract, negatives, secret_scan, sharding, simhash, token_count, toxicity
+from factweave.llm import align, bpe, chat, decontam, embed_dedup, html_extract, negatives, repeats, secret_scan, sharding, simhash, token_count, toxicity
 from factweave.llm.common import table
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -65,6 +65,12 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove(table(spark, sf_dir, "documents"))
+    n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
@@ -77,7 +83,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_decontamination, op3_embedding_dedup, op4_sharding, op5_secrets, op6_token_counts, op7_simhash, op8_chat_format, op9_bpe, op10_html_text, op12_hard_negatives, op13_token_alignment)
+    for f in (op1_toxicity, op2_decontamination, op3_embedding_dedup, op4_sharding, op5_secrets, op6_token_counts, op7_simhash, op8_chat_format, op9_bpe, op10_html_text, op11_suffix_dedup, op12_hard_negatives, op13_token_alignment)
 }
 
 _ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
