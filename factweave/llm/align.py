@@ -33,7 +33,7 @@ from factweave.llm.common import spread, stored, text_chunks
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of text that are worked on at once and share a list of pairs.
-CHARS = 2_000_000
+CHARS = 1_000_000
 MARK = "▁"
 Tokens = tuple[np.ndarray, np.ndarray]
 
@@ -221,7 +221,7 @@ def alignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are not read; an empty table gives empty results. The chunks are written once to the checkpoint
     folder, so both results rest on the same run.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     schema = f"chunk string, id array<{kind}>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, pair array<long>, n array<long>, link binary"
     chunks = stored(spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInPandas(_chunks(first, second), schema))
     counts = chunks.select(F.explode(F.arrays_zip("pair", "n")).alias("p")).groupBy(F.col("p.pair").alias("pair")).agg(F.sum("p.n").alias("total"))
@@ -229,7 +229,8 @@ def alignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     top = counts.groupBy("b").agg(F.max("total").alias("top"))
     pairs = counts.join(top, "b").select("pair", "b", "total", (F.col("total") == F.col("top")).alias("best"))
     asked = chunks.select("chunk", F.posexplode("pair").alias("k", "pair"))
-    told = asked.join(pairs, "pair").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("k", "total", "best"))).alias("t"))
-    full = chunks.drop("pair", "n").join(told.select("chunk", F.col("t.total").alias("total"), F.col("t.best").alias("best")), "chunk", "left")
+    few = max(spark.sparkContext.defaultParallelism, chunks.count() // 4)  # rows are some MB each, so a task gets few
+    told = asked.join(pairs, "pair").repartition(few, "chunk").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("k", "total", "best"))).alias("t"))
+    full = chunks.drop("pair", "n").repartition(few, "chunk").join(told.select("chunk", F.col("t.total").alias("total"), F.col("t.best").alias("best")), "chunk", "left")
     rows = full.drop("chunk").mapInPandas(_resolved, f"id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
     return rows, pairs.select(F.shiftright("pair", 32).alias("a"), "b", F.col("total").alias("n"), "best")
