@@ -440,7 +440,7 @@ PAGES = {
     "plain": ("<html><body><nav><a href=x>Menu</a></nav><article><h1>Head &amp; line</h1><p>One, two,\n three.</p><p>Fo<b>u</b>r &eacute; five<br>six</p></article><footer>Foot</footer></body></html>", "Head & line One, two, three. Four é five six"),
     "div": ("<body><div class='sidebar'><p>Side text, long enough, to be taken, if it could.</p></div><div id=main><p>Main text, of some length, with commas, and more, and so on.</p><p>Second paragraph, again with words.</p></div></body>", "Main text, of some length, with commas, and more, and so on. Second paragraph, again with words."),
     "comments": ("<main><p>The article text, with a comma.</p><section class='comments'><p>First, a very, very, very, long reader comment, here.</p></section></main>", "The article text, with a comma."),
-    "links": ("<article><p>Text, of the article.</p><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul><p>More.</p></article>", "Text, of the article. More."),
+    "links": ("<article><p>Text, of the article.</p><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul><p>More.</p></article>", "Text, of the article. One Two More."),
     "script": ("<article><p>a</p><script>var x='<p>no</p>';</script><style>p{}</style><form><p>Name</p></form><p>b</p></article>", "a b"),
     "open": ("<article><p>cut <b>off <p>here &am", "cut off here &am"),
     "hidden": ("<article><p>seen</p><p hidden>not</p><div style='display:none'><p>nor this</p></div><div role=complementary>nor</div></article>", "seen"),
@@ -491,10 +491,45 @@ def test_inline_elements_are_nodes():
     assert get(f"<article><p>Text, of it.</p><h2>Sources</h2><ul>{sources}</ul></article>").endswith("Sources " + " ".join(f"Title of the source number {k}, a journal" for k in range(3)))
 
 
+ARTICLE = "<p>Text, of the article.</p>{}<p>More, of it.</p>"
+OUT = [f"<div class='{c}'><p>GONE, words, in it.</p></div>" for c in ("sponsored-content", "sponsored-post", "modal-body", "cookie-content", "newsletter-text", "banner-text", "popup-content", "subscribe-main", "disqus-content", "adSlot", "post related_posts", "comment-body", "td ad-wrap")]
+OUT += ["<section id=comments><p>GONE, words.</p></section>", "<div id='disqus_thread'><p>GONE, words.</p></div>", "<form><p>GONE</p><input name=a></form>", "<article class='comment-body'><p>GONE, words.</p></article>"]
+IN = [f"<section id='{i}'><p>KEPT, words, in it.</p></section>" for i in ("discussion", "legal", "search", "notice", "skip", "tags", "alert", "login", "side")]
+IN += [f"<h2 id='{i}'>KEPT</h2>" for i in ("discussion", "related", "comments", "search", "copyright")] + ["<div class='has-sidebar'><p>KEPT, words.</p></div>", "<div id='side'><p>KEPT, words.</p></div>"]
+IN += ["<ul><li><a href=a>KEPT Daily</a></li><li><a href=b>Post</a></li></ul>", "<ul><li><a href=a>KEPT Daily</a></li><li><a href=b>A title of more than twenty characters</a></li></ul>", "<table><tr><td>KEPT<td>b<tr><td>c</table>"]
+
+
+@pytest.mark.parametrize("part", OUT)
+def test_what_is_no_article_text_goes(part):
+    assert html_extract.extract(f"<article>{ARTICLE.format(part)}</article>") == "Text, of the article. More, of it."
+    assert "GONE" not in html_extract.extract(f"<body><div>{ARTICLE.format('')}</div>{part}</body>")
+
+
+@pytest.mark.parametrize("part", IN)
+def test_what_is_article_text_stays(part):
+    got = html_extract.extract(f"<article>{ARTICLE.format(part)}</article>")
+    assert "KEPT" in got and got.startswith("Text, of the article. ") and got.endswith(" More, of it.")
+    assert " ".join(re.sub("<[^>]*>", " ", ARTICLE.format(part)).split()) == got
+
+
+def test_whole_pages():
+    get = html_extract.extract
+    long = "<p>One, two, three, and many more words in a row, so that it scores.</p>" * 5
+    text = " ".join(["One, two, three, and many more words in a row, so that it scores."] * 5)
+    assert get(f"<body><div id=a>{long}</div><div id=b><p>closing words.</p></div></body>") == f"{text} closing words."
+    assert get(f"<body><div id=a>{long}</div><div><p>© 2020 The site</p></div></body>") == text
+    assert get(f"<body><form action=x><input type=hidden name=v><div>{long}</div></form><div>Imprint</div></body>") == text
+    assert get("<body><form><p>Only, this.</p><input><input></form></body>") == "Only, this."
+    assert get("<body><nav><h2>No</h2></nav><h1>Head</h1><h2>Second</h2></body>") == "Head Second"
+    assert get(f"<body><div class='elementor-widget'><main><h1>Head</h1>{long}</main></div></body>") == f"Head {text}"
+    assert get(f"<body><h1>Head</h1><div>{long}</div></body>") == f"Head {text}"
+    assert get(f"<article><ul><li><a href=a>Home</a></li><li><a href=b>A long name of a page of the site</a></li></ul>{long}</article>") == text
+
+
 def test_depth_costs_linear_time():
-    for page in ("<div>" * 200_000 + "deep, text", "<b>" * 100_000 + "<p>text, of it</p>" + "</i>" * 100_000, "<i><div>" + "<b>" * 50_000 + "text, of it" + "</i>" * 50_000, "<a href=x>" * 50_000 + "<p>text, of it", "<ul>" + "<li><p>a, b" * 50_000):
+    for page in ("<div>" * 200_000 + "deep, text", "<b>" * 100_000 + "<p>text, of it</p>" + "</i>" * 100_000, "<i><div>" + "<b>" * 50_000 + "text, of it" + "</i>" * 50_000, "<a href=x>" * 50_000 + "<p>text, of it", "<ul>" + "<li><p>a, b" * 50_000, "<table>" + "<tr><td>x, y" * 32_000, "<table>" + "<tbody><tr><td><p>x, y" * 20_000, "<ul><li>a, b<foo>" + "<foo>" * 20_000 + "<dd></dd><li></li>" * 20_000, "<a href=x>" + "<b>" * 20_000 + "<div>x, y</div>" * 20_000):
         began = time.process_time()
-        assert html_extract.extract(page) and time.process_time() - began < 4
+        assert html_extract.extract(page) and time.process_time() - began < 4, page[:40]
 
 
 def test_points_equal_the_definition():
@@ -508,6 +543,7 @@ def test_points_equal_the_definition():
 
     for _ in range(300):
         root, _, blocks = html_extract.parse("<body>" + tree(0) + tree(0) + "</body>")
+        html_extract.settle(blocks)
         html_extract.score(blocks)
         for n in blocks:
             want = html_extract.own_points(n) if n.tag not in ("p", "pre", "li", "blockquote", "figcaption") else 0.0
