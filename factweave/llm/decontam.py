@@ -301,7 +301,8 @@ def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text", i
 
     The number of parts comes from the summed size. Parts are read and built one after
     the other, so the driver holds those of one pass (``AT_ONCE``) and no more. Items with a
-    null id or without words are left out; repeated rows count once.
+    null id or without words are left out; repeated rows count once. Ids are whole numbers; one that
+    doesn't read as such is an error.
     """
     rows = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).distinct()
     total = rows.agg(F.sum(F.octet_length("t")).alias("s")).first()["s"] or 0

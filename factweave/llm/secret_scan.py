@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.llm.common import fresh, stored
@@ -143,22 +143,38 @@ def hits(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return ledger.where(F.col("rule").isin([r.key for r in rules]) & (F.size("found") > 0)).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(each))).alias("spans"))
 
 
+def _holds_files(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to ``path``, in whatever file system it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.exists(where) and any(s.getPath().getName().endswith(".parquet") for s in system.listStatus(where))
+
+
 def scan_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Findings of every row of ``docs`` as ``(id, blob, spans)``, and the ledger that holds them.
 
     Null texts are scanned as empty and have none. Rows that repeat, equal texts
     under other ids and null ids each get the findings of their blob. An empty
     table gives an empty result; columns that are not named are not read.
+    A blob is scanned under a rule once: what ``path`` holds already counts as seen, with or without ``ledger``,
+    and of ledger rows that repeat (from calls at the same time) one is read.
     The findings that are not empty are written to the checkpoint folder, in few files:
     rows are shuffled to them only if they are too large to broadcast by the size of
     their files. The ledger is not written here; a caller that keeps one gives ``path``,
     where its new rows are written before anything reads them.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), address(F.col(text_col)).alias("blob"))
+    spark = docs.sparkSession
+    kept = spark.read.parquet(path) if path is not None and _holds_files(spark, path) else None
+    if kept is not None:
+        ledger = kept if ledger is None else ledger.select(kept.columns).unionByName(kept)
+    if ledger is not None:
+        ledger = ledger.dropDuplicates(["blob", "rule"])
     new = scan(rows.select("blob", "text"), ledger, rules)
     if path is not None:
         new.write.mode("append").parquet(path)
-        whole = docs.sparkSession.read.parquet(path) if ledger is None else ledger.select(new.columns).unionByName(docs.sparkSession.read.parquet(path)).distinct()
+        written = spark.read.schema(new.schema).parquet(path)
+        whole = (written if ledger is None else ledger.select(new.columns).unionByName(written)).dropDuplicates(["blob", "rule"])
     else:
         whole = new if ledger is None else ledger.select(new.columns).unionByName(new)
     shown = F.transform("spans", lambda s: F.struct(*[s[c].alias(c) for c in ("start", "place", "kind", "end")]))

@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from factweave.llm.common import spread
 
@@ -150,10 +151,13 @@ class Lexicon:
         hits = [(end + 1 - size, end + 1, w) for end, (size, w) in self.automaton().iter(folded)]
         if not hits:
             return 0.0, n
-        free = [(i, j) for i, j, w in hits if w is None]
-        total, upto = 0.0, 0
+        free = sorted((i, j) for i, j, w in hits if w is None)
+        total, upto, reach, k = 0.0, 0, 0, 0  # reach: how far the exception phrases go that begin at or before the hit
         for i, j, w in sorted((h for h in hits if h[2] is not None), key=lambda h: (h[0], -h[1])):
-            if i + 1 > upto and not any(a <= i and j <= b for a, b in free):
+            while k < len(free) and free[k][0] <= i:
+                reach = max(reach, free[k][1])
+                k += 1
+            if i + 1 > upto and j > reach:
                 total += w
                 upto = j - 1
         return total, n
@@ -231,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     The rows are those of smallest id hash. Near copies among them count once (two
     equal min-hashes, of three, of their longer words). Words, and beginnings that three words or more
     share, enter with their log odds as far as toxic rows need them (see ``_choose``). Rows without label, id or text are left out; an
-    id whose labels contradict counts as toxic. With fewer than 10 rows of either
+    id may be of any type that has an order, one whose labels contradict counts as toxic. With fewer than 10 rows of either
     label the seed words and fixed score weights are used.
     """
     known = (
@@ -239,8 +243,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("toxic"))
     )
     order = F.xxhash64("__id")
+    own_id = F.col(id_col) if isinstance(docs.schema[id_col].dataType, IntegralType) else F.xxhash64(F.col(id_col).cast("string"))  # only orders copies
     some = known.where("toxic = 1").orderBy(order).limit(fit_toxic).unionByName(known.where("toxic = 0").orderBy(order).limit(fit_clean))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(some), F.col("id") == F.col("__id")).select("id", "text", "toxic")
+    rows = docs.select(F.col(id_col).alias("id"), own_id.cast("long").alias("own_id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(some), F.col("id") == F.col("__id")).select(F.col("own_id").alias("id"), "text", "toxic")
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from zlib import crc32

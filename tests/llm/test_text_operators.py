@@ -84,6 +84,20 @@ def labelled(spark):
     return docs, spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
 
 
+def test_many_exceptions_take_linear_time():
+    lexicon = toxicity.Lexicon({" trash ": 1.0, " ioser ": 2.0}, ("trash can",), (0.0, 1.0, 1.0))
+    text = "trash can loser trash " * 50_000
+    began = time.process_time()
+    assert lexicon.sums(toxicity.fold(text)) == (150_000.0, 200_000)
+    assert time.process_time() - began < 3
+
+
+def test_fit_reads_ids_of_any_type(spark, labelled):
+    docs, labels = labelled
+    named = lambda df: df.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert toxicity.fit(named(docs), named(labels)).weights
+
+
 def test_fit_learns_words_and_beginnings(labelled):
     docs, labels = labelled
     own = toxicity.fit(docs, labels)
@@ -371,6 +385,21 @@ def test_a_kept_ledger_grows(spark, secret_docs, tmp_path):
     assert rows(whole) == rows(kept)
 
 
+def test_calls_with_a_path_alone_scan_each_blob_once(spark, secret_docs, tmp_path):
+    path = str(tmp_path / "ledger")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    want = rows(secret_scan.scan_docs(secret_docs)[0])
+    for _ in range(3):
+        got, whole = secret_scan.scan_docs(secret_docs, path=path)
+        assert rows(got) == want
+        assert spark.read.parquet(path).count() == whole.count()
+    kept = spark.read.parquet(path)
+    kept.write.mode("append").parquet(str(tmp_path / "twice"))
+    kept.write.mode("append").parquet(str(tmp_path / "twice"))
+    assert rows(secret_scan.scan_docs(secret_docs, path=str(tmp_path / "twice"))[0]) == want
+    assert rows(secret_scan.scan_docs(secret_docs, ledger=kept, path=path)[0]) == want
+
+
 def test_many_secrets_in_one_text(spark):
     """Cost stays far below the square of the matches; offsets are right behind characters of several bytes."""
     n = 60_000
