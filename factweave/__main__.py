@@ -12,8 +12,9 @@ from factweave.functions.prompts import BASELINES, TASKS, render
 from factweave.operators import aggregates, judgelog
 from factweave.plans import curation
 from factweave.sources import corpora, files
+from factweave.streaming import judge_ingest
 
-Stage = Callable[[SparkSession, argparse.Namespace, Callable[[str], DataFrame]], DataFrame]
+Stage = Callable[[SparkSession, argparse.Namespace, Callable[[str], DataFrame]], DataFrame | None]
 
 
 def _load(spark: SparkSession, a: argparse.Namespace, table: Callable[[str], DataFrame]) -> DataFrame:
@@ -31,6 +32,17 @@ def _dataset(spark: SparkSession, a: argparse.Namespace, table: Callable[[str],
     return judgelog.dataset(judgelog.gate(judgelog.read_logs(files.read_log_files(spark, a.input)), a.subset, a.judge, render(TASKS[task], **fields)), a.subset)
 
 
+def _ingest(spark: SparkSession, a: argparse.Namespace, table: Callable[[str], DataFrame]) -> None:
+    """Log files that are new below ``--input`` into the table ``--output``, from where ``--state`` says the last run ended."""
+    if a.state is None:
+        raise SystemExit("ingest needs --state")
+    task = next(t for t in TASKS if a.subset.startswith(t))
+    fields = {f: F.col(f) for f in ("claim", "document", "question", "answer", "answers") if "{" + f + "}" in TASKS[task]}
+    query = judge_ingest.ingest(judge_ingest.log_stream(spark, a.input), a.output, a.state, a.subset, a.judge, render(TASKS[task], **fields))
+    query.awaitTermination()
+    print(f"{a.output}: {judge_ingest.rejects(query)}")
+
+
 STAGES: dict[str, Stage] = {
     "load": _load,
     "rules": lambda s, a, t: curation.rules(t("input")),
@@ -45,6 +57,7 @@ STAGES: dict[str, Stage] = {
     "baseline": lambda s, a, t: t("input").withColumn("prompt", render(BASELINES[a.baseline], claim=F.col("claim"), evidence=F.col("evidence"))),
     "metrics": lambda s, a, t: aggregates.binary_metrics(t("input")),
     "dataset": _dataset,
+    "ingest": _ingest,
 }
 
 
@@ -61,6 +74,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     p.add_argument("--baseline", choices=BASELINES, default="simple")
     p.add_argument("--subset", choices=judgelog.SUBSETS, default="coverage")
     p.add_argument("--judge", default="judge", help="the judge model whose replies count")
+    p.add_argument("--state", help="the folder that keeps the state of an ingest")
     p.add_argument("--force", action="store_true", help="write metrics again that are there")
     a = p.parse_args(argv)
     spark = spark or SparkSession.builder.appName(f"factweave {a.stage}").getOrCreate()
@@ -71,6 +85,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         return spark.read.parquet(getattr(a, name))
 
     out = STAGES[a.stage](spark, a, table)
+    if out is None:  # the stage has written its table itself
+        return
     if a.stage == "metrics":
         print(f"{a.output}: {'written' if files.write_metrics(out, a.output, a.force) else 'kept'}")
     else:

@@ -98,15 +98,19 @@ def read_logs(df: DataFrame, raw: str = "raw") -> DataFrame:
     return got.select(*[c for c in df.columns if c != raw], "corrupt", F.inline(F.array(parsed)))
 
 
-def dataset(gated: DataFrame, subset: str, order: tuple[str, ...] = ("source_run", "path"), full: bool = False) -> DataFrame:
-    """Valid rows as dataset rows with their split; of equal texts the first."""
+def dataset_rows(gated: DataFrame, subset: str, order: tuple[str, ...] = ("source_run", "path"), full: bool = False) -> DataFrame:
+    """Valid rows as dataset rows with their split."""
     s = SUBSETS[subset]
     text = canonical_text(subset)
     more = [F.col("prompt"), F.coalesce(F.get(F.col("response.choices"), F.lit(0))["message"]["content"], F.lit("")).alias("raw_response")] if full else []
-    rows = gated.where("status = 'ok'").select(
+    return gated.where("status = 'ok'").select(
         text.alias("text"), label(subset).cast(s.kind).alias("label"), hash16(text).alias("text_hash"), hash16(s.split_field).alias("claim_hash"), "extracted_response", *order, *more, hash_split(s.split_field).alias("split")
     )
-    return first_wins(rows, "text_hash", *order)
+
+
+def dataset(gated: DataFrame, subset: str, order: tuple[str, ...] = ("source_run", "path"), full: bool = False) -> DataFrame:
+    """Valid rows as dataset rows with their split; of equal texts the first."""
+    return first_wins(dataset_rows(gated, subset, order, full), "text_hash", *order)
 
 
 def reject_counts(gated: DataFrame) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_folder(df: DataFrame) -> str:
+def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that the session names in ``spark.checkpoint.dir``; only a local session without one gets its own."""
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -21,14 +21,31 @@ def ensure_folder(df: DataFrame) -> str:
     return sc.getCheckpointDir()
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The path of a new folder below it."""
+    return f"{checkpoint_folder(spark)}/run-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete ``path``, in whatever file system it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all that this session has written to its checkpoint folder; results that still read from there must have been used."""
+    remove(spark, checkpoint_folder(spark))
+    spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="factweave-checkpoint-"))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read from there."""
-    ensure_folder(df)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """As ``cut``, in compressed columns, for tables of long rows; plans over it know its size."""
-    path = f"{ensure_folder(df)}/table-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

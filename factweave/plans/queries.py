@@ -17,6 +17,8 @@ from factweave.functions.prompts import TASKS, render
 from factweave.functions.tables import table_markdown
 from factweave.operators import aggregates, dedup, filters, judgelog, providers, records, rewards, sampling, selection, similarity
 from factweave.plans import corpus_rows, curation, qacheck
+from factweave.plans.checkpoint import run_folder
+from factweave.streaming import judge_ingest as judge_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -750,15 +752,31 @@ def judge_log_gate(spark, sf):
     return judgelog.reject_counts(gated(spark, sf))
 
 
-@query(with_base(f"""
+JUDGED = with_base(f"""
 , t AS (SELECT 'Document: ' || evidence || chr(10) || 'Question: ' || claim AS text, CAST(ord % 2 AS INTEGER) AS label, ord, src, evidence FROM claims WHERE {STATUS} = 'ok'),
 h AS (SELECT substr(sha256(text), 1, 16) AS text_hash, substr(sha256(evidence), 1, 16) AS claim_hash, {SPLIT.format('evidence')} AS split, label, src AS source_run, row_number() OVER (PARTITION BY text ORDER BY src, lpad(ord::VARCHAR, 9, '0')) AS r FROM t)
 SELECT text_hash, claim_hash, split, label, source_run FROM h WHERE r = 1
-"""))
+""")
+
+
+@query(JUDGED)
 def judge_dataset(spark, sf):
     return judgelog.dataset(gated(spark, sf), "question_answerable").select("text_hash", "claim_hash", "split", "label", "source_run")
 
 
+@query(JUDGED)
+def judge_ingest(spark, sf):
+    """The rows of ``judge_dataset`` by a stream over files of logs, two files to a batch, stopped and started again."""
+    folder = run_folder(spark)
+    own = logs(spark, sf).select("raw", "path", "source_run").repartition(6)
+    for _ in range(2):
+        own.write.mode("append").parquet(f"{folder}/logs")  # the second time the same rows arrive again
+        arriving = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/logs")
+        prompt = render(TASKS["question_answerable"], document=F.col("document"), question=F.col("question"))
+        judge_stream.ingest(arriving, f"{folder}/table", f"{folder}/state", "question_answerable", "judge", prompt).awaitTermination()
+    return judge_stream.current(spark, f"{folder}/table").select("text_hash", "claim_hash", "split", "label", "source_run")
+
+
 @query("""
 WITH c AS (SELECT user_id AS key, value, ts, event_id FROM events)
 SELECT key, arg_max(value, (ts, event_id)) AS value, count(*) AS n FROM c GROUP BY 1
@@ -781,6 +799,29 @@ def cache_misses(spark, sf):
     return records.misses(d, d.where("key % 3 = 0"), "key")
 
 
+@query("""
+SELECT doc_id AS key, CASE WHEN doc_id % 17 <> 0 AND doc_id % 19 <> 0 THEN upper(source) END AS value,
+       CASE WHEN doc_id % 17 = 0 THEN 'refused' WHEN doc_id % 19 = 0 THEN 'exhausted' ELSE 'ok' END AS status,
+       CASE WHEN doc_id % 17 = 0 THEN 1 WHEN doc_id % 19 = 0 THEN 4 ELSE doc_id % 4 + 1 END AS attempts
+FROM documents
+""")
+def provider_replies(spark, sf):
+    """A model that is busy up to three times for each key, refuses some and never answers others, asked for every document."""
+
+    def call(request: str, seen: dict[str, int] = {}) -> str:  # noqa: B006 - attempts of this worker's keys
+        key, source = request.split(" ", 1)
+        seen[key] = seen.get(key, 0) + 1
+        if int(key) % 17 == 0:
+            raise providers.Refused(key)
+        if int(key) % 19 == 0 or seen[key] <= int(key) % 4:
+            raise TimeoutError(key)
+        return source.upper()
+
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.concat_ws(" ", "doc_id", "source").alias("request"))
+    limits = providers.Limits(attempts=4, wait=0.0001, most_wait=0.001)
+    return providers.replies(d, "key", "request", "value", "string", call, limits).select("key", "value", "status", F.col("attempts").cast("long").alias("attempts"))
+
+
 @query("SELECT event_type, count(*) AS n, count(json_extract_string(props, '$.k')) AS with_k, count(*) FILTER (json_valid(props)) AS valid FROM events GROUP BY 1")
 def json_props(spark, sf):
     e = read(spark, sf, "events").withColumn("v", F.expr("try_parse_json(props)"))

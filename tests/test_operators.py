@@ -316,11 +316,69 @@ def test_cache_upsert_and_provider(spark):
     whole = providers.upsert(old, new)
     assert {r["key"]: r["value"] for r in whole.collect()} == {"a": "2", "b": "1", "c": "3"}
     df = table(spark, [("a",), ("d",), ("d",)], "key string")
-    got, more = providers.provide(df, whole, "key", "value", lambda keys: [k.upper() for k in keys])
+    got, more, failed = providers.provide(df, whole, "key", "value", str.upper)
+    assert failed.count() == 0
     assert sorted((r["key"], r["value"]) for r in got.collect()) == [("a", "2"), ("d", "D"), ("d", "D")] and more.count() == 4
     assert tuple(providers.cache_stats(df, whole, "key").first()) == (1, 2)
 
 
+def test_provider_calls_each_key_once_and_marks_failures(spark, tmp_path):
+    import collections
+    import threading
+    import uuid
+
+    folder = str(tmp_path)
+
+    def call(request):
+        """Counts its calls in files; keys fail 0 to 3 times, some for good, and values differ from call to call."""
+        import os
+
+        key, fails = request.split(":")
+        with open(f"{folder}/{key}.{threading.get_ident()}.{uuid.uuid4().hex}", "x"):
+            pass
+        seen = sum(f.startswith(f"{key}.") for f in os.listdir(folder))
+        if fails == "never":
+            raise providers.Refused("bad request")
+        if fails == "cut":
+            raise providers.Unusable("cut off")
+        if fails == "down" or seen <= int(fails):
+            raise TimeoutError("busy")
+        return uuid.uuid4().hex
+
+    kinds = ["0", "1", "2", "3", "never", "cut", "down"]
+    rows = [(f"k{k}", f"k{k}:{kinds[k % 7]}") for k in range(70)] * 2 + [("old", "old:0"), (None, "none:0")]
+    df = table(spark, rows, "key string, prompt string")
+    cache = table(spark, [("old", "v")], "key string, value string")
+    limits = providers.Limits(workers=3, in_flight=5, attempts=5, unusable=2, wait=0.001, most_wait=0.004)
+    got = providers.provide(df, cache, "key", "value", call, limits, request="prompt")
+    for _ in range(2):  # actions do not call again
+        values = {r["key"]: r["value"] for r in got.rows.collect()}
+        kept = {r["key"]: r["value"] for r in got.cache.collect()}
+        assert got.rows.count() == len(rows) and kept["old"] == values["old"] == "v" and "none" not in kept
+        assert all(values[k] == v for k, v in kept.items()) and len(kept) == 41
+    failed = {r["key"]: (r["status"], r["attempts"]) for r in got.failed.collect()}
+    assert failed == {f"k{k}": {"never": ("refused", 1), "cut": ("unusable", 2), "down": ("exhausted", 5)}[kinds[k % 7]] for k in range(70) if k % 7 > 3}
+    calls = collections.Counter(f.name.split(".")[0] for f in tmp_path.iterdir())
+    assert calls == {f"k{k}": failed.get(f"k{k}", (0, k % 7 + 1))[1] for k in range(70)}
+    assert len({f.name.split(".")[1] for f in tmp_path.iterdir()}) > 3  # threads of the tasks
+
+
+def test_attempts_wait_longer_up_to_a_cap():
+    waits = []
+
+    class Busy(Exception):
+        retry_after = 0.0
+
+    def call(_):
+        if len(waits) == 3:
+            Busy.retry_after = 5.0
+        raise Busy("x")
+
+    got = providers.attempt(call, "r", providers.Limits(attempts=7, wait=1.0, most_wait=6.0), waits.append)
+    assert got == (None, "exhausted", 7, "Busy: x") and len(waits) == 6
+    assert all(a <= w <= 1.1 * a for a, w in zip((1, 2, 4), waits[:3], strict=True)) and waits[3] == 6.0 and max(waits) == 6.0
+
+
 #: One row of each corpus in the fields of its files, and what the record says.
 CORPUS_ROWS = {
     "pubmedclaim": ({"claim": " c ", "final_decision": "yes", "context": {"labels": ["H", "I"], "contexts": ["x", "y", "z"]}}, "## H\nx\n\n## I\ny", "Supported", "yes"),
