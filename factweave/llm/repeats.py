@@ -30,7 +30,7 @@ from factweave.llm.suffix import repeated
 
 SIZE, ANCHOR = 200, 96
 #: Bytes that are worked on at once: windows of a slice, texts of a run, segments of a shard, and of a group that is one task's.
-SLICE, RUN, SHARD, GROUP = 1 << 17, 4_000_000, 2_000_000, 4_000_000
+SLICE, RUN, SHARD, GROUP = 1 << 17, 2_000_000, 1_000_000, 1_000_000
 #: Windows in a row that share a part of a segment, when its group is dealt again.
 FINER = (16, 1)
 #: Keys of repeated anchors up to which they are broadcast (8 bytes each).
