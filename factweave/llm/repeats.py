@@ -222,7 +222,7 @@ def _grouped(texts: DataFrame, size: int, anchor: int, finer: tuple[int, ...], g
     spark = texts.sparkSession
     texts = stored(texts)
     bytes_of = texts.groupBy("key").agg(F.sum(F.octet_length("part")).alias("size"))
-    large = stored(bytes_of.where(F.col("size") > group).select("key"))
+    large = _kept(bytes_of.where(F.col("size") > group).select("key"))
     total = bytes_of.agg(F.sum("size")).first()[0] or 0
     shards = max(1, spark.sparkContext.defaultParallelism, -(-int(total) // (4 * SHARD)))
     hot = not large.isEmpty()
@@ -273,6 +273,11 @@ def _removed(keep: bool):
 SPANS = "array<struct<begin: long, end: long>>"
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df``, which comes out of a shuffle, stored in no more files than there are cores."""
+    return stored(df.coalesce(df.sparkSession.sparkContext.defaultParallelism))
+
+
 def _bucketed(texts: DataFrame) -> DataFrame:
     """``texts`` written in buckets by ``h``, so that joins on it move only their other side."""
     spark = texts.sparkSession
@@ -303,11 +308,11 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     rows = rows.withColumn("sha", F.sha2("t", 256)).select("id", "t", "sha", F.substring(F.unhex("sha"), 1, 16).alias("h"), F.octet_length("t").cast("long").alias("n_bytes"))
     texts = _bucketed(spread(rows.where(F.col("n_bytes") >= size)).groupBy("h").agg(F.first("t").alias("t"), F.count(F.lit(1)).alias("copies")))
     cut = spread(texts.select("h", "t")).mapInPandas(_cut(size, anchor), "key long, hash long, h binary, begin long, bytes int, gap int, times long")
-    keys = stored(cut.groupBy("key").agg(F.sum("times").alias("n")).where("n > 1").select("key"))
+    keys = _kept(cut.groupBy("key").agg(F.sum("times").alias("n")).where("n > 1").select("key"))
     here = F.broadcast(keys) if keys.count() <= KEYS else keys
     met = stored(cut.join(here, "key", "left_semi"))
     kinds = met.groupBy("key", "hash").agg(F.sum("times").alias("n"), F.min(F.struct("h", "begin")).alias("from"), F.first("bytes").alias("bytes"))
-    kinds = stored(kinds)
+    kinds = _kept(kinds)
     several = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key")
     alone = kinds.join(several, "key", "left_anti").select("key", "hash", _whole(F.col("n"), size).alias("spans"))
     wanted = kinds.join(several, "key", "left_semi").groupBy("from.h").agg(F.collect_list(F.struct("key", "hash", "n", "from.begin", "bytes")).alias("wanted"))
@@ -317,7 +322,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     more = ", kept binary" * keep
     single = texts.where("copies = 1").select("h", "t").join(covered, "h").mapInPandas(_removed(keep), f"h binary, spans {SPANS}, kept_sha256 string{more}")
     full = texts.where("copies > 1").select("h", F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.octet_length("t").cast("long").alias("end"))).alias("spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"), *[F.lit(b"").alias("kept")] * keep)
-    changed = stored(single.unionByName(full))
+    changed = _kept(single.unionByName(full))
     kept = [F.when(F.col("spans").isNull(), F.col("t")).otherwise(F.col("kept")).alias("kept")] * keep
     out = rows.select("id", "h", "n_bytes", "sha", *["t"] * keep).join(changed, "h", "left")
     return out.select("id", "n_bytes", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), *kept)
