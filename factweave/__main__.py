@@ -53,6 +53,7 @@ STAGES: dict[str, Stage] = {
     "decomposed": lambda s, a, t: curation.decomposed(t("input"), t("counts"), t("lists")),
     "select": _select,
     "augment": lambda s, a, t: curation.augmented(t("input"), t("pool")),
+    "compare": lambda s, a, t: curation.comparison(t("input"), t("pool")),
     "report": lambda s, a, t: aggregates.removal_summary(t("before"), t("input")),
     "baseline": lambda s, a, t: t("input").withColumn("prompt", render(BASELINES[a.baseline], claim=F.col("claim"), evidence=F.col("evidence"))),
     "metrics": lambda s, a, t: aggregates.binary_metrics(t("input")),

@@ -8,7 +8,7 @@ result up to the rounding of sums.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -392,17 +392,41 @@ def vendi_of(kernel: np.ndarray) -> float:
     return float(np.exp(-(value * np.log(value)).sum()))
 
 
-def vendi(df: DataFrame, by: list[str], key: str, vec: str, sample: int = 2_000) -> DataFrame:
-    """Vendi score of each group over ``(cosine + 1) / 2``; of a larger group a sample in hash order (the operator's own limit)."""
-    from factweave.operators.sampling import hash_order, take_per_group
+def vendi(df: DataFrame, by: list[str], key: str, vec: str) -> DataFrame:
+    """Vendi score ``(by, vendi, n)`` of each group over ``(cosine + 1) / 2``, exact over all its rows.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = unit(np.stack(pdf.sort_values(key)[vec].to_numpy()).astype(np.float64))
-        return pdf[by].iloc[:1].assign(vendi=vendi_of((x @ x.T + 1) / 2), n=len(x))
+    That kernel is the product of the matrix of rows ``(x, 1) / sqrt(2)`` (``x`` of norm 1) with its transpose, so its
+    eigenvalues are those of the moment matrix of these rows, whose side is the dimension and one. Tasks add up
+    the moments of their rows group by group, the sums of tasks are added row by row of the matrix.
+    """
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: tuple | None = None  # group, its columns, moments, rows
+        out = lambda g: g[1].iloc[[0] * len(g[2])].reset_index(drop=True).assign(i=np.arange(len(g[2])), m=list(g[2]), n=g[3])
+        for pdf in batches:
+            for own, part in pdf.groupby(by, dropna=False, sort=False):
+                x = unit(np.stack(part[vec].to_numpy()).astype(np.float64))
+                z = np.column_stack([x, np.ones(len(x))]) / np.sqrt(2)
+                same = held is not None and all(a == b or a != a and b != b or a is None and b is None for a, b in zip(held[0], own, strict=True))
+                if held is not None and not same:
+                    yield out(held)
+                held = (own, part[by].iloc[:1], z.T @ z + (held[2] if same else 0), len(x) + (held[3] if same else 0))
+        if held is not None:
+            yield out(held)
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[[*by, "i"]].iloc[:1].assign(m=[np.sum(np.stack(pdf["m"].to_numpy()), axis=0)], n=pdf["n"].sum())
+
+    def value(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = int(pdf["n"].iloc[0])
+        v = np.linalg.eigvalsh(np.stack(pdf.sort_values("i")["m"].to_numpy()) / n)
+        v = v[v > 1e-15]
+        return pdf[by].iloc[:1].assign(vendi=float(np.exp(-(v * np.log(v)).sum())), n=n)
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
-    some = take_per_group(df.select(*by, key, vec), by, sample, hash_order(key), key)
-    return some.groupBy(*by).applyInPandas(run, kinds + ", vendi double, n long")
+    rows = df.where(F.col(vec).isNotNull()).select(*by, vec).sortWithinPartitions(*by)
+    sums = rows.mapInPandas(moments, f"{kinds}, i long, m array<double>, n long").groupBy(*by, "i").applyInPandas(add, f"{kinds}, i long, m array<double>, n long")
+    return sums.groupBy(*by).applyInPandas(value, kinds + ", vendi double, n long")
 
 
 def pca_coverage(df: DataFrame, vec: str, chosen: str, bins: int = 50, pad: float = 0.05) -> DataFrame:

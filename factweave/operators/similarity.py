@@ -31,9 +31,9 @@ def _grid(left: DataFrame, right: DataFrame, n_left: int, n_right: int, same: bo
     p, q = max(1, -(-n_left // TILE)), max(1, -(-n_right // TILE))
     if same:
         every = F.explode(F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda t: F.struct(F.least(t, F.col("t")).alias("i"), F.greatest(t, F.col("t")).alias("j"))))
-        return left.withColumn("t", F.pmod(F.xxhash64("key"), F.lit(p)).cast("int")).select("key", "v", F.col("t").alias("side"), every.alias("x")).select("key", "v", "side", "x.*")
-    a = left.select("key", "v", F.lit(0).alias("side"), F.pmod(F.xxhash64("key"), F.lit(p)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(q - 1))).alias("j"))
-    b = right.select("key", "v", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("i"), F.pmod(F.xxhash64("key"), F.lit(q)).cast("int").alias("j"))
+        return left.withColumn("t", F.pmod(F.xxhash64("key"), F.lit(p)).cast("int")).select(*left.columns, F.col("t").alias("side"), every.alias("x")).select(*left.columns, "side", "x.*")
+    a = left.select(*left.columns, F.lit(0).alias("side"), F.pmod(F.xxhash64("key"), F.lit(p)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(q - 1))).alias("j"))
+    b = right.select(*right.columns, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("i"), F.pmod(F.xxhash64("key"), F.lit(q)).cast("int").alias("j"))
     return a.unionByName(b.select(a.columns))
 
 
@@ -72,6 +72,27 @@ def best_similarity(df: DataFrame, refs: DataFrame, key: str, vec: str, ref_key:
     return own.select("key").join(found, "key", "left").select(F.col("key").alias(key), "best")
 
 
+def best_by_group(df: DataFrame, refs: DataFrame, key: str, vec: str, ref_key: str, ref_vec: str, group: str) -> DataFrame:
+    """``(key, group, best)``: each vector's greatest cosine to the references of each group. A reference of several groups is compared once."""
+    own = df.select(F.col(key).cast("long").alias("key"), F.col(vec).alias("v")).where("v IS NOT NULL").withColumn("groups", F.array().cast("array<string>"))
+    ref = refs.where(F.col(ref_vec).isNotNull()).groupBy(F.col(ref_key).cast("long").alias("key")).agg(F.first(ref_vec).alias("v"), F.collect_set(F.col(group).cast("string")).alias("groups"))
+    ref = cut(ref)
+
+    def run(pair: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        out = [pd.DataFrame({"key": [], "g": [], "best": []})]
+        if len(left) and len(right):
+            names = sorted({g for own in right["groups"] for g in own})
+            sim = _unit(left["v"]) @ _unit(right["v"]).T
+            for g in names:
+                has = np.array([g in own for own in right["groups"]])
+                out.append(pd.DataFrame({"key": left["key"].to_numpy(), "g": g, "best": sim[:, has].max(axis=1)}))
+        return pd.concat(out)
+
+    found = _grid(own, ref, own.count(), ref.count(), False).groupBy("i", "j").applyInPandas(run, "key long, g string, best double")
+    return found.groupBy("key", "g").agg(F.max("best").alias("best")).select(F.col("key").alias(key), F.col("g").alias(group), "best")
+
+
 def earlier_links(own: DataFrame, threshold: float) -> DataFrame:
     """``(key, before, links)``: for each key of ``own(key, v)`` with a partner of cosine at the threshold, the number of earlier partners and of all; no pair leaves a task."""
 

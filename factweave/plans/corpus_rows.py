@@ -1,53 +1,68 @@
-"""A literal row of each corpus for each of its labels, and the records that they stand for."""
+"""The claims of the given tables in the fields of each corpus, and the records that its reader makes of them."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factweave.operators.filters import MAX_WORDS
 from factweave.sources import corpora
 
-#: Schema, row as JSON (``@`` is the label), evidence, labels that mean supported and refuted, and one that drops the row.
-ROWS = {
-    "pubmedclaim": ("claim string, final_decision string, context struct<labels: array<string>, contexts: array<string>>", '{"claim": " c ", "final_decision": "@", "context": {"labels": ["H", "I"], "contexts": ["x", "y", "z"]}}', "## H\nx\n\n## I\ny", ("yes",), ("no",), ("maybe",)),
-    "claimdecomp": ("claim string, label string, justification string", '{"claim": "c", "label": "@", "justification": " e "}', "e", ("true",), ("barely-true", "false", "pants-fire"), ("mostly-true", "half-true")),
-    "wice": ("claim string, label string, evidence array<string>", '{"claim": "c", "label": "@", "evidence": ["a", "b"]}', "a\nb", ("supported",), ("not_supported",), ("partially_supported",)),
-    "scifact": ("claim string, evidence_label string, evidence string", '{"claim": "c", "evidence_label": "@", "evidence": "e"}', "e", ("SUPPORT",), ("CONTRADICT",), ("",)),
-    "matter_of_fact": ("claim_text string, gold_label boolean, metadata struct<supporting_facts_from_paper: array<string>>", '{"claim_text": "c", "gold_label": @, "metadata": {"supporting_facts_from_paper": ["a", "b"]}}', "a\nb", ("true",), ("false",), ()),
-    "ex_fever": ("claim string, label string, `golden entity` string, mention string, `result entity` string", '{"claim": "c", "label": "@", "golden entity": "[\'New_York\']", "result entity": "[\'rome\', \'nowhere\']"}', "ny\nr", ("SUPPORT",), ("REFUTE",), ("NOT ENOUGH INFO",)),
-    "healthver": ("claim string, label string, evidence string", '{"claim": "c", "label": "@", "evidence": "e"}', "e", ("Supports",), ("Refutes",), ("Neutral",)),
-    "pubhealthfact": ("claim string, label long, main_text string", '{"claim": "c", "label": @, "main_text": "m"}', "m", ("0",), ("1",), ("2", "-1")),
-    "fever": ("sent1 string, sent2 string, label string", '{"sent1": "e", "sent2": "c", "label": "@"}', "e", ("entailment",), ("not_entailment",), ("neutral",)),
-    "covidfact": ("sent1 string, sent2 string, label string", '{"sent1": "e", "sent2": "c", "label": "@"}', "e", ("entailment",), ("not_entailment",), ("neutral",)),
-    "fool_me_twice": ("text string, label string, retrieved_evidence array<struct<section_header: string, text: string>>", '{"text": "c", "label": "@", "retrieved_evidence": [{"section_header": "h", "text": "t"}, {"section_header": "i", "text": "u"}]}', "## h\nt\n\n## i\nu", ("SUPPORTS",), ("REFUTES",), ("NEI",)),
-    "coverbench": ("claim string, label boolean, context string", '{"claim": "c", "label": @, "context": "x y"}', "x y", ("true",), ("false",), ()),
-    "llmaggrefact": ("claim string, label long, doc string", '{"claim": "c", "label": @, "doc": "d"}', "d", ("1",), ("0",), ("2",)),
-    "pubhealthtab": ("claim string, label string, evidence string", '{"claim": "c", "label": "@", "evidence": "| a |"}', "| a |", ("SUPPORTS",), ("REFUTES",), ("NOT ENOUGH INFO",)),
-    "faviq_a_set": ("claim string, label string, evidence string", '{"claim": "c", "label": "@", "evidence": "e"}', "e", ("SUPPORTS",), ("REFUTES",), ("other",)),
-    "faviq_r_set": ("claim string, label string, evidence string", '{"claim": "c", "label": "@", "evidence": "e"}', "e", ("SUPPORTS",), ("REFUTES",), ("other",)),
-    "snopes": ("claim string, rate string, origin string", '{"claim": "c", "rate": "@", "origin": "o"}', "o", ("True",), ("False",), ("Mostly True",)),
-    "uphill": ("claim string, claim_veracity string, main_text string", '{"claim": "c", "claim_veracity": "@", "main_text": "m"}', "m", ("true",), ("false",), ("mixture",)),
-    "ambifc": ("claim string, labels struct<passage: string>, sentences map<string, string>", '{"claim": "c", "labels": {"passage": "@"}, "sentences": {"0": "x", "1": "y"}}', "x\ny", ("supporting",), ("refuting",), ("neutral",)),
-    "hover": ("claim string, label string, evidence string", '{"claim": "c", "label": "@", "evidence": "e"}', "e", ("supports",), ("refutes",), ("other",)),
-    "feverous": ("claim string, label string, evidence string", '{"claim": "c", "label": "@", "evidence": "e"}', "e", ("supports",), ("refutes",), ("not enough info",)),
-    "scitab": ("claim string, label string, table_caption string, table_column_names array<string>, table_content_values array<array<string>>", '{"claim": "c", "label": "@", "table_caption": "T ", "table_column_names": ["a", "b"], "table_content_values": [["1", "long"], ["2", "3"]]}', "T| a   | b    |\n| --- | ---- |\n| 1   | long |\n| 2   | 3    |", ("supports",), ("refutes",), ("not enough info",)),
+SAME = {"claim": "claim", "label": "L", "evidence": "evidence"}
+PAIR = {"sent1": "evidence", "sent2": "claim", "label": "L"}
+TABLE = (
+    "'T| ' || rpad('a', w1, ' ') || ' | ' || rpad('b', w2, ' ') || ' |' || chr(10) || '| ' || repeat('-', w1) || ' | ' || repeat('-', w2) || ' |' || chr(10)"
+    " || '| ' || rpad(src, w1, ' ') || ' | ' || rpad(lang, w2, ' ') || ' |'"
+)
+#: Fields of a corpus as expressions of a claim (``L``: its label there), the evidence in SQL, and the labels that mean supported, refuted, and neither.
+FIELDS = {
+    "pubmedclaim": ({"claim": "concat(' ', claim, ' ')", "final_decision": "L", "context": "named_struct('labels', array('H', 'I'), 'contexts', array(evidence, src, lang))"}, "'## H' || chr(10) || evidence || chr(10) || chr(10) || '## I' || chr(10) || src", ("yes",), ("no",), ("maybe",)),
+    "claimdecomp": ({"claim": "claim", "label": "L", "justification": "concat(' ', evidence, ' ')"}, "evidence", ("true",), ("barely-true", "false", "pants-fire"), ("mostly-true", "half-true")),
+    "wice": ({"claim": "claim", "label": "L", "evidence": "array(evidence, src)"}, "evidence || chr(10) || src", ("supported",), ("not_supported",), ("partially_supported",)),
+    "scifact": ({"claim": "claim", "evidence_label": "L", "evidence": "evidence"}, "evidence", ("SUPPORT",), ("CONTRADICT",), ("",)),
+    "matter_of_fact": ({"claim_text": "claim", "gold_label": "L = 'true'", "metadata": "named_struct('supporting_facts_from_paper', array(evidence, src))"}, "evidence || chr(10) || src", ("true",), ("false",), ()),
+    "ex_fever": ({"claim": "claim", "label": "L", "golden entity": "concat('[\\'', upper(src), '\\']')", "mention": "CAST(NULL AS STRING)", "result entity": "'[\\'nowhere\\']'"}, "'page of ' || src", ("SUPPORT",), ("REFUTE",), ("NOT ENOUGH INFO",)),
+    "healthver": (SAME, "evidence", ("Supports",), ("Refutes",), ("Neutral",)),
+    "pubhealthfact": ({"claim": "claim", "label": "CAST(L AS BIGINT)", "main_text": "evidence"}, "evidence", ("0",), ("1",), ("2", "-1")),
+    "fever": (PAIR, "evidence", ("entailment",), ("not_entailment",), ("neutral",)),
+    "covidfact": (PAIR, "evidence", ("entailment",), ("not_entailment",), ("neutral",)),
+    "fool_me_twice": ({"text": "claim", "label": "L", "retrieved_evidence": "array(named_struct('section_header', src, 'text', evidence), named_struct('section_header', 'i', 'text', lang))"}, "'## ' || src || chr(10) || evidence || chr(10) || chr(10) || '## i' || chr(10) || lang", ("SUPPORTS",), ("REFUTES",), ("NEI",)),
+    "coverbench": ({"claim": "claim", "label": "L = 'true'", "context": "evidence"}, "evidence", ("true",), ("false",), ()),
+    "llmaggrefact": ({"claim": "claim", "label": "CAST(L AS BIGINT)", "doc": "evidence"}, "evidence", ("1",), ("0",), ("2",)),
+    "pubhealthtab": (SAME, "evidence", ("SUPPORTS",), ("REFUTES",), ("NOT ENOUGH INFO",)),
+    "faviq_a_set": (SAME, "evidence", ("SUPPORTS",), ("REFUTES",), ("other",)),
+    "faviq_r_set": (SAME, "evidence", ("SUPPORTS",), ("REFUTES",), ("other",)),
+    "snopes": ({"claim": "claim", "rate": "L", "origin": "evidence"}, "evidence", ("True",), ("False",), ("Mostly True",)),
+    "uphill": ({"claim": "claim", "claim_veracity": "L", "main_text": "evidence"}, "evidence", ("true",), ("false",), ("mixture",)),
+    "ambifc": ({"claim": "claim", "labels": "named_struct('passage', L)", "sentences": "map('0', evidence, '1', src)"}, "evidence || chr(10) || src", ("supporting",), ("refuting",), ("neutral",)),
+    "hover": (SAME, "evidence", ("supports",), ("refutes",), ("other",)),
+    "feverous": (SAME, "evidence", ("supports",), ("refutes",), ("not enough info",)),
+    "scitab": ({"claim": "claim", "label": "L", "table_caption": "' T '", "table_column_names": "array('a', 'b')", "table_content_values": "array(array(src, lang))"}, TABLE, ("supports",), ("refutes",), ("not enough info",)),
 }
 
 
-def records(spark: SparkSession) -> DataFrame:
-    """The claim records of all literal rows."""
-    kb = spark.createDataFrame([("new york", "ny"), ("Rome", "r")], "id string, text string")
+def records(claims: DataFrame) -> DataFrame:
+    """Each of ``claims(ord, claim, evidence, src, lang)`` as a row of every corpus, read as a claim record. The labels of a corpus go round."""
+    kb = claims.select(F.regexp_replace("src", "_", " ").alias("id"), F.concat(F.lit("page of "), "src").alias("text")).distinct()
     parts = []
-    for name, (schema, row, _, *labels) in ROWS.items():
-        given = spark.createDataFrame([(row.replace("@", x),) for part in labels for x in part], "v string").select(F.from_json("v", schema).alias("x")).select("x.*")
-        parts.append(corpora.normalize(given, name, kb))
+    for name, (fields, _, *labels) in FIELDS.items():
+        known = [x for part in labels for x in part]
+        own = claims.withColumn("L", F.get(F.array(*map(F.lit, known)), (F.col("ord") % len(known)).cast("int")))
+        parts.append(corpora.normalize(own.select(*[F.expr(e).alias(c) for c, e in fields.items()]), name, kb))
     return reduce(DataFrame.unionByName, parts).select("src", "claim", "evidence", "label", "orig_label")
 
 
-def records_sql() -> str:
-    """The records as literal values."""
-    quoted = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-    values = [(name, "c", evidence, verdict, x) for name, (_, _, evidence, yes, no, _) in ROWS.items() for verdict, part in (("Supported", yes), ("Refuted", no)) for x in part]
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(quoted, v)) + ")" for v in values) + ") AS t(src, claim, evidence, label, orig_label)"
+def records_sql(words: str) -> str:
+    """The same over the table expression ``claims``; ``words`` counts the words of the evidence."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = []
+    for name, (_, evidence, yes, no, other) in FIELDS.items():
+        known, more = [*yes, *no, *other], f" AND {words} <= {MAX_WORDS}" if name == "coverbench" else ""
+        member = lambda xs: f"L IN ({', '.join(map(quoted, xs))})"
+        parts.append(
+            f"SELECT '{name}' AS src, claim, {evidence} AS evidence, CASE WHEN {member(yes)} THEN 'Supported' ELSE 'Refuted' END AS label, L AS orig_label"
+            f" FROM (SELECT *, [{', '.join(map(quoted, known))}][ord % {len(known)} + 1] AS L FROM w) WHERE {member([*yes, *no])}{more}"
+        )
+    return ", w AS (SELECT *, CAST(greatest(3, length(src)) AS INT) AS w1, CAST(greatest(3, length(lang)) AS INT) AS w2 FROM claims)\n" + "\nUNION ALL\n".join(parts)

@@ -108,13 +108,10 @@ def augmented(chosen: DataFrame, pool: DataFrame, c: Config = Config()) -> DataF
 def comparison(chosen: DataFrame, pool: DataFrame, key: str = "ord", vec: str = "embedding") -> DataFrame:
     """A row per selection of ``chosen(method, key, src, label, vec)``: rows, source entropy, label balance, mean cosine distance, Vendi score, mean distance of the pool to its nearest chosen row, and the items common to all."""
     out = method_report(chosen, "method", "src", "label").join(similarity.avg_cosine_distance(chosen, vec, ["method"]), "method").join(selection.vendi(chosen, ["method"], key, vec).select("method", "vendi"), "method")
-    far = None
-    for r in chosen.select("method").distinct().collect():  # a handful of methods
-        best = similarity.best_similarity(pool, chosen.where(F.col("method") == r["method"]), key, vec, key, vec)
-        one = best.agg(F.avg(1 - F.col("best")).alias("pool_distance")).withColumn("method", F.lit(r["method"]))
-        far = one if far is None else far.unionByName(one)
+    best = similarity.best_by_group(pool, chosen, key, vec, key, vec, "method")
+    far = best.groupBy("method").agg(F.avg(1 - F.col("best")).alias("pool_distance"))
     common = common_items(chosen, key, "method").agg(F.count(F.lit(1)).alias("common"))
-    return out.join(far, "method").crossJoin(F.broadcast(common)) if far is not None else out.withColumns({"pool_distance": F.lit(None).cast("double"), "common": F.lit(0).cast("long")})
+    return out.join(far, "method").crossJoin(F.broadcast(common))
 
 
 def report(steps: list[tuple[str, DataFrame]]) -> DataFrame:

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from factweave.functions import tags, text
 from factweave.functions.prompts import TASKS, render
 from factweave.functions.tables import table_markdown
-from factweave.operators import aggregates, dedup, filters, judgelog, providers, records, rewards, sampling, selection, similarity
+from factweave.operators import aggregates, dedup, density, filters, judgelog, layout, providers, records, rewards, sampling, selection, similarity
 from factweave.plans import corpus_rows, curation, qacheck
 from factweave.plans.checkpoint import run_folder
+from factweave.sources import local_files
 from factweave.streaming import judge_ingest as judge_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -374,6 +375,50 @@ def vendi(spark, sf):
     return selection.vendi(vectors(spark, sf), ["label"], "vec_id", "embedding")
 
 
+PAIRS = """
+WITH d AS (SELECT a.label, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS distance FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id),
+s AS (SELECT label, min(distance) AS low, stddev_samp(distance) * pow(count(*), -0.2) / 64 AS width FROM d GROUP BY 1)
+SELECT label, CAST(floor((distance - low) / width) AS BIGINT) AS bin, count(*) AS n FROM d JOIN s USING (label) GROUP BY 1, 2
+"""
+
+
+def pair_distances(spark, sf) -> DataFrame:
+    """The distances of up to 100,000 pairs of each label (the plot's own limit)."""
+    return similarity.sampled_distances(vectors(spark, sf), "vec_id", "embedding", ["label"]).select("label", F.round("distance", 9).alias("distance"))
+
+
+@query(PAIRS)
+def distance_bins(spark, sf):
+    return density.binned(pair_distances(spark, sf), ["label"], "distance").select("label", "bin", "n")
+
+
+@query()
+def distance_density(spark, sf):
+    return density.density(pair_distances(spark, sf), ["label"], "distance")
+
+
+@query()
+def neighbour_graph(spark, sf):
+    return layout.neighbours(vectors(spark, sf), "vec_id", "embedding")
+
+
+@query()
+def tsne_layout(spark, sf):
+    """All vectors, laid out and marked with the selections that chose them."""
+    e = vectors(spark, sf)
+    picked = [selection.select(e, m, ["label"], "vec_id", "embedding", 10).select("vec_id", F.lit(m).alias("method")) for m in ("farthest", "kmeans", "facility")]
+    member = aggregates.membership(picked[0].unionByName(picked[1]).unionByName(picked[2]), "vec_id", "method", ["farthest", "kmeans", "facility"])
+    return layout.tsne(e, "vec_id", "embedding").withColumnRenamed("id", "vec_id").join(member, "vec_id", "left")
+
+
+@query()
+def selection_comparison(spark, sf):
+    """Three selections of the vectors side by side, each against all vectors."""
+    e = vectors(spark, sf).select(F.col("vec_id").alias("ord"), F.col("label").cast("string").alias("src"), (F.col("label") % 2).cast("string").alias("label"), "embedding")
+    picked = [selection.select(e, m, ["src"], "ord", "embedding", 10).withColumn("method", F.lit(m)) for m in ("farthest", "kmeans", "facility")]
+    return curation.comparison(picked[0].unionByName(picked[1]).unionByName(picked[2]), e)
+
+
 @query()
 def pca_coverage(spark, sf):
     return selection.pca_coverage(vectors(spark, sf).withColumn("chosen", F.col("label") < 3), "embedding", "chosen")
@@ -799,6 +844,25 @@ def cache_misses(spark, sf):
     return records.misses(d, d.where("key % 3 = 0"), "key")
 
 
+@query("SELECT doc_id, source, n_chars FROM documents WHERE n_chars >= 200 AND source IN (SELECT DISTINCT source FROM documents WHERE lang = 'en')")
+def sqlite_scan(spark, sf):
+    """Documents as databases, one for each partition, read again in ranges of row ids; long documents of the sources that have English ones."""
+    local_files.register(spark)
+    folder, d = run_folder(spark), read(spark, sf, "documents")
+    local_files.write_sqlite_parts(d.select("doc_id", "source", "n_chars"), folder, "documents")
+    own = spark.read.format("sqlite").option("path", folder).option("table", "documents").option("rows", 1_000).load()
+    return own.where("n_chars >= 200").join(d.where("lang = 'en'").select("source").distinct(), "source", "left_semi").select("doc_id", "source", "n_chars")
+
+
+@query("SELECT vec_id, label, len(embedding) AS n, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings WHERE label > 2")
+def npz_scan(spark, sf):
+    """Vectors as numpy archives, one for each partition, read again in slabs."""
+    local_files.register(spark)
+    folder = run_folder(spark)
+    local_files.write_npz_parts(vectors(spark, sf).select("vec_id", "label", "embedding"), folder)
+    return spark.read.format("npz").option("path", folder).option("rows", 100).load().where("label > 2").select("vec_id", F.col("label").cast("int").alias("label"), F.size("embedding").cast("long").alias("n"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("total"))
+
+
 @query("""
 SELECT doc_id AS key, CASE WHEN doc_id % 17 <> 0 AND doc_id % 19 <> 0 THEN upper(source) END AS value,
        CASE WHEN doc_id % 17 = 0 THEN 'refused' WHEN doc_id % 19 = 0 THEN 'exhausted' ELSE 'ok' END AS status,
@@ -896,10 +960,10 @@ def html_to_markdown(spark, sf):
     return read(spark, sf, "documents").select("doc_id", table_markdown(page).alias("markdown"))
 
 
-@query(corpus_rows.records_sql())
+@query(with_base(corpus_rows.records_sql(f"len({words_sql('evidence')})")))
 def corpus_records(spark, sf):
-    """Literal rows of all corpora, for each of their labels, as claim records."""
-    return corpus_rows.records(spark)
+    """Every claim in the fields of each corpus, with the corpus's labels in turn, as claim records."""
+    return corpus_rows.records(claims(spark, sf).select("ord", "claim", "evidence", "src", "lang"))
 
 
 @query()
@@ -915,7 +979,7 @@ def curation_plan(spark, sf):
     scores = own.select(providers.pair_key(F.col("evidence"), F.col("claim")).alias("key")).distinct().select("key", (digits(F.col("key"), 0) / 65536).alias("prob"))
     hashed = F.sha2("claim", 256)
     vec = own.select("claim").unionByName(tests.select("claim")).distinct().select("claim", F.array(*[digits(hashed, k) / 32768 - 1 for k in range(16)]).alias("embedding"))
-    lists = own.select("claim", F.transform(F.slice(text.words("claim"), 1, 4), lambda w: F.concat(w, F.lit("?"))).alias("decomposed_questions")).distinct()
+    lists = own.select("claim", F.transform(text.words("claim"), lambda w: F.concat(w, F.lit("?"))).alias("decomposed_questions")).distinct()
     counts = lists.select("claim", F.size("decomposed_questions").alias("num_of_questions"))
     kept = curation.scored(curation.entities(curation.rules(own), names), scores)
     kept = curation.decomposed(curation.semantic(kept, vec, tests), counts, lists)

@@ -56,7 +56,8 @@ def _with_pages(df: DataFrame, kb: DataFrame | None) -> DataFrame:
     """Entities of three list-literal columns, looked up in the knowledge base ``id, text``."""
     names = ("golden entity", "mention", "result entity")
     staged = df.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).withColumn("__entities", F.concat(*[python_list(F.col(f"`{c}`")) for c in names]))
-    return entity_evidence(staged, kb, "__row", "__entities", "id", "text").drop("__row", "__entities")
+    once = entity_evidence(staged.select("__row", "__entities").dropDuplicates(["__row"]), kb, "__row", "__entities", "id", "text")  # rows that repeat share their evidence
+    return staged.join(once.select("__row", "evidence"), "__row", "left").drop("__row", "__entities")
 
 
 #: Files, labels and fields of each corpus; rows with other labels are dropped.
