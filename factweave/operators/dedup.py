@@ -14,8 +14,10 @@ from factweave.operators.components import components
 from factweave.operators.records import first_by
 from factweave.plans.checkpoint import cut, stored
 
-#: Fixed value: the Jaccard threshold. Bands of rows for candidates: a pair at the threshold is missed with probability 0.0004, one of unrelated texts (0.2) is compared with probability 0.004.
-THRESHOLD, BANDS, ROWS = 0.7, 64, 6
+#: Fixed value: the Jaccard threshold.
+THRESHOLD = 0.7
+#: Counters of the sketch that orders words by how rare they are; their number bounds what the driver holds and sends.
+COUNTERS = 1 << 20
 #: Groups of links up to so many are walked in one task; larger ones take rounds over all links.
 WALK = 200_000
 #: Dense groups are thinned while their candidate pairs are so many times the rows, and rounds take a hundredth of the rows at least.
@@ -36,33 +38,57 @@ def word_sets(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.array_sort(word_set(text)).alias("w"))
 
 
-def signatures(sets: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``(key, n, bands)``: the size of each set of ``sets(key, w)`` and hashes of the bands of its min-hashes. Empty sets have none."""
-    random = np.random.default_rng(1)
-    a = random.integers(1, 1 << 63, bands * rows, dtype=np.uint64) | np.uint64(1)
-    b = random.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
+def rarity(sets: list[DataFrame], counters: int = COUNTERS) -> np.ndarray:
+    """How many rows of the tables ``sets(key, w)`` hold a word of each slot (its hash modulo ``counters``); never less than a word of the slot has."""
+    slot = lambda df: df.select(F.explode("w").alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(counters)).alias("slot"))
+    held = slot(sets[0])
+    for df in sets[1:]:
+        held = held.unionByName(slot(df))
+    got = held.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    out = np.zeros(counters, np.int32)
+    out[got["slot"].to_numpy(np.int64)] = np.minimum(got["n"].to_numpy(np.int64), (1 << 31) - 1)
+    return out
+
+
+def shortest(n: int, threshold: float) -> int:
+    """How many of a set's rarest words a set of similarity ``threshold`` or more must share one of."""
+    return n - int(np.ceil(round(threshold * n, 9))) + 1 if n else 0
+
+
+def listed(sets: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
+    """``(key, n, h, heads)`` of ``sets(key, w)``: the word hashes, rarest first, and of the first ones ``(word, at)``, the words by which the row is listed.
+
+    Words are in one order for all rows, so of two sets of similarity ``threshold`` or more the first word that they share
+    is among the first ``shortest`` of both. Which order it is only decides how long the lists are, so
+    counts of slots do. Words that no other row holds are not listed. Empty sets have no words.
+    """
+    sent = sets.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = sent.value
         for pdf in batches:
-            out = []
-            for h in pdf["h"]:
-                x = np.asarray(h, np.int64).view(np.uint64)
-                low = np.full(bands * rows, np.uint64(1 << 63))
-                for at in range(0, len(x), 1024):  # multiply and shift, modulo 2**64
-                    low = np.minimum(low, ((a[:, None] * x[at : at + 1024][None, :] + b[:, None]) >> np.uint64(32)).min(axis=1))
-                out.append(low.view(np.int64))
-            yield pd.DataFrame({"key": pdf["key"], "n": pdf["n"], "low": out})
+            size = pdf["h"].map(len).to_numpy(np.int64)
+            flat = np.concatenate([*pdf["h"], np.empty(0, np.int64)]).astype(np.int64)
+            n = held[flat % len(held)]  # of a negative hash the same as pmod
+            owner = np.repeat(np.arange(len(pdf)), size)
+            order = np.lexsort((flat, n, owner))
+            flat, n = flat[order], n[order]
+            ends = np.cumsum(size)
+            words, heads = [], []
+            for i, j in zip((ends - size).tolist(), ends.tolist(), strict=True):
+                own = np.flatnonzero(n[i : i + shortest(j - i, threshold)] > 1)
+                words.append(flat[i:j])
+                heads.append([{"word": w, "at": k} for w, k in zip(flat[i + own].tolist(), own.tolist(), strict=True)])
+            yield pd.DataFrame({"key": pdf["key"], "n": size.astype(np.int32), "h": words, "heads": heads})
 
     kind = sets.schema["key"].dataType.simpleString()
-    hashed = sets.select("key", F.size("w").alias("n"), F.transform("w", lambda w: F.xxhash64(w)).alias("h")).where("n > 0")
-    low = hashed.mapInPandas(run, f"key {kind}, n int, low array<long>")
-    band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.slice("low", k * rows + 1, rows)))
-    return low.select("key", "n", band.alias("bands"))
+    hashed = sets.select("key", F.transform("w", lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") > 0)
+    return hashed.mapInPandas(run, f"key {kind}, n int, h array<long>, heads array<struct<word: long, at: int>>")
 
 
-def banded(signed: DataFrame) -> DataFrame:
-    """``(key, n, band)``: a row for each band."""
-    return signed.select("key", "n", F.explode("bands").alias("band"))
+def heads(rows: DataFrame) -> DataFrame:
+    """``(key, n, word, at)``: a row for each word by which a row is listed."""
+    return rows.select("key", "n", F.explode("heads").alias("x")).select("key", "n", "x.word", "x.at")
 
 
 def jaccard(a: str, b: str) -> Column:
@@ -71,26 +97,38 @@ def jaccard(a: str, b: str) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def may_reach(threshold: float, na: str = "na", pa: str = "pa", nb: str = "nb", pb: str = "pb") -> Column:
+    """Whether sizes and the places (from 0) of the first common word allow the threshold: the sets share that word and what is behind it at most."""
+    na, pa, nb, pb = (F.col(c) for c in (na, pa, nb, pb))
+    sizes = (na >= threshold * nb - 1e-9) & (nb >= threshold * na - 1e-9)
+    return sizes & (F.least(na - pa, nb - pb) >= (na + nb) * (threshold / (1 + threshold)) - 1e-9)
+
+
 def verified(cand: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """``(a, b, jaccard)`` of the candidate pairs ``cand(a, b)`` whose sets reach the threshold."""
-    got = cand.join(left.withColumnsRenamed({"key": "a", "w": "wa"}), "a").join(right.withColumnsRenamed({"key": "b", "w": "wb"}), "b")
+    """``(a, b, jaccard)`` of the candidate pairs ``cand(a, b)`` whose sets ``(key, h)`` reach the threshold."""
+    got = cand.join(left.select(F.col("key").alias("a"), F.col("h").alias("wa")), "a").join(right.select(F.col("key").alias("b"), F.col("h").alias("wb")), "b")
     return got.select("a", "b", jaccard("wa", "wb").alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
-def candidates(bands: DataFrame, others: DataFrame, threshold: float, same: bool) -> DataFrame:
-    """``(a, b)``: pairs that share a band and whose sizes allow the threshold; ``same``: ``a < b``."""
-    cand = bands.withColumnsRenamed({"key": "a", "n": "na"}).join(others.withColumnsRenamed({"key": "b", "n": "nb"}), "band")
-    cand = cand.where((F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na")))
+def candidates(left: DataFrame, right: DataFrame, threshold: float, same: bool) -> DataFrame:
+    """``(a, b)``: pairs of listed rows that share a listed word and whose sizes and places allow the threshold; ``same``: ``a < b``.
+
+    A pair passes at least at its first common word, where the bound holds for all that it shares. Long lists are split by the join.
+    """
+    cand = heads(left).withColumnsRenamed({"key": "a", "n": "na", "at": "pa"}).join(heads(right).withColumnsRenamed({"key": "b", "n": "nb", "at": "pb"}), "word")
+    cand = cand.where(may_reach(threshold))
     return (cand.where("a < b") if same else cand).select("a", "b").distinct()
 
 
 def jaccard_pairs(left: DataFrame, right: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
-    """``(a, b, jaccard)`` of word sets of two tables at the threshold or over it.
+    """``(a, b, jaccard)`` of all word sets of two tables at the threshold or over it (words by 64-bit hashes).
 
     Sets are written once, since both sides of the joins read them.
     """
     own, other = stored(word_sets(left, key, text)), stored(word_sets(right, key, text))
-    return verified(candidates(banded(signatures(own)), banded(signatures(other)), threshold, False), own, other, threshold)
+    counts = rarity([own, other])
+    own, other = (stored(listed(df, counts, threshold)) for df in (own, other))
+    return verified(candidates(own, other, threshold, False), own, other, threshold)
 
 
 def greedy_keep(nodes: DataFrame, pairs: DataFrame, key: str = "ord", walk: int = WALK) -> DataFrame:
@@ -130,38 +168,40 @@ def greedy_keep(nodes: DataFrame, pairs: DataFrame, key: str = "ord", walk: int
     return nodes.select(key).join(lost, F.col(key) == F.col("lost"), "left_anti")
 
 
-def thinned(sets: DataFrame, signed: DataFrame, threshold: float, dense: int = DENSE, few: float = FEW) -> tuple[DataFrame, DataFrame]:
-    """Keys that the pass drops because of the first of a dense group, and the signatures that are still to be decided.
+def thinned(rows: DataFrame, threshold: float, dense: int = DENSE, few: float = FEW) -> tuple[DataFrame, DataFrame]:
+    """Keys that the pass drops because of the first of a dense group, and the listed rows that are still to be decided.
 
-    A key that is the smallest of all bands it is in has no earlier candidate, so it is kept,
-    and it is compared with the members of its bands, one comparison a member instead
-    of one a pair. This goes on while bands hold many times more pairs than rows.
+    A key that is the smallest of all lists it is in has no earlier partner, so it is kept,
+    and it is compared with the members of its lists, one comparison a member instead
+    of one a pair. This goes on while lists hold many times more pairs than rows.
     """
-    lost = cut(signed.select(F.col("key").alias("lost")).where("1 = 0"))
+    lost = cut(rows.select(F.col("key").alias("lost")).where("1 = 0"))
+    left = rows
     while True:
-        bands = banded(signed)
-        low = bands.groupBy("band").agg(F.min("key").alias("low"), F.count(F.lit(1)).alias("m")).where("m > 1")
+        words = heads(left)
+        low = words.groupBy("word").agg(F.min(F.struct("key", "n", "at")).alias("low"), F.count(F.lit(1)).alias("m")).where("m > 1")
         load = low.agg(F.sum(F.col("m").cast("double") * (F.col("m") - 1) / 2).alias("pairs"), F.sum("m").alias("rows")).first()
         if not load["rows"] or load["pairs"] <= dense * load["rows"]:
-            return lost, signed
-        shared = cut(bands.join(low.select("band", "low"), "band"))
-        later = shared.where("key > low")
-        first = shared.where("key = low").select("key").distinct().join(later.select("key").distinct(), "key", "left_anti")
-        cand = later.join(first.select(F.col("key").alias("low")), "low", "left_semi").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()
-        gone = cut(verified(cand, sets, sets, threshold).select(F.col("b").alias("lost")).distinct())
+            return lost, left
+        shared = words.join(low.select("word", F.col("low.key").alias("a"), F.col("low.n").alias("na"), F.col("low.at").alias("pa")), "word")
+        later = cut(shared.where("key > a").groupBy(F.col("key").alias("b"), "a").agg(F.max(may_reach(threshold, nb="n", pb="at")).alias("may")))
+        first = cut(low.select("low.key").distinct().join(later.select(F.col("b").alias("key")).distinct(), "key", "left_anti"))
+        cand = later.where("may").join(first.select(F.col("key").alias("a")), "a", "left_semi").select("a", "b")
+        gone = cut(verified(cand, rows, rows, threshold).select(F.col("b").alias("lost")).distinct())
         decided = gone.unionByName(first.select(F.col("key").alias("lost"))).distinct()
-        signed = stored(signed.join(decided, F.col("key") == F.col("lost"), "left_anti"))
+        left = stored(left.join(decided, F.col("key") == F.col("lost"), "left_anti"))
         lost = cut(lost.unionByName(gone))
-        if gone.count() < few * shared.select("key").distinct().count():
-            return lost, signed
+        if gone.count() < few * later.select("b").distinct().count():
+            return lost, left
 
 
 def jaccard_dedup(df: DataFrame, text: str = "claim", key: str = "ord", threshold: float = THRESHOLD) -> DataFrame:
     """Rows kept by a pass in key order that drops a row similar to a kept one. Rows with equal word sets keep the first; rows without words stay."""
     rows = stored(word_sets(df, key, text)).where(F.size("w") > 0)  # behind the write, else the filter works out each set once more
     firsts = stored(rows.groupBy(F.sha2(F.array_join("w", " "), 256).alias("set")).agg(F.min_by(F.struct("key", "w"), "key").alias("r")).select("r.*"))
-    lost, signed = thinned(firsts, stored(signatures(firsts)), threshold)
-    pairs = verified(candidates(banded(signed), banded(signed), threshold, True), firsts, firsts, threshold)
+    sets = stored(listed(firsts, rarity([firsts]), threshold))
+    lost, left = thinned(sets, threshold)
+    pairs = verified(candidates(left, left, threshold, True), sets, sets, threshold)
     keep = greedy_keep(firsts.select("key").join(lost, F.col("key") == F.col("lost"), "left_anti"), pairs, "key")
     gone = rows.select("key").join(keep, "key", "left_anti").withColumnRenamed("key", "__gone")
     return df.join(gone, F.col(key) == F.col("__gone"), "left_anti")

@@ -199,11 +199,9 @@ SELECT unnest(kept) AS {key} FROM walk WHERE i = (SELECT max(i) FROM n)
 
 
 @query(f"""
-WITH w AS (SELECT doc_id, list_distinct({words_sql('lower(text)')}) AS s FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, list_distinct({words_sql('lower(text)')}) AS s FROM documents),
 x AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.s, b.s)) AS n, len(a.s) AS p, len(b.s) AS q FROM w a JOIN w b ON a.doc_id < b.doc_id AND len(a.s) >= 0.7 * len(b.s) AND len(b.s) >= 0.7 * len(a.s)),
-pr AS (SELECT a, b FROM x WHERE n / (p + q - n) >= 0.7)
-SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM pr WHERE pr.b = d.doc_id)
-""")
+""" + greedy_sql("SELECT doc_id FROM documents", "SELECT a, b FROM x WHERE n / (p + q - n) >= 0.7", "doc_id").lstrip())
 def jaccard_dedup(spark, sf):
     return dedup.jaccard_dedup(read(spark, sf, "documents"), "text", "doc_id").select("doc_id")
 

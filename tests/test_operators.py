@@ -622,4 +622,34 @@ def test_stages_by_command(spark, tmp_path, corpus_root):
     assert spark.read.json(path("metrics")).first()["total_samples"] == 10
     with pytest.raises(SystemExit):
         main(["entities", "--input", path("in"), "--output", path("none")], spark)
-    assert len(STAGES) == 13
+    assert {"rules", "select", "compare", "ingest"} <= set(STAGES) and len(STAGES) == 15
+
+
+def test_jaccard_chain_keeps_what_the_pass_keeps(spark):
+    """B is like A and like C, A and C are not alike: the pass keeps A and C."""
+    words = [f"w{k}" for k in range(12)]
+    df = table(spark, [(1, " ".join(words[:10])), (2, " ".join(words[1:11])), (3, " ".join(words[2:12]))], "ord long, claim string")
+    assert sorted(r["ord"] for r in dedup.jaccard_dedup(df).collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("counters", [1 << 20, 64, 1])
+def test_jaccard_pairs_lose_none(spark, counters, monkeypatch):
+    """Recall 1 whatever the sketch, at the very threshold too; words of all degrees of rarity."""
+    monkeypatch.setattr(dedup, "COUNTERS", counters)
+    monkeypatch.setattr(dedup.rarity, "__defaults__", (counters,))
+    rng = random.Random(6)
+    word = lambda: f"w{int(rng.paretovariate(0.6)) % 400}"
+    base = [[word() for _ in range(rng.randint(1, 25))] for _ in range(40)]
+    rows = []
+    for k in range(260):
+        own = list(rng.choice(base))
+        for _ in range(rng.randint(0, 4)):
+            own[rng.randrange(len(own))] = word()
+        rows.append((k, " ".join(own)))
+    rows += [(260, "a b c d e f g h i j"), (261, "a b c d e f g"), (262, ""), (263, "x")]
+    sets = {k: set(t.split()) for k, t in rows}
+    for threshold in (0.5, 0.7, 0.9, 1.0):
+        want = {(a, b) for a, x in sets.items() for b, y in sets.items() if x and y and len(x & y) / len(x | y) >= threshold}
+        df = table(spark, rows, "ord long, claim string")
+        got = dedup.jaccard_pairs(df, df, "ord", "claim", threshold)
+        assert {(r["a"], r["b"]) for r in got.collect()} == want
