@@ -186,8 +186,8 @@ def greedy_sql(nodes: str, pairs: str, key: str) -> str:
     """The sequential pass: nodes in order, each kept if no kept earlier node is its partner."""
     return f"""
 n AS (SELECT {key} AS k, row_number() OVER (ORDER BY {key}) AS i FROM ({nodes})),
-p AS ({pairs}),
-adj AS (SELECT n.i, n.k, list(p.a) FILTER (p.a IS NOT NULL) AS before FROM n LEFT JOIN p ON p.b = n.k GROUP BY ALL),
+p AS MATERIALIZED ({pairs}),
+adj AS MATERIALIZED (SELECT n.i, n.k, list(p.a) FILTER (p.a IS NOT NULL) AS before FROM n LEFT JOIN p ON p.b = n.k GROUP BY ALL),
 walk(i, kept) AS (
   SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
   UNION ALL
