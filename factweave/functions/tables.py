@@ -37,6 +37,7 @@ def decode_again(text: str) -> str:
 
 def normal_text(text: str) -> str:
     """Text with mis-decoded runs decoded, their lone rests (a minus before digits, a space) and typographic variants made plain."""
+    # The two patterns of stray characters.
     text = re.sub("â(?=[0-9])", "−", decode_again(text))
     return re.sub(r"Â\s*", " ", text).translate(PLAIN)
 
@@ -55,12 +56,15 @@ class _Blocks(HTMLParser):
         self.table: _Blocks.Table | None = None
         self.depth = 0
         self.cell: list[str] | None = None
+        self.caption = False
 
     def write(self, piece: str) -> None:
         if self.cell is not None:
             self.cell.append(piece)
         elif self.table is None:
             self.blocks[-1].append(piece)
+        elif piece.strip() or self.caption:  # a caption, or text that stands in no cell, goes before its table
+            self.blocks[-3].append(piece)
 
     def handle_starttag(self, tag, attrs):
         if tag == "table":
@@ -69,7 +73,10 @@ class _Blocks(HTMLParser):
                 self.table = _Blocks.Table()
                 self.blocks += [self.table, []]
                 return
-        if self.depth == 1 and tag == "tr":
+        if self.depth == 1 and tag == "caption":
+            self.cell, self.caption = None, True
+            self.write("\n\n")
+        elif self.depth == 1 and tag == "tr":
             self.table.append([])
             self.table.open, self.cell = True, None
         elif self.depth == 1 and tag in ("td", "th"):
@@ -90,7 +97,10 @@ class _Blocks(HTMLParser):
         if tag == "table" and self.depth:
             self.depth -= 1
             if not self.depth:
-                self.table = self.cell = None
+                self.table, self.cell, self.caption = None, None, False
+        elif self.depth == 1 and tag == "caption":
+            self.write("\n\n")
+            self.caption = False
         elif self.depth == 1 and tag in ("tr", "td", "th"):
             self.table.open, self.cell = self.table.open and tag != "tr", None
         elif tag in EMPHASIS:

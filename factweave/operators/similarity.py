@@ -1,11 +1,14 @@
 """Cosine similarity between and within tables of vectors, by blocks of matrix products.
 
-Vectors are dealt to tiles, and each task multiplies two tiles; a table of
-references is a set of tiles too, so neither side is broadcast or gathered.
+Vectors are dealt to tiles by pivots, and each task multiplies two tiles; a table of
+references is a set of tiles too, so neither side is broadcast or gathered. Pairs of tiles that
+are too far apart for the threshold are never formed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,6 +19,8 @@ from factweave.operators.sampling import hash_order, take_per_group
 from factweave.plans.checkpoint import cut
 
 TILE = 2048
+#: Pivots at most, and rings of angle a radian: they bound the cells.
+PIVOTS, RINGS = 256, 32
 #: Pairs are listed once there are so many a row at most; before, dense groups are thinned.
 DENSE = 16
 
@@ -26,15 +31,93 @@ def _unit(values: pd.Series) -> np.ndarray:
     return m / np.where(norm == 0, 1.0, norm)
 
 
-def _grid(left: DataFrame, right: DataFrame, n_left: int, n_right: int, same: bool) -> DataFrame:
-    """Rows ``(key, v, side, i, j)``: each vector once for each tile pair that it takes part in."""
-    p, q = max(1, -(-n_left // TILE)), max(1, -(-n_right // TILE))
-    if same:
-        every = F.explode(F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda t: F.struct(F.least(t, F.col("t")).alias("i"), F.greatest(t, F.col("t")).alias("j"))))
-        return left.withColumn("t", F.pmod(F.xxhash64("key"), F.lit(p)).cast("int")).select(*left.columns, F.col("t").alias("side"), every.alias("x")).select(*left.columns, "side", "x.*")
-    a = left.select(*left.columns, F.lit(0).alias("side"), F.pmod(F.xxhash64("key"), F.lit(p)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(q - 1))).alias("j"))
-    b = right.select(*right.columns, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("i"), F.pmod(F.xxhash64("key"), F.lit(q)).cast("int").alias("j"))
-    return a.unionByName(b.select(a.columns))
+def _spread_out(x: np.ndarray, count: int) -> np.ndarray:
+    """``count`` of the rows, each the farthest from those before."""
+    chosen, best = [0], x @ x[0]
+    while len(chosen) < min(count, len(x)):
+        chosen.append(int(best.argmin()))
+        best = np.maximum(best, x @ x[chosen[-1]])
+    return x[chosen]
+
+
+class Cells:
+    """A partition of vectors into cells, and which pairs of cells can hold a pair of some cosine.
+
+    A cell is a nearest pivot and a range of angles to it; rows of a crowded cell are dealt to tiles by hash.
+    Of vectors ``x``, ``y`` at angles ``a``, ``b`` from pivots at angle ``d`` the angle is at least ``d - a - b``, ``a - d - b``
+    and ``b - d - a``, so two cells whose ranges keep all of these over the threshold's angle need not meet.
+    Pivots (rows far from one another, of a sample of eight times their number) and cells are bounded in number, whatever the rows.
+    """
+
+    def __init__(self, tables: list[DataFrame], tile: int | None = None, pivots: int = PIVOTS):
+        tile, n = tile or TILE, max(df.count() for df in tables)
+        self.spark = tables[0].sparkSession
+        most = max(1, min(pivots, n // tile))
+        some = next((got for df in reversed(tables) if len(got := df.orderBy(F.xxhash64("key"), "key").limit(8 * most).select("v").toPandas())), None)
+        self.pivots = np.zeros((1, 1)) if some is None else _spread_out(_unit(some["v"]), most)
+        self.placed = [self._placed(df) for df in tables]
+        held = [df.groupBy("pivot", "ring").agg(F.count(F.lit(1)).alias("n")).toPandas() for df in self.placed]
+        count = pd.concat(held).groupby(["pivot", "ring"])["n"].max().sort_index() if any(map(len, held)) else pd.Series([], dtype=np.int64)
+        rows, at, first = [], 0, 0
+        for (pivot, ring), size in count.items():
+            if not rows or rows[-1][1] != pivot or rows[-1][4] + size > tile:
+                if rows:
+                    first += rows[-1][5]
+                rows.append([at, pivot, ring, ring, 0, 1, first])
+                at += 1
+            rows[-1][3], rows[-1][4] = ring, rows[-1][4] + size
+            rows[-1][5] = -(-rows[-1][4] // tile)
+        self.cells = pd.DataFrame(rows, columns=["cell", "pivot", "low", "high", "n", "tiles", "first"]).astype(np.int64)
+
+    def _placed(self, df: DataFrame) -> DataFrame:
+        pivots = self.pivots
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    cosine = np.clip(_unit(pdf["v"]) @ pivots.T, -1, 1)
+                    near = cosine.argmax(axis=1)
+                    yield pdf.assign(pivot=near, ring=np.floor(np.arccos(cosine[np.arange(len(near)), near]) * RINGS).astype(np.int64))
+
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        return cut(df.mapInPandas(run, f"{kinds}, pivot long, ring long"))
+
+    def partners(self, threshold: float | None) -> list[np.ndarray]:
+        """For each cell those with which it can hold a pair; without a threshold all."""
+        c = self.cells
+        low, high = c["low"].to_numpy() / RINGS, (c["high"].to_numpy() + 1) / RINGS
+        between = np.arccos(np.clip(self.pivots @ self.pivots.T, -1, 1))
+        limit = np.inf if threshold is None else np.arccos(np.clip(threshold, -1, 1)) + 1e-6
+        out = []
+        for k, pivot in enumerate(c["pivot"]):
+            d = between[pivot, c["pivot"]]
+            least = np.maximum(d - high[k] - high, np.maximum(low[k] - d - high, low - d - high[k]))
+            out.append(np.flatnonzero(least <= limit))
+        return out
+
+    def meetings(self, threshold: float | None) -> tuple[int, int]:
+        """The pairs of tiles that meet, and those that there are."""
+        tiles = self.cells["tiles"].to_numpy()
+        return int(sum(t * tiles[p].sum() for t, p in zip(tiles, self.partners(threshold), strict=True))), int(tiles.sum()) ** 2
+
+    def grid(self, threshold: float | None) -> DataFrame:
+        """Rows ``(key, v, ..., side, i, j)``: each vector once for each pair of tiles that it takes part in. Of one table ``i <= j`` and ``side`` is the row's tile, of two ``side`` is the table."""
+        partners = [[(int(self.cells["first"][q]), int(self.cells["tiles"][q])) for q in own] for own in self.partners(threshold)]
+        kind = "cell long, pivot long, low long, high long, n long, tiles long, first long, partners array<struct<first: int, tiles: int>>"
+        cells = self.spark.createDataFrame([(*map(int, row), p) for row, p in zip(self.cells.to_numpy(), partners, strict=True)], kind)
+        out = []
+        for side, df in enumerate(self.placed):
+            own = df.join(F.broadcast(cells.drop("n", "cell")), (df["pivot"] == cells["pivot"]) & (df["ring"] >= cells["low"]) & (df["ring"] <= cells["high"]))
+            names = [c for c in df.columns if c not in ("pivot", "ring")]
+            tile = (F.col("first") + F.pmod(F.xxhash64("key"), F.col("tiles"))).cast("int")
+            every = F.explode(F.flatten(F.transform("partners", lambda p: F.sequence(p["first"], p["first"] + p["tiles"] - 1))))
+            at = own.select(*names, tile.alias("t"), every.alias("other"))
+            if len(self.placed) == 1:
+                out.append(at.select(*names, F.col("t").alias("side"), F.least("t", "other").alias("i"), F.greatest("t", "other").alias("j")))
+            else:
+                pair = (F.col("t"), F.col("other")) if side == 0 else (F.col("other"), F.col("t"))
+                out.append(at.select(*names, F.lit(side).alias("side"), pair[0].alias("i"), pair[1].alias("j")))
+        return out[0] if len(out) == 1 else out[0].unionByName(out[1].select(out[0].columns))
 
 
 def similar_pairs(df: DataFrame, key: str, vec: str, threshold: float) -> DataFrame:
@@ -53,11 +136,14 @@ def similar_pairs(df: DataFrame, key: str, vec: str, threshold: float) -> DataFr
         out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": sim[x, y]})
         return out[(a < b) if i == j else (a != b)]
 
-    return _grid(own, own, own.count(), 0, True).groupBy("i", "j").applyInPandas(run, "a long, b long, cosine double")
+    return Cells([own]).grid(threshold).groupBy("i", "j").applyInPandas(run, "a long, b long, cosine double")
 
 
-def best_similarity(df: DataFrame, refs: DataFrame, key: str, vec: str, ref_key: str, ref_vec: str) -> DataFrame:
-    """``(key, best)``: each vector's greatest cosine to a reference; null without references."""
+def best_similarity(df: DataFrame, refs: DataFrame, key: str, vec: str, ref_key: str, ref_vec: str, threshold: float | None = None) -> DataFrame:
+    """``(key, best)``: each vector's greatest cosine to a reference; null without references.
+
+    With ``threshold`` a value below it may be too small or null; those at it or over it are exact.
+    """
     own = df.select(F.col(key).cast("long").alias("key"), F.col(vec).alias("v")).where("v IS NOT NULL")
     ref = refs.select(F.col(ref_key).cast("long").alias("key"), F.col(ref_vec).alias("v")).where("v IS NOT NULL")
 
@@ -67,8 +153,7 @@ def best_similarity(df: DataFrame, refs: DataFrame, key: str, vec: str, ref_key:
             return pd.DataFrame({"key": [], "best": []})
         return pd.DataFrame({"key": left["key"].to_numpy(), "best": (_unit(left["v"]) @ _unit(right["v"]).T).max(axis=1)})
 
-    grid = _grid(own, ref, own.count(), ref.count(), False)
-    found = grid.groupBy("i", "j").applyInPandas(run, "key long, best double").groupBy("key").agg(F.max("best").alias("best"))
+    found = Cells([own, ref]).grid(threshold).groupBy("i", "j").applyInPandas(run, "key long, best double").groupBy("key").agg(F.max("best").alias("best"))
     return own.select("key").join(found, "key", "left").select(F.col("key").alias(key), "best")
 
 
@@ -89,7 +174,7 @@ def best_by_group(df: DataFrame, refs: DataFrame, key: str, vec: str, ref_key: s
                 out.append(pd.DataFrame({"key": left["key"].to_numpy(), "g": g, "best": sim[:, has].max(axis=1)}))
         return pd.concat(out)
 
-    found = _grid(own, ref, own.count(), ref.count(), False).groupBy("i", "j").applyInPandas(run, "key long, g string, best double")
+    found = Cells([own, ref]).grid(None).groupBy("i", "j").applyInPandas(run, "key long, g string, best double")
     return found.groupBy("key", "g").agg(F.max("best").alias("best")).select(F.col("key").alias(key), F.col("g").alias(group), "best")
 
 
@@ -115,8 +200,7 @@ def earlier_links(own: DataFrame, threshold: float) -> DataFrame:
             out = pd.concat([out, pd.DataFrame({"key": b, "before": count[2, : len(b)], "links": count[3, : len(b)]})])
         return out[out["links"] > 0]
 
-    grid = _grid(own, own, own.count(), 0, True)
-    return grid.groupBy("i", "j").applyInPandas(run, "key long, before long, links long").groupBy("key").agg(F.sum("before").alias("before"), F.sum("links").alias("links"))
+    return Cells([own]).grid(threshold).groupBy("i", "j").applyInPandas(run, "key long, before long, links long").groupBy("key").agg(F.sum("before").alias("before"), F.sum("links").alias("links"))
 
 
 def semantic_dedup(df: DataFrame, key: str, vec: str, threshold: float = 0.70, dense: int = DENSE) -> DataFrame:
@@ -136,7 +220,7 @@ def semantic_dedup(df: DataFrame, key: str, vec: str, threshold: float = 0.70, d
             break
         first = cut(left.join(linked.where("before = 0").select("key"), "key", "left_semi"))
         rest = left.join(first.select("key"), "key", "left_anti")
-        best = best_similarity(rest, first, "key", "v", "key", "v")
+        best = best_similarity(rest, first, "key", "v", "key", "v", threshold)
         gone = cut(best.where(F.col("best") >= threshold).select("key"))
         lost.append(gone)
         left = cut(rest.join(gone, "key", "left_anti"))
@@ -148,7 +232,7 @@ def semantic_dedup(df: DataFrame, key: str, vec: str, threshold: float = 0.70, d
 
 def semantic_decontaminate(df: DataFrame, refs: DataFrame, key: str, vec: str, ref_key: str, ref_vec: str, threshold: float = 0.90) -> DataFrame:
     """Rows whose greatest cosine to a reference is under the threshold; an empty side leaves ``df`` as it is."""
-    near = best_similarity(df, refs, key, vec, ref_key, ref_vec).where(F.col("best") >= threshold)
+    near = best_similarity(df, refs, key, vec, ref_key, ref_vec, threshold).where(F.col("best") >= threshold)
     return df.join(near.select(key), key, "left_anti")
 
 

@@ -141,6 +141,10 @@ TABLES = {
 
 
 def test_html_tables():
+    table = "| a |\n| --- |\n| b |"
+    assert tables.html_to_markdown("<p>x</p><table><caption>CAP <b>t</b></caption><tr><th>a</th></tr> <tr><td>b</td></tr></table>y") == f"x\n\nCAP **t**\n\n{table}\n\ny"
+    assert tables.html_to_markdown("<table>\n<tr><th>a<tr><td>b</table><table><caption>two</caption><tr><td>a</td></tr><tr><td>b</td></tr></table>") == f"{table}\n\ntwo\n\n{table}"
+    assert tables.html_to_markdown("<table>stray<tr><td>a</td></tr><tr><td>b</td></tr></table>") == f"stray\n\n{table}"
     assert tables.html_to_markdown(None) is None
     for source, want in TABLES.items():
         assert tables.html_to_markdown(source) == want, source

@@ -653,3 +653,30 @@ def test_jaccard_pairs_lose_none(spark, counters, monkeypatch):
         df = table(spark, rows, "ord long, claim string")
         got = dedup.jaccard_pairs(df, df, "ord", "claim", threshold)
         assert {(r["a"], r["b"]) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("shape", ["clusters", "noise"])
+def test_pruned_similarity_equals_all_pairs(spark, shape, monkeypatch):
+    monkeypatch.setattr(similarity, "TILE", 32)
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=(12, 16)) * 3
+    x = middle[rng.integers(0, 12, 420)] + 0.4 * rng.normal(size=(420, 16)) if shape == "clusters" else rng.normal(size=(300, 6))
+    x[5] = 0
+    x[40:80] = x[39]  # one vector many times
+    u = x / np.where(np.linalg.norm(x, axis=1, keepdims=True) == 0, 1, np.linalg.norm(x, axis=1, keepdims=True))
+    sim = u @ u.T
+    df = table(spark, [(k, v.tolist()) for k, v in enumerate(x)], "ord long, embedding array<double>")
+    rows = df.select(F.col("ord").alias("key"), F.col("embedding").alias("v"))
+    for threshold in (0.5, 0.9):
+        got = [(r["a"], r["b"]) for r in similarity.similar_pairs(df, "ord", "embedding", threshold).collect()]
+        want = {(i, j) for i, j in zip(*np.nonzero(sim >= threshold), strict=True) if i < j}
+        assert len(got) == len(set(got)) and set(got) == want
+        kept = sorted(r["ord"] for r in similarity.semantic_dedup(df, "ord", "embedding", threshold).collect())
+        assert kept == plain_greedy(range(len(x)), lambda a, b: sim[a, b] >= threshold)
+        left, right = df.where("ord % 3 = 0"), df.where("ord % 3 > 0")
+        clean = {r["ord"] for r in similarity.semantic_decontaminate(left, right, "ord", "embedding", "ord", "embedding", threshold).collect()}
+        assert clean == {k for k in range(0, len(x), 3) if not any(sim[k, j] >= threshold for j in range(len(x)) if j % 3)}
+        met, whole = similarity.Cells([rows]).meetings(threshold)
+        assert met < 0.5 * whole if shape == "clusters" and threshold == 0.9 else met <= whole
+    best = {r["ord"]: r["best"] for r in similarity.best_similarity(left, right, "ord", "embedding", "ord", "embedding").collect()}
+    assert all(abs(best[k] - max(sim[k, j] for j in range(len(x)) if j % 3)) < 1e-9 for k in best) and len(best) == len(range(0, len(x), 3))
