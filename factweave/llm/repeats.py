@@ -274,8 +274,9 @@ SPANS = "array<struct<begin: long, end: long>>"
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """``df``, which comes out of a shuffle, stored in no more files than there are cores."""
-    return stored(df.coalesce(df.sparkSession.sparkContext.defaultParallelism))
+    """``df``, which comes out of a shuffle, stored in an eighth as many files, but not fewer than there are cores."""
+    spark = df.sparkSession
+    return stored(df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)))
 
 
 def _bucketed(texts: DataFrame) -> DataFrame:
