@@ -7,8 +7,10 @@ result up to the rounding of sums.
 
 from __future__ import annotations
 
+import operator
 import pickle
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -20,6 +22,8 @@ from factweave.plans.checkpoint import cut
 #: Groups of more rows are not held in one task; facility location's task holds the square of its rows.
 MAX_GROUP = 20_000
 MAX_SQUARE = 6_000
+#: Results of tasks that one task merges.
+FAN_IN = 16
 #: Candidates whose gain a step of facility location over a large group works out first.
 CANDIDATES = 256
 
@@ -71,13 +75,13 @@ def race(mark: np.ndarray, start: int, step: int, seed: int) -> np.ndarray:
     return -np.log(((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54)
 
 
-#: Applies a function of keys, marks and vectors to all parts of a group, and gives the results.
-Run = Callable[[Callable], list]
+#: Applies a function of keys, marks and vectors to all parts of a group, and gives their results merged two by two.
+Run = Callable[[Callable, Callable], Any]
 
 
 def in_memory(m: np.ndarray, mark: np.ndarray | None) -> Run:
     keys = np.arange(len(m))
-    return lambda f: [f(keys, keys if mark is None else mark, m)]
+    return lambda f, merge: f(keys, keys if mark is None else mark, m)
 
 
 def squares(m: np.ndarray, centre: np.ndarray) -> np.ndarray:
@@ -100,9 +104,8 @@ def kmeans(run: Run, k: int, seed: int = 42, starts: int = 10, steps: int = 100)
                 out.append((False, e[at] / weight[at], keys[at], m[at]) if weight[at] > 0 else (True, e[plain], keys[plain], m[plain]))
             return out
 
-        got = run(draw)
-        for s in range(starts):
-            chosen[s].append(min((g[s] for g in got), key=lambda x: x[:3])[3])
+        for s, x in enumerate(run(draw, _least_each)):
+            chosen[s].append(x[3])
     centres, done = [np.stack(c).astype(float) for c in chosen], [np.inf] * starts
     active = list(range(starts))
     for step in range(steps):
@@ -117,10 +120,9 @@ def kmeans(run: Run, k: int, seed: int = 42, starts: int = 10, steps: int = 100)
                 out.append((one.T @ m, one.sum(axis=0), float(d[np.arange(len(m)), of].sum())))
             return out
 
-        got, moving = run(sums), []
+        got, moving = run(sums, _sum_each), []
         for i, s in enumerate(active):
-            total, size = sum(g[i][0] for g in got), sum(g[i][1] for g in got)
-            done[s] = sum(g[i][2] for g in got)
+            total, size, done[s] = got[i]
             new = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], centres[s])
             if not np.allclose(new, centres[s]) and step < steps - 1:
                 centres[s] = new
@@ -146,9 +148,9 @@ def nearest_unused(run: Run, centre: np.ndarray) -> list:
             keys, sim = [k for k in keys if k not in used], np.round(unit(m[free]) @ c[at:].T, 12)
             return [[(-sim[i, j], keys[i]) for i in np.argsort(-sim[:, j], kind="stable")[:depth]] for j in range(sim.shape[1])]
 
-        got = run(tops)
+        got = run(tops, lambda a, b: [sorted(x + y)[:depth] for x, y in zip(a, b, strict=True)])
         for j in range(len(c) - at):
-            left = [k for _, k in sorted(x for g in got for x in g[j])[:depth] if k not in taken]
+            left = [k for _, k in got[j][:depth] if k not in taken]
             if not left:
                 break
             taken.append(left[0])
@@ -167,8 +169,8 @@ def nearest_members(run: Run, centre: np.ndarray) -> list:
             out[int(c)] = (round(float(d[at, c]), 9), keys[at])
         return out
 
-    got = run(members)
-    return [min(g[c] for g in got if c in g)[1] for c in sorted(set().union(*got))]
+    got = run(members, lambda a, b: {c: min(x[c] for x in (a, b) if c in x) for c in {**a, **b}})
+    return [got[c][1] for c in sorted(got)]
 
 
 def kmeans_nearest(m: np.ndarray, budget: int, mark: np.ndarray | None = None, seed: int = 42) -> list[int]:
@@ -238,24 +240,54 @@ def kmeans_kdpp(m: np.ndarray, budget: int, mark: np.ndarray | None = None, seed
 METHODS: dict[str, Callable[[np.ndarray, int, np.ndarray], list[int]]] = {"farthest": lambda m, n, _: farthest_points(m, n), "facility": lambda m, n, _: facility_location(m, n), "kmeans": kmeans_nearest, "kdpp": kmeans_kdpp}
 
 
+def _least_each(a: list, b: list) -> list:
+    return [min(x, y, key=lambda v: v[:3]) for x, y in zip(a, b, strict=True)]
+
+
+def _sum_each(a: list[tuple], b: list[tuple]) -> list[tuple]:
+    return [tuple(p + q for p, q in zip(x, y, strict=True)) for x, y in zip(a, b, strict=True)]
+
+
+def _least(a: tuple, b: tuple) -> tuple:
+    return min(a, b, key=lambda x: x[:2])
+
+
 def in_passes(rows: DataFrame) -> Run:
-    """Passes over the Arrow batches of ``rows(__key, __mark, __vec)``."""
+    """Passes over the Arrow batches of ``rows(__key, __mark, __vec)``: a task merges the results of its batches, and
+    tasks merge those of tasks, some at a time, until one is left. So no process holds more than two results at once."""
 
-    def run(f: Callable) -> list:
+    def run(f: Callable, merge: Callable) -> Any:
         def each(batches):
+            held = None
             for pdf in batches:
                 if len(pdf):
                     pdf = pdf.sort_values("__key")
-                    yield pd.DataFrame({"x": [pickle.dumps(f(pdf["__key"].tolist(), pdf["__mark"].to_numpy(), np.stack(pdf["__vec"].to_numpy()).astype(np.float64)))]})
+                    own = f(pdf["__key"].tolist(), pdf["__mark"].to_numpy(), np.stack(pdf["__vec"].to_numpy()).astype(np.float64))
+                    held = own if held is None else merge(held, own)
+            if held is not None:
+                yield pd.DataFrame({"x": [pickle.dumps(held)]})
 
-        return [pickle.loads(r["x"]) for r in rows.mapInPandas(each, "x binary").collect()]
+        def join(batches):
+            held = None
+            for pdf in batches:
+                for x in pdf["x"]:
+                    own = pickle.loads(x)
+                    held = own if held is None else merge(held, own)
+            if held is not None:
+                yield pd.DataFrame({"x": [pickle.dumps(held)]})
+
+        got, left = rows.mapInPandas(each, "x binary"), rows.rdd.getNumPartitions()
+        while left > 1:
+            left = -(-left // FAN_IN) if left > FAN_IN else 1
+            got = got.repartition(left).mapInPandas(join, "x binary")
+        return pickle.loads(got.first()["x"])
 
     return run
 
 
 def farthest_in_passes(run: Run, budget: int) -> list:
     """``farthest_points`` of a group of any size."""
-    centre = sum(run(lambda keys, mark, m: unit(m).sum(axis=0)))
+    centre = run(lambda keys, mark, m: unit(m).sum(axis=0), operator.add)
     size = np.linalg.norm(centre)
     centre = centre / (size if size else 1.0)
 
@@ -263,7 +295,7 @@ def farthest_in_passes(run: Run, budget: int) -> list:
         sim = np.round(unit(m) @ centre, 12)
         return -sim.max(), keys[int(np.argmax(sim))], m[int(np.argmax(sim))]
 
-    taken = [min(run(nearest), key=lambda x: x[:2])]
+    taken = [run(nearest, _least)]
     while len(taken) < budget:
         x, used = unit(np.stack([t[2] for t in taken])), {t[1] for t in taken}
 
@@ -272,7 +304,7 @@ def farthest_in_passes(run: Run, budget: int) -> list:
             far[[k in used for k in keys]] = -np.inf
             return -far.max(), keys[int(np.argmax(far))], m[int(np.argmax(far))]
 
-        taken.append(min(run(farthest), key=lambda x: x[:2]))
+        taken.append(run(farthest, _least))
     return [t[1] for t in taken]
 
 
@@ -305,13 +337,13 @@ def facility_in_passes(rows: DataFrame, run: Run, budget: int, tile: int = 2_000
     first choice come from all pairs; as gains only shrink, they bound the later ones,
     and a step works out those of the highest bounds until none other can be greater.
     """
-    total = sum(run(lambda keys, mark, m: unit(m).sum(axis=0)))
+    total = run(lambda keys, mark, m: unit(m).sum(axis=0), operator.add)
 
     def first(keys, mark, m):
         gain = np.round(unit(m) @ total, 9)
         return -gain.max(), keys[int(np.argmax(gain))], m[int(np.argmax(gain))]
 
-    taken = [min(run(first), key=lambda x: x[:2])]
+    taken = [run(first, _least)]
     if budget < 2:
         return [t[1] for t in taken]
     bounds = cut(first_gains(rows, unit(np.stack([taken[0][2]])), tile))
@@ -328,7 +360,7 @@ def facility_in_passes(rows: DataFrame, run: Run, budget: int, tile: int = 2_000
             best = None
             if own:
                 c = unit(np.array([r["__vec"] for r in own], np.float64))
-                gain = np.round(sum(run(lambda keys, mark, m: np.maximum(unit(m) @ c.T - (unit(m) @ x.T).max(axis=1)[:, None], 0).sum(axis=0))), 9)  # noqa: B023
+                gain = np.round(run(lambda keys, mark, m: np.maximum(unit(m) @ c.T - (unit(m) @ x.T).max(axis=1)[:, None], 0).sum(axis=0), operator.add), 9)  # noqa: B023
                 best = int(np.argmax(gain))
                 if whole or gain[best] > rest + 1e-6:
                     break
