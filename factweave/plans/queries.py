@@ -848,8 +848,8 @@ def sqlite_scan(spark, sf):
     local_files.register(spark)
     folder, d = run_folder(spark), read(spark, sf, "documents")
     local_files.write_sqlite_parts(d.select("doc_id", "source", "n_chars"), folder, "documents")
-    own = spark.read.format("sqlite").option("path", folder).option("table", "documents").option("rows", 1_000).load()
-    return own.where("n_chars >= 200").join(d.where("lang = 'en'").select("source").distinct(), "source", "left_semi").select("doc_id", "source", "n_chars")
+    own = local_files.lookup(spark, "sqlite", "n_chars >= 200", path=folder, table="documents", rows=1_000)
+    return own.join(d.where("lang = 'en'").select("source").distinct(), "source", "left_semi").select("doc_id", "source", "n_chars")
 
 
 @query("SELECT vec_id, label, len(embedding) AS n, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings WHERE label > 2")
@@ -858,7 +858,7 @@ def npz_scan(spark, sf):
     local_files.register(spark)
     folder = run_folder(spark)
     local_files.write_npz_parts(vectors(spark, sf).select("vec_id", "label", "embedding"), folder)
-    return spark.read.format("npz").option("path", folder).option("rows", 100).load().where("label > 2").select("vec_id", F.col("label").cast("int").alias("label"), F.size("embedding").cast("long").alias("n"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("total"))
+    return local_files.lookup(spark, "npz", "label > 2", path=folder, rows=100).select("vec_id", F.col("label").cast("int").alias("label"), F.size("embedding").cast("long").alias("n"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("total"))
 
 
 @query("""

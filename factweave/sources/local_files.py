@@ -3,7 +3,9 @@
 ``spark.dataSource.register(SqliteSource)`` and ``NpzSource`` make the formats ``sqlite`` and ``npz``
 known (``register`` does both). A path is a file, a folder or a pattern that every executor can open: such
 files need a file system that is mounted everywhere. A file is read in parts (ranges of
-row ids; slabs of the arrays), and filters that the file can answer never reach Spark.
+row ids; slabs of the arrays). With the option ``pushdown`` filters that the file can answer never reach Spark.
+Spark keeps the filters that a DataFrame has pushed down for later queries over the same DataFrame, so
+a table with that option serves one query; ``lookup`` makes a new one for each.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, StringStartsWith
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -38,6 +40,11 @@ def register(spark: SparkSession) -> None:
     spark.conf.set(PUSHDOWN, "true")
 
 
+def lookup(spark: SparkSession, kind: str, condition: str | Column, **options: str | int) -> DataFrame:
+    """The rows of a ``sqlite`` or ``npz`` table where ``condition`` holds, with what the files can answer of it pushed down."""
+    return spark.read.format(kind).options(**options, pushdown="true").load().where(condition)
+
+
 def local_files(path: str, ending: tuple[str, ...]) -> list[str]:
     """The files that ``path`` names, in order; a folder stands for those in it with one of the endings."""
     parts = urlsplit(path)
@@ -104,7 +111,7 @@ class SqliteSource(DataSource):
         return T.StructType([T.StructField(name, _affinity(kind)) for _, name, kind, *_ in columns])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return SqliteReader(self.options, schema)
+        return (FilteredSqlite if str(self.options.get("pushdown", "")).lower() == "true" else SqliteReader)(self.options, schema)
 
 
 class SqliteReader(DataSourceReader):
@@ -113,23 +120,6 @@ class SqliteReader(DataSourceReader):
         self.where: list[str] = []
         self.values: list = []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Comparisons with values of the column's own type, membership, null tests; what is left goes to Spark."""
-        for f in filters:
-            column = self.schema[f.attribute[0]] if len(getattr(f, "attribute", ())) == 1 and f.attribute[0] in self.schema.names else None
-            own = {T.LongType: int, T.DoubleType: (int, float), T.StringType: str}.get(type(column.dataType)) if column is not None else None
-            fits = lambda v: own is not None and isinstance(v, own) and not isinstance(v, bool)  # noqa: B023, E731
-            if isinstance(f, (IsNull, IsNotNull)) and column is not None:
-                self.where.append(f"{_named(column.name)} IS {'NOT ' * isinstance(f, IsNotNull)}NULL")
-            elif type(f) in COMPARED and fits(f.value) or isinstance(f, EqualNullSafe) and fits(f.value):
-                self.where.append(f"{_named(column.name)} {COMPARED.get(type(f), '=')} ?")
-                self.values.append(f.value)
-            elif isinstance(f, In) and f.value and all(fits(v) for v in f.value) and len(f.value) < 500:
-                self.where.append(f"{_named(column.name)} IN ({', '.join('?' * len(f.value))})")
-                self.values += f.value
-            else:
-                yield f
-
     def partitions(self) -> list[RowRange]:
         out = []
         for file in local_files(self.path, (".db", ".sqlite")):
@@ -157,6 +147,25 @@ class SqliteReader(DataSourceReader):
                 yield _batches([list(c) for c in zip(*rows, strict=True)], self.schema)
 
 
+class FilteredSqlite(SqliteReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Comparisons with values of the column's own type, membership, null tests; what is left goes to Spark."""
+        for f in filters:
+            column = self.schema[f.attribute[0]] if len(getattr(f, "attribute", ())) == 1 and f.attribute[0] in self.schema.names else None
+            own = {T.LongType: int, T.DoubleType: (int, float), T.StringType: str}.get(type(column.dataType)) if column is not None else None
+            fits = lambda v: own is not None and isinstance(v, own) and not isinstance(v, bool)  # noqa: B023, E731
+            if isinstance(f, (IsNull, IsNotNull)) and column is not None:
+                self.where.append(f"{_named(column.name)} IS {'NOT ' * isinstance(f, IsNotNull)}NULL")
+            elif type(f) in COMPARED and fits(f.value) or isinstance(f, EqualNullSafe) and fits(f.value):
+                self.where.append(f"{_named(column.name)} {COMPARED.get(type(f), '=')} ?")
+                self.values.append(f.value)
+            elif isinstance(f, In) and f.value and all(fits(v) for v in f.value) and len(f.value) < 500:
+                self.where.append(f"{_named(column.name)} IN ({', '.join('?' * len(f.value))})")
+                self.values += f.value
+            else:
+                yield f
+
+
 # ---- numpy archives
 
 
@@ -212,7 +221,7 @@ class NpzSource(DataSource):
         return T.StructType(fields)
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return NpzReader(self.options, schema)
+        return (FilteredNpz if str(self.options.get("pushdown", "")).lower() == "true" else NpzReader)(self.options, schema)
 
 
 class NpzReader(DataSourceReader):
@@ -220,22 +229,6 @@ class NpzReader(DataSourceReader):
         self.path, self.rows, self.schema = options["path"], int(options.get("rows", 10_000)), schema
         self.tests: list[tuple[str, str, list]] = []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Comparisons and membership of plain columns: of a slab only the rows that pass are read from the other arrays."""
-        for f in filters:
-            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            plain = name in self.schema.names and isinstance(self.schema[name].dataType, (T.StringType, T.LongType))
-            if plain and isinstance(f, IsNotNull):
-                continue  # an array has no nulls
-            if plain and type(f) in COMPARED and f.value is not None:
-                self.tests.append((name, COMPARED[type(f)], [f.value]))
-            elif plain and isinstance(f, In) and all(v is not None for v in f.value):
-                self.tests.append((name, "in", list(f.value)))
-            elif plain and isinstance(f, StringStartsWith):
-                self.tests.append((name, "starts", [f.value]))
-            else:
-                yield f
-
     def partitions(self) -> list[Slab]:
         out = []
         for file in local_files(self.path, (".npz",)):
@@ -260,6 +253,24 @@ class NpzReader(DataSourceReader):
             yield _batches([c[at : at + BATCH] for c in columns], self.schema)
 
 
+class FilteredNpz(NpzReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Comparisons and membership of plain columns: of a slab only the rows that pass are read from the other arrays."""
+        for f in filters:
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            plain = name in self.schema.names and isinstance(self.schema[name].dataType, (T.StringType, T.LongType))
+            if plain and isinstance(f, IsNotNull):
+                continue  # an array has no nulls
+            if plain and type(f) in COMPARED and f.value is not None:
+                self.tests.append((name, COMPARED[type(f)], [f.value]))
+            elif plain and isinstance(f, In) and all(v is not None for v in f.value):
+                self.tests.append((name, "in", list(f.value)))
+            elif plain and isinstance(f, StringStartsWith):
+                self.tests.append((name, "starts", [f.value]))
+            else:
+                yield f
+
+
 # ---- parts
 
 

@@ -30,17 +30,20 @@ def test_sqlite_in_parts(spark, kb):
 
 
 def test_sqlite_answers_filters(spark, kb):
-    reader = local_files.SqliteReader({"path": str(kb), "table": "documents", "rows": 100}, local_files.SqliteSource({"path": str(kb), "table": "documents"}).schema())
+    reader = local_files.FilteredSqlite({"path": str(kb), "table": "documents", "rows": 100}, local_files.SqliteSource({"path": str(kb), "table": "documents"}).schema())
     left = list(reader.pushFilters([local_files.EqualTo(("id",), "doc 1 7"), local_files.GreaterThan(("size",), 3), local_files.StringStartsWith(("text",), "t"), local_files.EqualTo(("size",), "x")]))
     assert len(left) == 2 and reader.where == ['"id" = ?', '"size" > ?']
     got = [b.to_pylist() for p in reader.partitions() for b in reader.read(p)]
     assert [r["id"] for rows in got for r in rows] == ["doc 1 7"]  # nothing else leaves the file
     df = spark.read.format("sqlite").option("path", str(kb)).option("table", "documents").load()
-    assert "Filter " not in df.where("id = 'doc 1 7'")._jdf.queryExecution().executedPlan().toString()
+    pushed = lambda condition: local_files.lookup(spark, "sqlite", condition, path=str(kb), table="documents")
+    assert "Filter " not in pushed("id = 'doc 1 7'")._jdf.queryExecution().executedPlan().toString()
     for condition in ("id = 'doc 1 7'", "id IN ('doc 0 3', 'doc 1 9', 'none')", "id IS NULL AND size >= 100", "size BETWEEN 10 AND 20 AND score < 4.5", "text LIKE 'text, 1%'", "id <=> 'doc 0 1'", "NOT id = 'doc 0 1'", "upper(id) = 'DOC 0 3'"):
         rows = [(f"doc {p} {k}" if k % 10 else None, f"text, {k}", k, k / 4) for p in range(2) for k in range(250)]
         want = spark.createDataFrame(rows, df.schema).where(condition)
-        assert sorted(map(str, df.where(condition).collect())) == sorted(map(str, want.collect())), condition
+        for got in (df.where(condition), pushed(condition)):
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), condition
+        assert df.count() == 500
     entities = spark.createDataFrame([("doc 0 3",), ("doc 1 4",)], "id string")
     assert sorted(r["text"] for r in entities.join(df, "id").collect()) == ["text, 3", "text, 4"]
 
@@ -56,8 +59,10 @@ def test_npz_in_slabs(spark, tmp_path, save):
     got = {r["ids"]: (np.array(r["embeddings"], np.float32), r["n"]) for r in df.collect()}
     assert len(got) == 330 and all((got[i][0] == v).all() and got[i][1] == k for k, (i, v) in enumerate(zip(ids.tolist(), vectors, strict=True)))
     for condition in ("ids = 'claim 7 é'", "n > 320 OR n < 3", "n >= 325", "n IN (1, 205, 999)", "ids LIKE 'claim 32%'", "n % 100 = 7"):
-        assert df.where(condition).count() == sum(1 for _ in filter(None, [r for r in spark.createDataFrame([(i, k) for k, i in enumerate(ids.tolist())], "ids string, n long").where(condition).collect()])), condition
-    reader = local_files.NpzReader({"path": str(tmp_path), "rows": 100}, local_files.NpzSource({"path": str(tmp_path)}).schema())
+        want = spark.createDataFrame([(i, k) for k, i in enumerate(ids.tolist())], "ids string, n long").where(condition).count()
+        pushed = local_files.lookup(spark, "npz", condition, path=str(tmp_path), rows=100)
+        assert df.where(condition).count() == pushed.count() == want, condition
+    reader = local_files.FilteredNpz({"path": str(tmp_path), "rows": 100}, local_files.NpzSource({"path": str(tmp_path)}).schema())
     assert not list(reader.pushFilters([local_files.EqualTo(("ids",), "claim 207 é")]))
     assert [b.num_rows for p in reader.partitions() for b in reader.read(p)] == [1]
 
