@@ -348,12 +348,37 @@ def long_augment(spark, sf):
     return sampling.augment(sampling.random_select(own, "label", "ord", 40), own, "ord", text.word_count("evidence") >= 1000).select("ord")
 
 
-@query()
+@query("""
+WITH RECURSIVE r AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+u AS MATERIALIZED (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM r),
+d AS (SELECT label, i, sum(e[i]) AS s FROM u, range(1, len(e) + 1) AS t(i) GROUP BY ALL),
+c AS (SELECT label, list(s ORDER BY i) AS c FROM d GROUP BY 1),
+walk AS (
+  SELECT 1 AS n, label, [vec_id] AS taken, [e] AS near FROM u JOIN c USING (label)
+  QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(list_dot_product(e, c) / sqrt(list_dot_product(c, c)), 12) DESC, vec_id) = 1
+  UNION ALL
+  SELECT n + 1, walk.label, list_append(taken, vec_id), list_append(near, e) FROM walk JOIN u ON u.label = walk.label AND NOT list_contains(taken, vec_id) WHERE n < 10
+  QUALIFY row_number() OVER (PARTITION BY walk.label ORDER BY round(1 - list_max(list_transform(near, lambda x: list_dot_product(x, e))), 12) DESC, vec_id) = 1
+)
+SELECT unnest(taken) AS vec_id, label FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY label ORDER BY n DESC) = 1)
+""")
 def farthest_point(spark, sf):
     return selection.select(vectors(spark, sf), "farthest", ["label"], "vec_id", "embedding", 10).select("vec_id", "label")
 
 
-@query()
+@query("""
+WITH RECURSIVE r AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+u AS MATERIALIZED (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM r),
+g AS (SELECT label, list(e ORDER BY vec_id) AS g FROM u GROUP BY 1),
+s AS MATERIALIZED (SELECT vec_id, label, list_transform(g, lambda x: list_dot_product(x, e)) AS sim FROM u JOIN g USING (label)),
+walk AS (
+  SELECT 0 AS n, label, CAST([] AS BIGINT[]) AS taken, list_transform(g, lambda x: CAST(-1 AS DOUBLE)) AS best FROM g
+  UNION ALL
+  SELECT n + 1, walk.label, list_append(taken, vec_id), list_transform(sim, lambda x, i: greatest(x, best[i])) FROM walk JOIN s ON s.label = walk.label AND NOT list_contains(taken, vec_id) WHERE n < 10
+  QUALIFY row_number() OVER (PARTITION BY walk.label ORDER BY round(list_sum(list_transform(sim, lambda x, i: greatest(x - best[i], 0))), 9) DESC, vec_id) = 1
+)
+SELECT unnest(taken) AS vec_id, label FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY label ORDER BY n DESC) = 1)
+""")
 def facility_location(spark, sf):
     return selection.select(vectors(spark, sf), "facility", ["label"], "vec_id", "embedding", 10).select("vec_id", "label")
 
