@@ -44,9 +44,14 @@ def rarity(sets: list[DataFrame], counters: int = COUNTERS) -> np.ndarray:
     held = slot(sets[0])
     for df in sets[1:]:
         held = held.unionByName(slot(df))
-    got = held.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).toPandas()
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"slot": [pdf["slot"].to_numpy(np.int32).tobytes()], "n": [np.minimum(pdf["n"].to_numpy(np.int64), (1 << 31) - 1).astype(np.int32).tobytes()]})
+
     out = np.zeros(counters, np.int32)
-    out[got["slot"].to_numpy(np.int64)] = np.minimum(got["n"].to_numpy(np.int64), (1 << 31) - 1)
+    for r in held.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).mapInPandas(packed, "slot binary, n binary").collect():  # eight bytes for each counter
+        out[np.frombuffer(r["slot"], np.int32)] = np.frombuffer(r["n"], np.int32)
     return out
 
 
