@@ -700,3 +700,14 @@ def test_passes_merge_results_before_the_driver(spark, monkeypatch):
     centre = selection.kmeans(here, 6, starts=2)
     assert selection.nearest_unused(run, centre) == selection.nearest_unused(here, centre) and selection.nearest_members(run, centre) == selection.nearest_members(here, centre)
     assert all(size < 20_000 for size in seen)
+
+
+def test_run_folders_are_removed(spark):
+    from factweave.plans import checkpoint
+
+    folder = checkpoint.run_folder(spark)
+    spark.range(3).write.parquet(f"{folder}/t")
+    assert spark.read.parquet(f"{folder}/t").count() == 3
+    checkpoint.remove(spark, folder)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(f"{folder}/t")
