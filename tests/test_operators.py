@@ -682,26 +682,6 @@ def test_pruned_similarity_equals_all_pairs(spark, shape, monkeypatch):
     assert all(abs(best[k] - max(sim[k, j] for j in range(len(x)) if j % 3)) < 1e-9 for k in best) and len(best) == len(range(0, len(x), 3))
 
 
-def test_passes_merge_results_before_the_driver(spark, monkeypatch):
-    """One result reaches the driver, whatever the tasks and batches, and it is that of all rows."""
-    monkeypatch.setattr(selection, "FAN_IN", 3)
-    rng = np.random.default_rng(4)
-    x = rng.normal(size=(700, 5))
-    rows = spark.createDataFrame([(k, k, v.tolist()) for k, v in enumerate(x)], "__key long, __mark long, __vec array<double>").repartition(20)
-    import pickle
-
-    seen, real = [], pickle.loads
-    monkeypatch.setattr(selection.pickle, "loads", lambda b: (seen.append(len(b)), real(b))[1])
-    run = selection.in_passes(rows)
-    assert np.allclose(run(lambda keys, mark, m: m.sum(axis=0), lambda a, b: a + b), x.sum(axis=0)) and len(seen) == 1
-    here = selection.in_memory(x, None)
-    for k in (2, 7):
-        assert np.allclose(selection.kmeans(run, k, starts=2), selection.kmeans(here, k, starts=2))
-    centre = selection.kmeans(here, 6, starts=2)
-    assert selection.nearest_unused(run, centre) == selection.nearest_unused(here, centre) and selection.nearest_members(run, centre) == selection.nearest_members(here, centre)
-    assert all(size < 20_000 for size in seen)
-
-
 def test_run_folders_are_removed(spark):
     from factweave.plans import checkpoint
 
