@@ -691,3 +691,15 @@ def test_run_folders_are_removed(spark):
     checkpoint.remove(spark, folder)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(f"{folder}/t")
+
+
+def test_best_by_group_over_many_tiles(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "TILE", 40)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 5))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = table(spark, [(k, v.tolist()) for k, v in enumerate(x)], "ord long, v array<double>")
+    refs = df.where("ord < 6").withColumn("m", F.explode(F.when(F.col("ord") < 3, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("b")))))
+    got = {(r["ord"], r["m"]): r["best"] for r in similarity.best_by_group(df, refs, "ord", "v", "ord", "v", "m").collect()}
+    assert len(got) == 600
+    assert all(abs(best - (u[k] @ u[: 3 if m == "a" else 6].T).max()) < 1e-9 for (k, m), best in got.items())
