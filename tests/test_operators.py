@@ -703,3 +703,17 @@ def test_best_by_group_over_many_tiles(spark, monkeypatch):
     got = {(r["ord"], r["m"]): r["best"] for r in similarity.best_by_group(df, refs, "ord", "v", "ord", "v", "m").collect()}
     assert len(got) == 600
     assert all(abs(best - (u[k] @ u[: 3 if m == "a" else 6].T).max()) < 1e-9 for (k, m), best in got.items())
+
+
+@pytest.mark.parametrize("block", [1, 16])
+def test_semantic_dedup_thins_by_the_first_kept(spark, block, monkeypatch):
+    counted = []
+    monkeypatch.setattr(similarity, "earlier_links", lambda d, *a, real=similarity.earlier_links: (counted.append(d), real(d, *a))[1])
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(260, 5))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = u @ u.T
+    df = table(spark, [(k, v.tolist()) for k, v in enumerate(x)] + [(999, None)], "k long, v array<double>").repartition(3)
+    kept = sorted(r["k"] for r in similarity.semantic_dedup(df, "k", "v", 0.3, block=block).collect())
+    assert kept == [*plain_greedy(range(260), lambda a, b: sim[a, b] >= 0.3), 999]
+    assert counted[0].count() < 130  # links are counted among few rows only
