@@ -717,3 +717,23 @@ def test_semantic_dedup_thins_by_the_first_kept(spark, block, monkeypatch):
     kept = sorted(r["k"] for r in similarity.semantic_dedup(df, "k", "v", 0.3, block=block).collect())
     assert kept == [*plain_greedy(range(260), lambda a, b: sim[a, b] >= 0.3), 999]
     assert counted[0].count() < 130  # links are counted among few rows only
+
+
+def test_distance_bins_hold_all_pairs(spark, monkeypatch, tmp_path):
+    from factweave.operators import density
+    from factweave.plans import queries
+
+    monkeypatch.setattr(density, "TILE", 300)
+    rng = np.random.default_rng(2)
+    x, label = rng.normal(size=(700, 6)), np.arange(700) % 20 // 19  # 665 rows: 220,780 pairs
+    table(spark, [(k, [float(c) for c in v], int(g)) for k, (v, g) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r["label"], r["bin"]): r["n"] for r in queries.distance_bins(spark, str(tmp_path)).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {}
+    for g in (0, 1):
+        own = u[label == g]
+        d = np.round(1 - (own @ own.T)[np.triu_indices(len(own), 1)], 9)
+        width = d.std(ddof=1) * len(d) ** -0.2 / 64
+        for k, n in zip(*np.unique(np.floor((d - d.min()) / width).astype(int), return_counts=True), strict=True):
+            want[g, int(k)] = int(n)
+    assert sum(got.values()) == sum(want.values()) and got == want
