@@ -120,15 +120,16 @@ def load_splits(spark: SparkSession, root: str, splits: dict[str, tuple[str, ...
     return reduce(DataFrame.unionByName, parts)
 
 
-def normalize(df: DataFrame, name: str, kb: DataFrame | None = None) -> DataFrame:
+def normalize(df: DataFrame, name: str, kb: DataFrame | None = None, numbered: bool = True) -> DataFrame:
+    """Rows of a corpus as claim records. Numbering writes all rows; without it the hash of a row stands for its number."""
     c = CORPORA[name]
     if c.prepare is not None:
         df = c.prepare(df, kb)
     if c.keep is not None:
         df = df.where(c.keep())
     whole = F.to_json(F.struct(*[F.col(f"`{x}`") for x in df.columns]))
-    staged = with_order(df.withColumn("__h", F.xxhash64(whole)), "__h")
-    return claim_records(staged, c.name, F.col(c.claim), c.evidence(), col(c.label), c.labels, whole, F.col("ord"))
+    staged = with_order(df.withColumn("__h", F.xxhash64(whole)), "__h") if numbered else df
+    return claim_records(staged, c.name, F.col(c.claim), c.evidence(), col(c.label), c.labels, whole, F.col("ord") if numbered else F.xxhash64(whole))
 
 
 def collect(parts: list[DataFrame]) -> tuple[DataFrame, DataFrame]:

@@ -737,3 +737,14 @@ def test_distance_bins_hold_all_pairs(spark, monkeypatch, tmp_path):
         for k, n in zip(*np.unique(np.floor((d - d.min()) / width).astype(int), return_counts=True), strict=True):
             want[g, int(k)] = int(n)
     assert sum(got.values()) == sum(want.values()) and got == want
+
+
+def test_corpus_records_write_claims_once(spark, monkeypatch):
+    from factweave.operators import records
+    from factweave.plans import corpus_rows
+
+    written = []
+    monkeypatch.setattr(records, "cut", lambda d, real=records.cut: (written.append(d), real(d))[1])
+    claims = table(spark, [(k, f"claim {k}", f"evidence {k}", "web", "en") for k in range(6)], "ord long, claim string, evidence string, src string, lang string")
+    got = corpus_rows.records(claims)
+    assert {r["src"] for r in got.select("src").distinct().collect()} == set(corpus_rows.FIELDS) and not written
