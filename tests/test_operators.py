@@ -748,3 +748,14 @@ def test_corpus_records_write_claims_once(spark, monkeypatch):
     claims = table(spark, [(k, f"claim {k}", f"evidence {k}", "web", "en") for k in range(6)], "ord long, claim string, evidence string, src string, lang string")
     got = corpus_rows.records(claims)
     assert {r["src"] for r in got.select("src").distinct().collect()} == set(corpus_rows.FIELDS) and not written
+
+
+def test_facility_location_tries_few_candidates(spark, monkeypatch):
+    monkeypatch.setattr(selection, "CANDIDATES", 8)
+    sizes = []
+    monkeypatch.setattr(selection, "packed", lambda d, *a, real=selection.packed: (sizes.append(d.count()), real(d, *a))[1])
+    m = np.random.default_rng(1).normal(size=(120, 4))
+    df = table(spark, [(k, v.tolist(), 0) for k, v in enumerate(m)], "k long, v array<double>, g int")
+    got = sorted(r["k"] for r in selection.select(df, "facility", ["g"], "k", "v", 4, 15).collect())
+    assert got == sorted(selection.facility_location(m, 4))
+    assert sizes[0] == 120 and len(sizes) > 1 and max(sizes[1:]) <= 8  # equal gains never make the candidates grow
