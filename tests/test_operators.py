@@ -653,6 +653,25 @@ def test_jaccard_chain_keeps_what_the_pass_keeps(spark):
     assert sorted(r["ord"] for r in dedup.jaccard_dedup(df).collect()) == [1, 3]
 
 
+def test_few_sets_meet(spark, monkeypatch):
+    """Texts that share words but are not alike are ruled out before their sets travel, and slices lose no pair."""
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(300)]
+    texts = [rng.sample(words, 60) for _ in range(120)]
+    texts += [t[:55] + rng.sample(words, 5) for t in texts[:20]]
+    sets = [frozenset(t) for t in texts]
+    jac = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.7
+    seen = []
+    real = dedup.verified
+    monkeypatch.setattr(dedup, "verified", lambda cand, *a: (seen.append(cand.count()), real(cand, *a))[1])
+    got = dedup.jaccard_dedup(table(spark, [(k, " ".join(t)) for k, t in enumerate(texts)], "ord long, claim string"))
+    assert sorted(r["ord"] for r in got.collect()) == plain_greedy(range(len(texts)), jac)
+    assert 0 < sum(seen) < 100
+    rows = dedup.listed(dedup.word_sets(table(spark, [(k, " ".join(t)) for k, t in enumerate(texts)], "ord long, claim string"), "ord", "claim"), np.full(64, 9, np.int32), 0.7)
+    want = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if jac(a, b)}
+    assert want and want <= {(r["a"], r["b"]) for r in dedup.near_in_slices(rows, 0.7, 3).collect()}
+
+
 @pytest.mark.parametrize("counters", [1 << 20, 64, 1])
 def test_jaccard_pairs_lose_none(spark, counters, monkeypatch):
     """Recall 1 whatever the sketch, at the very threshold too; words of all degrees of rarity."""
