@@ -48,6 +48,17 @@ def test_neighbours_of_few_rows(spark):
     assert [tuple(r) for r in layout.tsne(df.where("ord = 0"), "ord", "embedding").collect()] == [(0, 0.0, 0.0)]
 
 
+def test_neighbours_in_blocks(spark, monkeypatch):
+    """Tasks hold the neighbours of a few rows at a time; how many doesn't change what is found."""
+    monkeypatch.setattr(layout, "RUN_ROWS", 32)
+    x = clusters(150, 6, 4)[0]
+    got = []
+    for size in (4, 64):
+        monkeypatch.setattr(layout, "BLOCK_ROWS", size)
+        got.append(sorted(map(tuple, layout.neighbours(frame(spark, x), "ord", "embedding", 5, rounds=2).collect())))
+    assert got[0] == got[1] and len(got[0]) == 5 * 150
+
+
 def test_affinities_have_the_perplexity(spark):
     x, _ = clusters(200, 8, 4)
     d = distances(x)
