@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -59,6 +60,54 @@ def test_neighbours_in_blocks(spark, monkeypatch):
     assert got[0] == got[1] and len(got[0]) == 5 * 150
 
 
+def test_neighbours_are_exact(spark, monkeypatch):
+    """Rows are compared with block after block of all rows; far ones are ruled out only if they are no neighbours."""
+    monkeypatch.setattr(layout, "SENT_BYTES", 100 * 24 * 8)
+    monkeypatch.setattr(layout, "WIDTH", 32)
+    k = 12
+    x = np.random.default_rng(5).standard_normal((600, 24)) * 0.01 + 1e3  # far from the origin: products alone don't tell them apart
+    x[50:80] = x[50]  # more equal rows than neighbours
+    x[7] = 1e30
+    got = layout.neighbours(frame(spark, x), "ord", "embedding", k).toPandas().sort_values(["id", "distance", "nbr"])
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    want = np.argsort(d, axis=1, kind="stable")[:, :k]
+    assert (got["nbr"].to_numpy().reshape(-1, k) == want).all()
+    assert (got["distance"].to_numpy().reshape(-1, k) == np.take_along_axis(d, want, 1)).all()
+
+
+@pytest.mark.parametrize("slice_rows", [1 << 22, 4000])
+def test_neighbours_by_descent(spark, slice_rows, monkeypatch):
+    """What is shuffled at a time doesn't change what is found."""
+    monkeypatch.setattr(layout, "EXACT_ROWS", 0)
+    monkeypatch.setattr(layout, "RUN_ROWS", 64)
+    monkeypatch.setattr(layout, "SLICE_ROWS", slice_rows)
+    k = 10
+    x = np.random.default_rng(1).standard_normal((500, 12))
+    got = layout.neighbours(frame(spark, x), "ord", "embedding", k, rounds=3).toPandas()
+    d = distances(x)
+    assert (got.groupby("id").size() == k).all() and len(got) == k * len(x)
+    assert (got["distance"].to_numpy() <= np.sort(d, axis=1)[:, k - 1][got["id"]] + 1e-9).mean() >= 0.9
+
+
+def test_layout_leaves_one_table(spark, tmp_path, monkeypatch):
+    """Tables of a step go when the next one is written, so disk doesn't grow with rounds and passes."""
+    written, most = [], []
+    real = layout.stored
+
+    def stored(df):
+        out = real(df)
+        written.append(out.inputFiles()[0].removeprefix("file:").replace("//", "/").rpartition("/")[0])
+        most.append(sum(os.path.exists(w) for w in written))
+        return out
+
+    monkeypatch.setattr(layout, "stored", stored)
+    monkeypatch.setattr(layout, "PART_ROWS", 100)
+    got = layout.tsne(frame(spark, clusters(300, 6, 3)[0]), "ord", "embedding", perplexity=8, passes=6, steps=4)
+    assert len(written) > 10 and max(most) <= 5 and sum(os.path.exists(w) for w in written) == 1
+    assert got.count() == 300
+
+
 def test_affinities_have_the_perplexity(spark):
     x, _ = clusters(200, 8, 4)
     d = distances(x)
